@@ -33,9 +33,9 @@ def _dense_udf(dim: int):
     return dense
 
 
-def hash_vectors(df: DataFrame, text: str, out: str = "embedding", dim: int = 256, stem: bool = True) -> DataFrame:
+def hash_vectors(df: DataFrame, text: str, out: str = "embedding", dim: int = 256, stem: bool = True, composed: bool = False) -> DataFrame:
     """Unit vector of token counts per hash bucket; a text without token gives a zero vector. No shuffle."""
-    buckets = hash_buckets(tokenize(F.col(text), stem=stem), dim)
+    buckets = hash_buckets(tokenize(F.col(text), stem=stem, composed=composed), dim)
     return df.withColumn(out, _dense_udf(dim)(buckets))
 
 
