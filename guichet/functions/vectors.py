@@ -39,6 +39,13 @@ def hash_vectors(df: DataFrame, text: str, out: str = "embedding", dim: int = 25
     return df.withColumn(out, _dense_udf(dim)(buckets))
 
 
+def unit(vector: Column) -> Column:
+    """Vector scaled to unit length in double precision; a zero vector stays zero."""
+    wide = vector.cast("array<double>")
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of two unit rows, in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

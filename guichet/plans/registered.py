@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guichet.plans import catalog, retrieval_queries  # noqa: F401
+from guichet.plans import catalog, operations_queries, retrieval_queries  # noqa: F401
 
 
 def queries() -> dict[str, catalog.Query]:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guichet.functions import references as rf
-from guichet.functions.vectors import hash_vectors
+from guichet.functions.vectors import hash_vectors, unit
 from guichet.operators import dense, lexical, passages, retrieval
 from guichet.operators.evaluation import first_hit_ranks
 from guichet.operators.ordering import first_seen_numbers
+from guichet.operators.sizing import broadcast_if_small
 from guichet.params import DEFAULTS as P
 from guichet.plans import sql as S
 from guichet.plans.catalog import query
@@ -37,13 +38,13 @@ def vectors(spark: SparkSession, sf: str, scoped: bool = False) -> DataFrame:
         F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"),
         (F.when(F.col("lang") != "en", F.col("source")) if scoped else F.lit(None).cast("string")).alias("client_id"),
     )
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), unit(F.col("embedding")).alias("embedding"))
     return rows.join(known, "chunk_id")
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("embedding"))
     return asked.join(rows, "query_id")
 
 
@@ -284,17 +285,11 @@ def containment(spark: SparkSession, sf: str) -> DataFrame:
     keyed = asked.withColumn("word", longest)
     docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
     holding = docs.select("doc", F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("word")).join(
-        F.broadcast(keyed) if retrieval_small(keyed) else keyed, "word"
+        broadcast_if_small(keyed), "word"
     )
     return holding.join(docs, "doc").where(F.contains("text", F.col("passage"))).select("query_id", "doc")
 
 
-def retrieval_small(df: DataFrame) -> bool:
-    from guichet.operators.sizing import fits
-
-    return fits(df)
-
-
 @query(
     "eval_hit_mrr",
     f"""WITH {S.scores()}, {_GOLDEN},
@@ -320,7 +315,7 @@ walk AS (
   FROM walk, tab WHERE 2 * pos < length(h)),
 crc AS (SELECT token, xor(c, 4294967295::BIGINT) % 256 AS bucket FROM walk WHERE 2 * pos = length(h)),
 counts AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(toks) AS token FROM docs) JOIN crc USING (token) GROUP BY ALL)
-SELECT doc_id, bucket::INTEGER AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 5) AS weight FROM counts"""
+SELECT doc_id, bucket::INTEGER AS bucket, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS weight FROM counts"""
 
 
 @query("hash_vectors", _CRC)

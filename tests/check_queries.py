@@ -48,8 +48,8 @@ def compare(spark, sf: str, name: str) -> str:
     want = sorted([tuple(normal(r[i]) for i in order) for r in result.fetchall()], key=str)
     if got == want:
         return f"ok {len(got)} rows, {took:.1f}s"
-    only_got = [r for r in got if r not in set(want)][:2]
-    only_want = [r for r in want if r not in set(got)][:2]
+    only_got = sorted(set(got) - set(want), key=str)[:2]
+    only_want = sorted(set(want) - set(got), key=str)[:2]
     return f"DIFF {len(got)} vs {len(want)} rows\n   spark {only_got}\n   sql   {only_want}"
 
 
@@ -57,7 +57,8 @@ if __name__ == "__main__":
     session = build_session("check", master="local[8]", shuffle_partitions=8)
     session.sparkContext.setLogLevel("ERROR")
     folder = sys.argv[1]
-    for key in sys.argv[2:] or entry.queries():
+    chosen = [k for k in entry.queries() if not sys.argv[2:] or any(k == a or (a.endswith(".") and entry.queries()[k].__module__.endswith(a[:-1])) for a in sys.argv[2:])]
+    for key in chosen:
         try:
             print(key, compare(session, folder, key), flush=True)
         except Exception as error:  # report and go on
