@@ -20,7 +20,7 @@ def admission_audit(
     """
     limit = params.rate_limit if limit is None else limit
     window_us = (params.rate_window_s if window_s is None else window_s) * 1_000_000
-    placed = sliced_windows(events.withColumn("__at", micros(F.col("ts"))), "caller", "__at", window_us, windows_per_slice)
+    placed = sliced_windows(events.withColumn("__at", micros(F.col("ts"))), "caller", "__at", "seq", window_us, windows_per_slice)
     # One window of one caller: seconds of traffic, never a whole key.
     order = W.partitionBy("caller", "anchor_at").orderBy("__at", "seq")
     left = (F.col("anchor_at") + window_us - F.col("__at")) / F.lit(1_000_000)

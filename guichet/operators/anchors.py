@@ -4,9 +4,9 @@ neither a `lag` nor a session window.
 
 Two exact plans, both safe for a key that holds a large share of the rows:
 
-`anchored_windows`  few windows per key (days of data, windows of days). Keys of bounded size are
-                    folded per key; a hot key is never gathered: its anchors are found one window at
-                    a time by a `min`, which combines on the map side.
+`anchored_windows`  few windows per key (days of data, windows of days). Ordinary keys are folded in a
+                    sorted pass; a hot key is never sent to one task: its anchors are found one
+                    window at a time by a `min`, which combines on the map side.
 `sliced_windows`    many windows per key (months of data, windows of seconds). Time is cut into
                     slices of several windows, every (key, slice) is summarised independently, and
                     only the summaries are walked in order.
@@ -15,8 +15,11 @@ Two exact plans, both safe for a key that holds a large share of the rows:
 from __future__ import annotations
 
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,32 +56,52 @@ def _ready(events: DataFrame) -> bool:
     return True
 
 
-def _with_anchor(schema: T.StructType, ident: str) -> T.StructType:
-    return T.StructType(
-        [*schema.fields, T.StructField("anchor_at", T.LongType()), T.StructField("anchor_id", schema[ident].dataType)]
-    )
-
-
 def _folded(events: DataFrame, key: str, at: str, ident: str, width_us: int) -> DataFrame:
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([at, ident], kind="stable", ignore_index=True)
-        starts = _chain(group[at].to_numpy(), 0, width_us, "right")
-        owner = np.repeat(starts, np.diff([*starts, len(group)]))
-        group["anchor_at"] = group[at].to_numpy()[owner]
-        group["anchor_id"] = group[ident].to_numpy()[owner]
-        return group
+    """Keys fold in one sorted pass per task: constant memory whatever the size of a key."""
+    return _sorted_pass(events, [key], at, [at, ident], width_us, inclusive=True, ident=ident)
 
-    return events.groupBy(key).applyInPandas(fold, _with_anchor(events.schema, ident))
 
+def _sorted_pass(
+    events: DataFrame, group: list[str], at: str, order: list[str], width_us: int, inclusive: bool,
+    ident: str | None = None, carry: str | None = None,
+) -> DataFrame:
+    """Label every event with its anchor in one pass over rows clustered by `group` and sorted by `order`.
 
-def _chain(times: np.ndarray, first: int, width: int, side: str) -> list[int]:
-    """Positions of the anchors in sorted times, starting from position `first`."""
-    starts = []
-    i = first
-    while i < len(times):
-        starts.append(i)
-        i = int(np.searchsorted(times, times[i] + width, side=side))
-    return starts
+    With `carry`, a group starts inside a window opened earlier (the anchor in that column, if any).
+    """
+    schema = [*events.schema.fields, T.StructField("anchor_at", T.LongType())]
+    if ident is not None:
+        schema.append(T.StructField("anchor_id", events.schema[ident].dataType))
+    names = [f.name for f in events.schema.fields]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple = ()
+        anchor, owner = 0, None
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(names)}
+            keys = list(zip(*[column[g].to_pylist() for g in group], strict=True))
+            times = column[at].to_pylist()
+            idents = column[ident].to_pylist() if ident else times
+            carried = column[carry].to_pylist() if carry else None
+            anchors, owners = [], []
+            for i, k in enumerate(keys):
+                t = times[i]
+                fresh = k != current
+                if fresh:
+                    current = k
+                    if carried is not None and carried[i] is not None:
+                        anchor, fresh = carried[i], False
+                if fresh or t - anchor > width_us or (not inclusive and t - anchor == width_us):
+                    anchor, owner = t, idents[i]
+                anchors.append(anchor)
+                owners.append(owner)
+            arrays = [*batch.columns, pa.array(anchors, pa.int64())]
+            if ident:
+                arrays.append(pa.array(owners, column[ident].type))
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
+
+    clustered = events.repartition(*group).sortWithinPartitions(*group, *order)
+    return clustered.mapInArrow(walk, T.StructType(schema))
 
 
 def _by_rounds(events: DataFrame, key: str, at: str, ident: str, width_us: int, params: Params) -> DataFrame:
@@ -105,64 +128,68 @@ def _by_rounds(events: DataFrame, key: str, at: str, ident: str, width_us: int,
     )
 
 
-def sliced_windows(events: DataFrame, key: str, at: str, width_us: int, windows_per_slice: int = 64) -> DataFrame:
+def sliced_windows(events: DataFrame, key: str, at: str, ident: str, width_us: int, windows_per_slice: int = 64) -> DataFrame:
     """Add `anchor_at`; the window restarts at the first event at least `width_us` after it opened."""
     slice_us = width_us * windows_per_slice
-    key_field = events.schema[key]
     sliced = events.withColumn("__slice", F.floor(F.col(at) / F.lit(slice_us)))
-    summary_schema = T.StructType(
-        [key_field, T.StructField("__slice", T.LongType()), T.StructField("upto", T.LongType()), T.StructField("exit", T.LongType())]
-    )
-
-    def summarise(group: pd.DataFrame) -> pd.DataFrame:
-        """Where a window entering the slice at threshold x leaves it, as steps: the first `upto` >= x decides."""
-        times = np.unique(group[at].to_numpy())
-        start = int(group["__slice"].iloc[0]) * slice_us
-        following = np.searchsorted(times, times + width_us, side="left")
-        last = np.arange(len(times))
-        reach = np.where(following < len(times), following, last)
-        while not np.array_equal(reach, reach[reach]):
-            reach = reach[reach]
-        entries = min(int(np.searchsorted(times, start + width_us, side="left")) + 1, len(times))
-        exits = times[reach[:entries]]
-        step_ends = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
-        return pd.DataFrame(
-            {key: group[key].iloc[0], "__slice": group["__slice"].iloc[0], "upto": times[step_ends], "exit": exits[step_ends]}
-        )
-
-    carry_schema = T.StructType([key_field, T.StructField("__slice", T.LongType()), T.StructField("__carry", T.LongType())])
-
-    def stitch(group: pd.DataFrame) -> pd.DataFrame:
-        """Threshold with which each slice of a key is entered."""
-        rows, anchor = [], None
-        for index, steps in group.sort_values(["__slice", "upto"]).groupby("__slice", sort=True):
-            rows.append((group[key].iloc[0], index, anchor))
-            threshold = np.iinfo(np.int64).min if anchor is None else anchor + width_us
-            hit = int(np.searchsorted(steps["upto"].to_numpy(), threshold, side="left"))
-            if hit < len(steps):
-                anchor = int(steps["exit"].iloc[hit])
-        frame = pd.DataFrame(rows, columns=[key, "__slice", "__carry"])
-        return frame.astype({"__carry": "Int64"})
-
-    steps = sliced.select(key, at, "__slice").distinct().groupBy(key, "__slice").applyInPandas(summarise, summary_schema)
-    carries = steps.groupBy(key).applyInPandas(stitch, carry_schema)
-
-    def label(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(at, kind="stable", ignore_index=True)
-        times = left[at].to_numpy()
-        carry = None if right.empty or pd.isna(right["__carry"].iloc[0]) else int(right["__carry"].iloc[0])
-        first = 0 if carry is None else int(np.searchsorted(times, carry + width_us, side="left"))
-        starts = _chain(times, first, width_us, "left")
-        anchors = np.full(len(times), carry if carry is not None else 0, dtype=np.int64)
-        if starts:
-            anchors[starts[0] :] = np.repeat(times[starts], np.diff([*starts, len(times)]))
-        left["anchor_at"] = anchors
-        return left.drop(columns="__slice")
-
-    schema = T.StructType([*events.schema.fields, T.StructField("anchor_at", T.LongType())])
-    return (
-        sliced.groupBy(key, "__slice").cogroup(carries.groupBy(key, "__slice")).applyInPandas(label, schema)
+    # A slice holds the traffic of one key over a few windows; its distinct times fit one row.
+    times = sliced.groupBy(key, "__slice").agg(F.sort_array(F.collect_set(at)).alias("__times"))
+    steps = times.withColumn("__steps", _summarise(width_us, slice_us)(F.col("__times"), F.col("__slice"))).drop("__times")
+    # Per key: one short row per slice, whatever the number of events.
+    entries = F.sort_array(F.collect_list(F.struct("__slice", "__steps")))
+    carries = (
+        steps.groupBy(key).agg(entries.alias("__entries"))
+        .select(key, F.inline(_stitch(width_us)(F.col("__entries"))))
     )
+    entered = sliced.join(carries, [key, "__slice"])
+    return _sorted_pass(
+        entered, [key, "__slice"], at, [at, ident], width_us, inclusive=False, carry="__carry"
+    ).drop("__slice", "__carry")
+
+
+_STEPS = "struct<upto: array<bigint>, leave: array<bigint>>"
+
+
+def _summarise(width_us: int, slice_us: int):
+    """Where a window entering a slice at threshold x leaves it, as steps: the first `upto` >= x decides."""
+
+    @F.arrow_udf(_STEPS)
+    def summarise(times: pa.Array, slices: pa.Array) -> pa.Array:
+        out = []
+        for listed, index in zip(times.to_pylist(), slices.to_pylist(), strict=True):
+            t = np.array(listed, dtype=np.int64)
+            following = np.searchsorted(t, t + width_us, side="left")
+            reach = np.where(following < len(t), following, np.arange(len(t)))
+            while not np.array_equal(reach, reach[reach]):
+                reach = reach[reach]
+            entries = min(int(np.searchsorted(t, index * slice_us + width_us, side="left")) + 1, len(t))
+            leave = t[reach[:entries]]
+            ends = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
+            out.append({"upto": t[ends].tolist(), "leave": leave[ends].tolist()})
+        kind = pa.struct([("upto", pa.list_(pa.int64())), ("leave", pa.list_(pa.int64()))])
+        return pa.array(out, kind)
+
+    return summarise
+
+
+def _stitch(width_us: int):
+    """Anchor in force when each slice of a key begins, from the steps of its slices in order."""
+
+    @F.arrow_udf("array<struct<__slice: bigint, __carry: bigint>>")
+    def stitch(entries: pa.Array) -> pa.Array:
+        out = []
+        for slices in entries.to_pylist():
+            anchor, rows = None, []
+            for entry in slices:
+                rows.append({"__slice": entry["__slice"], "__carry": anchor})
+                upto, leave = entry["__steps"]["upto"], entry["__steps"]["leave"]
+                at = 0 if anchor is None else bisect_left(upto, anchor + width_us)
+                if at < len(upto):
+                    anchor = leave[at]
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([("__slice", pa.int64()), ("__carry", pa.int64())])))
+
+    return stitch
 
 
 __all__ = ["anchored_windows", "micros", "sliced_windows"]
