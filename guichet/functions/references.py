@@ -31,15 +31,18 @@ def excerpt(text: Column, chars: int = 300) -> Column:
     return F.left(tx.squeeze(text), F.lit(chars))
 
 
+def _facts(answer: Column, patterns: Column, present: bool) -> Column:
+    """Patterns that match (or do not match) the normalised answer, which is computed once."""
+    views = F.struct(tx.normalize(answer).alias("text"), patterns.alias("patterns"))
+    return tx.once(views, lambda v: F.filter(v["patterns"], lambda p: F.regexp_like(v["text"], p) == F.lit(present)))
+
+
 def missing_facts(answer: Column, patterns: Column) -> Column:
-    """Patterns that do not match the normalised answer."""
-    norm = tx.normalize(answer)
-    return F.filter(patterns, lambda p: ~F.regexp_like(norm, p))
+    return _facts(answer, patterns, False)
 
 
 def present_facts(answer: Column, patterns: Column) -> Column:
-    norm = tx.normalize(answer)
-    return F.filter(patterns, lambda p: F.regexp_like(norm, p))
+    return _facts(answer, patterns, True)
 
 
 def parse_verdict(reply: Column) -> Column:
