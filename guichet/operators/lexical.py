@@ -15,6 +15,8 @@ from guichet.functions.text import tokenize
 from guichet.operators.sizing import broadcast_if_small, fits
 from guichet.params import DEFAULTS, Params
 
+# `explode_outer` is used on computed arrays throughout: for a plain `explode` the optimizer infers a
+# filter on the array's size and would evaluate the whole tokenization once more per reference.
 _MARKER = ""  # one extra token per document: carries the document count and the lengths
 
 
@@ -28,8 +30,8 @@ def idf(n: Column, df: Column) -> Column:
 
 def postings(documents: DataFrame) -> DataFrame:
     """(term, chunk_id, pos, client_id, tf, len): the inverted index, aggregated on the map side first."""
-    rows = documents.select(*_document_columns(documents), F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return rows.groupBy("term", "chunk_id", "pos", "client_id", "len").agg(F.count("*").alias("tf"))
+    rows = documents.select(*_document_columns(documents), F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term"))
+    return rows.where(F.col("term").isNotNull()).groupBy("term", "chunk_id", "pos", "client_id", "len").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(documents: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def term_stats(documents: DataFrame, *by: str) -> DataFrame:
     sizes = documents.groupBy(*by).agg(F.count("*").alias("n"))
     # One row per document and distinct term would need a shuffle per document; counting inside the
     # document keeps the exchange at one partial row per term and task.
-    terms = documents.select(*by, "chunk_id", F.explode("tokens").alias("term"))
+    terms = documents.select(*by, "chunk_id", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
     per_document = terms.groupBy(*by, "chunk_id", "term").agg(F.count("*").alias("tf"))
     totals = per_document.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     joined = totals.join(F.broadcast(sizes), list(by)) if by else totals.crossJoin(F.broadcast(sizes))
@@ -75,7 +77,7 @@ def _document_columns(documents: DataFrame) -> list[Column]:
 
 def _query_terms(queries: DataFrame) -> DataFrame:
     client = F.col("client_id") if "client_id" in queries.columns else F.lit(None).cast("string")
-    return queries.select("query_id", client.alias("asking"), F.explode(F.array_distinct("tokens")).alias("term"))
+    return queries.select("query_id", client.alias("asking"), F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
 
 
 def _visible() -> Column:
@@ -103,7 +105,7 @@ def _score_broadcast(documents: DataFrame, terms: DataFrame, params: Params) ->
     tokens = documents.select(
         *_document_columns(documents),
         F.size("tokens").alias("len"),
-        F.explode(F.concat("tokens", F.array(F.lit(_MARKER)))).alias("term"),
+        F.explode_outer(F.concat("tokens", F.array(F.lit(_MARKER)))).alias("term"),
     )
     found = (
         tokens.join(F.broadcast(numbered), "term").drop("term")

@@ -57,8 +57,8 @@ def passages(hits: DataFrame, keys: tuple[str, ...] = ("query_id", "ref")) -> Da
     """
     lines = hits.select(
         *keys, F.coalesce("title", F.lit("")).alias("title"), F.coalesce("section", F.lit("")).alias("section"),
-        F.posexplode(F.transform(tx.split_lines(F.col("text")), tx.trim_all)).alias("line_no", "line"),
-    )
+        F.posexplode_outer(F.transform(tx.split_lines(F.col("text")), tx.trim_all)).alias("line_no", "line"),
+    ).where(F.col("line").isNotNull())
     order = W.partitionBy(*keys).orderBy("line_no")
     running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     line, table = F.col("line"), F.col("table")
@@ -82,8 +82,8 @@ def passages(hits: DataFrame, keys: tuple[str, ...] = ("query_id", "ref")) -> Da
     return quotable.select(
         *keys, "line_no", "title", "heading", "table", "line",
         F.when(table, F.array_join("header", " ")).alias("header"),
-        F.posexplode(parts).alias("part", "passage"),
-    ).withColumn("source", F.when(table, line).otherwise(F.col("passage")))
+        F.posexplode_outer(parts).alias("part", "passage"),
+    ).where(F.col("passage").isNotNull()).withColumn("source", F.when(table, line).otherwise(F.col("passage")))
 
 
 def best_passages(queries: DataFrame, hits: DataFrame, stem: bool = True, params: Params = DEFAULTS) -> DataFrame:

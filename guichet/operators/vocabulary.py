@@ -153,4 +153,4 @@ def match_vocabulary(texts: DataFrame, key: str, tokens: str, sequence: str, voc
         )
 
     labels = F.array_distinct(F.transform(F.filter("__vocabulary", hit), lambda v: v["label"]))
-    return texts.crossJoin(F.broadcast(entries)).select(key, F.explode(labels).alias("label"))
+    return texts.crossJoin(F.broadcast(entries)).select(key, F.explode_outer(labels).alias("label")).where(F.col("label").isNotNull())

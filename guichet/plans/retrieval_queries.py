@@ -284,7 +284,7 @@ def containment(spark: SparkSession, sf: str) -> DataFrame:
     ))["word"]
     keyed = asked.withColumn("word", longest)
     docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
-    holding = docs.select("doc", F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("word")).join(
+    holding = docs.select("doc", F.explode_outer(F.array_distinct(F.split("text", r"\W+"))).alias("word")).join(
         broadcast_if_small(keyed), "word"
     )
     return holding.join(docs, "doc").where(F.contains("text", F.col("passage"))).select("query_id", "doc")
@@ -324,6 +324,6 @@ def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     rows = hash_vectors(docs, "text", stem=False, composed=True)
     return (
-        rows.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where(F.col("weight") > 0)
+        rows.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "weight")).where(F.col("weight") > 0)
         .select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
     )

@@ -56,7 +56,7 @@ def pii_card_mask(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pii_types(spark: SparkSession, sf: str) -> DataFrame:
     masked = mk.mask_pii(texts(spark, sf), "text")
-    return masked.select(F.explode("pii_types").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return masked.select(F.explode_outer("pii_types").alias("kind")).where(F.col("kind").isNotNull()).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def _check_digits_sql(k: str) -> tuple[str, str]:
@@ -240,7 +240,7 @@ def amounts_in_text(spark: SparkSession, sf: str) -> DataFrame:
 def stem_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Stem and frequency of every content word of the French documents (distinct words are stemmed once)."""
     french = texts(spark, sf, "lang").where(F.col("lang") == "fr")
-    counted = french.select(F.explode(tx.content_words(F.col("text"), composed=True)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = french.select(F.explode_outer(tx.content_words(F.col("text"), composed=True)).alias("word")).where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
     return counted.select("word", stem_joined(F.col("word")).alias("stem"), "n")
 
 
