@@ -50,8 +50,21 @@ _FROM, _TO = "".join(_MAPPED), "".join(_MAPPED.values())
 _FROM_WORD = "".join(ch for ch in _MAPPED if "à" <= ch <= "ÿ")
 _TO_WORD = "".join(_MAPPED[ch] for ch in _FROM_WORD)
 _LIGATURE_CHARS = "œŒæÆ"
-_UNCOVERED = "".join(f"\\x{{{cp:X}}}" for cp in _BLOCKS if chr(cp) not in _SINGLE and chr(cp) not in _LIGATURE_CHARS)
-_NEEDS_EXACT = f"[^\\x00-\\x{{24F}}\\x{{2000}}-\\x{{20CF}}]|[{_UNCOVERED}]"
+
+
+def _ranges(code_points: list[int]) -> str:
+    """Character-class body for sorted code points, consecutive ones joined."""
+    out: list[list[int]] = []
+    for cp in code_points:
+        if out and cp == out[-1][1] + 1:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in out)
+
+
+_UNCOVERED = [cp for cp in _BLOCKS if chr(cp) not in _SINGLE and chr(cp) not in _LIGATURE_CHARS]
+_NEEDS_EXACT = f"[\\x{{250}}-\\x{{1FFF}}\\x{{20D0}}-\\x{{10FFFF}}{_ranges(_UNCOVERED)}]"
 
 
 @F.arrow_udf(T.StringType())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from guichet.functions.text import tokenize
 from guichet.operators.dense import cosine_topk
 from guichet.operators.lexical import bm25_topk, top_n
-from guichet.operators.sizing import broadcast_if_small
+from guichet.operators.sizing import fits
 from guichet.params import DEFAULTS, Params
 
 
@@ -83,10 +83,12 @@ def search(
     return fuse(lexical, cosine_topk(vectors, queries, params.candidate_k, params), k, params)
 
 
-def attach_chunks(hits: DataFrame, chunks: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Hits with the columns of their chunk: the hits (queries x k rows) meet the corpus in one join."""
+def attach_chunks(hits: DataFrame, chunks: DataFrame, asked: DataFrame, k: int = DEFAULTS.top_k, params: Params = DEFAULTS) -> DataFrame:
+    """Hits with the columns of their chunk. Hits number at most k per query of `asked`, so the size of
+    `asked` decides whether they are broadcast to the corpus (the search itself is not run for that)."""
     columns = [c for c in chunks.columns if c not in ("pos", "tokens")]
-    return chunks.select(*columns).join(broadcast_if_small(hits, params), "chunk_id")
+    small = fits(asked.select("query_id"), params.broadcast_rows // k)
+    return chunks.select(*columns).join(F.broadcast(hits) if small else hits, "chunk_id")
 
 
 def confidence(queries: DataFrame, hits: DataFrame, stem: bool = True, params: Params = DEFAULTS) -> DataFrame:

@@ -38,7 +38,8 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 def answered(spark: SparkSession, sf: str) -> DataFrame:
     """What the search did with each passage: route of the best document, two cited documents, its text as the answer."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "text", "n_chars")
-    hits = retrieval.attach_chunks(lexical.bm25_topk(rq.corpus(spark, sf), rq.questions(spark, sf), 4), docs)
+    asked = rq.questions(spark, sf)
+    hits = retrieval.attach_chunks(lexical.bm25_topk(rq.corpus(spark, sf), asked, 4), docs, asked)
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("doc"))))
     return hits.groupBy("query_id").agg(  # at most four rows per question
         F.transform(ordered, lambda h: h["doc"]).alias("retrieved"), F.min_by("lang", "rank").alias("route"),

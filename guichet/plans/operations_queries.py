@@ -9,7 +9,7 @@ from guichet.functions import calendar as cal
 from guichet.operators import admission, dossier, operations, tickets
 from guichet.operators.ordering import nearest_rank, number_rows
 from guichet.plans.catalog import query
-from guichet.sources.tables import table
+from guichet.sources.tables import spread, table
 
 _TS = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -357,7 +357,7 @@ _WEEKDAY_SQL = "['lundi','mardi','mercredi','jeudi','vendredi','samedi','dimanch
 def dossiers(spark: SparkSession, sf: str) -> DataFrame:
     """Every event asks something about the customer of its user number, in the words of its type."""
     texts = F.create_map(*[F.lit(x) for pair in _ASK_TEXT.items() for x in pair])
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         F.col("event_id").alias("request_id"), F.expr("ts + INTERVAL '20' HOUR").alias("now_local"), texts[F.col("event_type")].alias("q_masked"),
         F.when(F.col("event_type") != "signup", F.concat(F.lit("C-"), F.col("user_id").cast("string"))).alias("scoped_client"),
     )
@@ -416,7 +416,7 @@ def dossier_facts(spark: SparkSession, sf: str) -> DataFrame:
 def automation_tickets(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as small disputes of their customer, worded in two orders that share one fingerprint."""
     amount = F.round(F.col("o_totalprice") / 5000) * 5
-    sent = table(spark, sf, "orders").select(
+    sent = spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("ts"), F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("resolved_client"),
         amount.alias("resolved_amount"),
         F.when(F.col("o_orderstatus") == "O", "Je conteste la facture du mois dernier.").otherwise("La facture du mois dernier, je la conteste !").alias("q_masked"),

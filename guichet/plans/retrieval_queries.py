@@ -14,6 +14,7 @@ from guichet.operators.sizing import broadcast_if_small
 from guichet.params import DEFAULTS as P
 from guichet.plans import sql as S
 from guichet.plans.catalog import query
+from guichet.session import checkpoint_root
 from guichet.sources.tables import spread, table
 
 
@@ -55,9 +56,8 @@ def hybrid_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Top-k of the lexical list with the text of each chunk."""
-    docs = corpus(spark, sf)
-    hits = retrieval.search(docs, questions(spark, sf))
-    return retrieval.attach_chunks(hits, docs)
+    docs, asked = corpus(spark, sf), questions(spark, sf)
+    return retrieval.attach_chunks(retrieval.search(docs, asked), docs, asked)
 
 
 @query(
@@ -156,7 +156,7 @@ def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
 )
 def retrieval_confidence(spark: SparkSession, sf: str) -> DataFrame:
     hits = retrieval.attach_chunks(hybrid_hits(spark, sf), table(spark, sf, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.lit("").alias("title"), F.lit("").alias("section"), "text"))
+        F.col("doc_id").alias("chunk_id"), F.lit("").alias("title"), F.lit("").alias("section"), "text"), questions(spark, sf))
     scored = retrieval.confidence(questions(spark, sf), hits, stem=False)
     return scored.select(
         F.col("query_id").alias("item_id"), F.col("n_sources").cast("bigint").alias("n_sources"),
@@ -219,7 +219,8 @@ def best_passages(spark: SparkSession, sf: str) -> DataFrame:
     FROM conf LEFT JOIN lines USING (item_id)""",
 )
 def extractive_answers(spark: SparkSession, sf: str) -> DataFrame:
-    asked, hits = questions(spark, sf), bm25_hits(spark, sf)
+    checkpoint_root(spark)
+    asked, hits = questions(spark, sf), bm25_hits(spark, sf).checkpoint()  # read by the confidence and by the passages
     answers = passages.extractive_answers(asked, hits, retrieval.confidence(asked, hits, stem=False), stem=False)
     return answers.select(F.col("query_id").alias("item_id"), "route", "mode", "answer")
 

@@ -149,7 +149,7 @@ def requests(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> D
         .otherwise("Que faire en cas de panne ?")
     )
     status = F.col("o_orderstatus")
-    rows = table(spark, sf, "orders") if orders is None else orders
+    rows = spread(table(spark, sf, "orders")) if orders is None else orders
     return rows.select(
         F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("ts"),
         F.when(status == "F", F.concat(subject, lit(" Client "), F.lower(client), lit("."))).otherwise(subject).alias("q"),
