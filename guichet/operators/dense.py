@@ -49,6 +49,7 @@ def _pass(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     matrix = np.array(rows["embedding"].to_pylist(), dtype=np.float64).T if ids else np.zeros((0, 0))
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((ids, clients, matrix))
+    id_arrow = rows.schema.field("query_id").type
     id_type = queries.schema["query_id"].dataType.simpleString()
     chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
     owner = F.col("client_id").cast("string") if "client_id" in vectors.columns else F.lit(None).cast("string")
@@ -57,10 +58,11 @@ def _pass(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_clients, q_matrix = shared.value
         kept: list[list[tuple[float, int, object]]] = [[] for _ in q_ids]
+        chunk_arrow = None
         for batch in batches:
             if not q_ids or batch.num_rows == 0:
                 continue
-            chunk = batch.column(0).to_pylist()
+            chunk, chunk_arrow = batch.column(0).to_pylist(), batch.column(0).type
             pos = batch.column(1).to_numpy(zero_copy_only=False)
             owners = np.array(batch.column(2).to_pylist(), dtype=object)
             public = np.array([o is None for o in owners])
@@ -81,7 +83,7 @@ def _pass(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         if flat:
             q, c, p, s = zip(*flat)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q), pa.array(c), pa.array(p, pa.int64()), pa.array(s, pa.float64())],
+                [pa.array(q, id_arrow), pa.array(c, chunk_arrow), pa.array(p, pa.int64()), pa.array(s, pa.float64())],
                 names=["query_id", "chunk_id", "pos", "score"],
             )
 
