@@ -40,22 +40,17 @@ def anchored_windows(
 
     `at` is a BIGINT of microseconds and (at, ident) orders the events of a key.
     """
-    hot = events.groupBy(key).count().where(F.col("count") > params.hot_key_rows).select(key)
+    checkpoint_root(events.sparkSession)
     # At most rows / hot_key_rows keys can be hot.
-    hot_rows = hot.checkpoint() if _ready(events) else hot
-    if hot_rows.isEmpty():
+    hot = events.groupBy(key).count().where(F.col("count") > params.hot_key_rows).select(key).checkpoint()
+    if hot.isEmpty():
         return _folded(events, key, at, ident, width_us)
-    marked = broadcast_if_small(hot_rows, params)
+    marked = broadcast_if_small(hot, params)
     return _folded(events.join(marked, key, "left_anti"), key, at, ident, width_us).unionByName(
         _by_rounds(events.join(marked, key, "left_semi"), key, at, ident, width_us, params)
     )
 
 
-def _ready(events: DataFrame) -> bool:
-    checkpoint_root(events.sparkSession)
-    return True
-
-
 def _folded(events: DataFrame, key: str, at: str, ident: str, width_us: int) -> DataFrame:
     """Keys fold in one sorted pass per task: constant memory whatever the size of a key."""
     return _sorted_pass(events, [key], at, [at, ident], width_us, inclusive=True, ident=ident)

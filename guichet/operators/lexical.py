@@ -42,12 +42,17 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
 def term_stats(documents: DataFrame, *by: str) -> DataFrame:
     """Document frequency, total frequency and idf of every term, optionally per group of documents."""
     sizes = documents.groupBy(*by).agg(F.count("*").alias("n"))
-    # One row per document and distinct term would need a shuffle per document; counting inside the
-    # document keeps the exchange at one partial row per term and task.
-    terms = documents.select(*by, "chunk_id", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
-    per_document = terms.groupBy(*by, "chunk_id", "term").agg(F.count("*").alias("tf"))
-    totals = per_document.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    joined = totals.join(F.broadcast(sizes), list(by)) if by else totals.crossJoin(F.broadcast(sizes))
+
+    def rows(tokens: Column, df: int, cf: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
+
+    # A document lists its tokens for the total and its distinct tokens for the document frequency, so
+    # one sum per term, combined on the map side, gives both: no exchange by document.
+    both = F.concat(rows(F.col("tokens"), 0, 1), rows(F.array_distinct("tokens"), 1, 0))
+    listed = documents.select(*by, F.explode_outer(both).alias("t")).where(F.col("t").isNotNull())
+    totals = listed.groupBy(*by, F.col("t.term").alias("term")).agg(F.sum("t.df").alias("df"), F.sum("t.cf").alias("cf"))
+    # The sizes hold one row per group, or a single row.
+    joined = totals.join(broadcast_if_small(sizes), list(by)) if by else totals.crossJoin(F.broadcast(sizes))
     return joined.withColumn("idf", idf(F.col("n"), F.col("df")))
 
 

@@ -53,14 +53,10 @@ def operating_metrics(log: DataFrame, pending: DataFrame, params: Params = DEFAU
 def counts_by(log: DataFrame, *dimensions: str, params: Params = DEFAULTS, tie: str | None = None) -> DataFrame:
     """Counts of recent requests per value of every dimension, and overall: (dimension, value, n)."""
     rows = recent(log, tie=tie, params=params).select(*dimensions)
-    sets = ", ".join(["()", *(f"({d})" for d in dimensions)])
     name = F.lit("all")
     value = F.lit(None).cast("string")
-    view = "__recent_requests"
-    rows.createOrReplaceTempView(view)
-    grouped = rows.sparkSession.sql(
-        f"SELECT {', '.join(dimensions)}, {', '.join(f'grouping({d}) AS g_{d}' for d in dimensions)}, count(*) AS n "
-        f"FROM {view} GROUP BY GROUPING SETS ({sets})"
+    grouped = rows.groupingSets([(), *((d,) for d in dimensions)], *dimensions).agg(
+        F.count("*").alias("n"), *[F.grouping(d).alias(f"g_{d}") for d in dimensions]
     )
     for d in dimensions:
         name = F.when(F.col(f"g_{d}") == 0, d).otherwise(name)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guichet.functions.stemming import plain
+from guichet.operators.sizing import fits
+from guichet.params import DEFAULTS, Params
 
 
 @dataclass(frozen=True)
@@ -138,19 +140,44 @@ def mentions(subject: Subject, stems: Column, sequence: Column) -> Column:
     return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
-def match_vocabulary(texts: DataFrame, key: str, tokens: str, sequence: str, vocabulary: DataFrame) -> DataFrame:
+def match_vocabulary(
+    texts: DataFrame, key: str, tokens: str, sequence: str, vocabulary: DataFrame, params: Params = DEFAULTS
+) -> DataFrame:
     """(key, label) pairs for a vocabulary held in a table (label, kind, value) instead of in code.
 
-    The vocabulary must be a small dimension: it is folded into one array that every text is tested
-    against, so the texts are neither joined nor exploded.
+    `tokens` are the content tokens of a text and `sequence` its padded word sequence. A vocabulary
+    proven small becomes one pattern per label and kind; a larger one is joined on its words.
     """
-    entries = vocabulary.agg(F.collect_list(F.struct("label", "kind", "value")).alias("__vocabulary"))
-
-    def hit(v: Column) -> Column:
-        return (
-            F.when(v["kind"] == "stem", F.exists(F.col(tokens), lambda t: F.startswith(t, v["value"])))
-            .otherwise(F.contains(F.col(sequence), F.concat(F.lit(" "), v["value"], F.lit(" "))))
-        )
-
-    labels = F.array_distinct(F.transform(F.filter("__vocabulary", hit), lambda v: v["label"]))
-    return texts.crossJoin(F.broadcast(entries)).select(key, F.explode_outer(labels).alias("label")).where(F.col("label").isNotNull())
+    if fits(vocabulary, 5_000):
+        return _match_patterns(texts, key, tokens, sequence, vocabulary)
+    return _match_joined(texts, key, tokens, sequence, vocabulary)
+
+
+def _match_patterns(texts: DataFrame, key: str, tokens: str, sequence: str, vocabulary: DataFrame) -> DataFrame:
+    subjects: dict[str, dict[str, list[str]]] = {}
+    for row in vocabulary.collect():
+        kinds = subjects.setdefault(row["label"], {"stem": [], "word": [], "phrase": []})
+        kinds[row["kind"]].append(re.escape(row["value"]))
+    stems = F.concat(F.lit(" "), F.array_join(tokens, " "))
+    found = [
+        F.when(mentions(Subject(label, tuple(k["stem"]), (*k["word"], *k["phrase"])), stems, F.col(sequence)), label)
+        for label, k in subjects.items()
+    ]
+    labels = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return texts.select(key, F.explode_outer(labels).alias("label")).where(F.col("label").isNotNull())
+
+
+def _match_joined(texts: DataFrame, key: str, tokens: str, sequence: str, vocabulary: DataFrame) -> DataFrame:
+    """Equi-joins only: a stem on the prefixes of tokens, a word or phrase on its first word, then checked."""
+    prefixes = F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.left(t, n))))
+    by_stem = texts.select(key, F.explode_outer(F.array_distinct(prefixes)).alias("value")).join(
+        vocabulary.where(F.col("kind") == "stem").select("label", "value"), "value"
+    )
+    starts = F.array_distinct(F.split(F.trim(F.col(sequence)), " "))
+    by_word = (
+        texts.select(key, F.explode_outer(starts).alias("start"))
+        .join(vocabulary.where(F.col("kind") != "stem").select("label", "value", F.substring_index("value", " ", 1).alias("start")), "start")
+        .join(texts.select(key, sequence), key)
+        .where(F.contains(F.col(sequence), F.concat(F.lit(" "), F.col("value"), F.lit(" "))))
+    )
+    return by_stem.select(key, "label").unionByName(by_word.select(key, "label")).distinct()

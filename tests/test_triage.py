@@ -84,3 +84,16 @@ def test_raw_text_is_dropped_before_a_sink(spark):
     masked = intake.mask_requests(spark.createDataFrame([("appelez le 0611223344",)], "q string"))
     row = without_raw(masked).first()
     assert row.asDict() == {"q_masked": "appelez le [TEL]", "pii_types": ["TEL"]}
+
+
+def test_vocabulary_tables_of_any_size(spark, monkeypatch):
+    from guichet.operators import vocabulary as vo
+
+    rows = [("a", "stem", "pann"), ("a", "word", "hs"), ("b", "phrase", "en arret total"), ("b", "word", "gaz"), ("c", "stem", "zz")]
+    table = spark.createDataFrame(rows, "label string, kind string, value string")
+    data = [(1, ["panneau"], " le panneau hs "), (2, ["arret", "total"], " en arret total "), (3, ["gazon"], " gazon en arret "), (4, [], "  ")]
+    texts = spark.createDataFrame(data, "id int, tokens array<string>, sequence string")
+    small = {tuple(r) for r in vo.match_vocabulary(texts, "id", "tokens", "sequence", table).collect()}
+    monkeypatch.setattr(vo, "fits", lambda *_: False)
+    large = {tuple(r) for r in vo.match_vocabulary(texts, "id", "tokens", "sequence", table).collect()}
+    assert small == large == {(1, "a"), (2, "b")}
