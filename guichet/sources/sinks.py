@@ -27,7 +27,9 @@ def write_index(chunks: DataFrame, folder: str, settings: dict[str, str]) -> Dat
 
 
 def write_vectors(vectors: DataFrame, folder: str, dim: int) -> None:
-    """Replace all vectors; a vector of another size fails the job before anything is replaced."""
+    """Replace all vectors; a vector of another size is refused before anything is replaced."""
+    if not vectors.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).isEmpty():
+        raise ValueError(f"vector size differs from {dim}")
     check_vectors(vectors, dim).select("chunk_id", "client_id", "embedding").write.mode("overwrite").parquet(f"{folder}/vectors")
 
 

@@ -321,3 +321,16 @@ def test_sources_line_and_wording(spark):
     assert [r[0] for r in df.select(dossier.sources_line(F.col("s"))).collect()] == [
         "Documentation consultée : A, S [1] ; B [2].", "Aucun extrait de la documentation n'a été trouvé pour cette demande.",
     ]
+
+
+def test_vector_and_report_sinks(spark, tmp_path):
+    vectors = spark.createDataFrame([("a", None, [0.6, 0.8]), ("b", "C-1", [1.0, 0.0])], "chunk_id string, client_id string, embedding array<double>")
+    sinks.write_vectors(vectors, str(tmp_path), 2)
+    sinks.write_vectors(vectors.where("chunk_id = 'a'"), str(tmp_path), 2)  # replaces all
+    assert [r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "vectors")).collect()] == ["a"]
+    with pytest.raises(Exception, match="vector size"):
+        sinks.write_vectors(vectors, str(tmp_path), 3)
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 1  # the refused write replaced nothing
+    summary = spark.createDataFrame([("all", 1.0)], "split string, routing_accuracy double")
+    sinks.write_report(summary, summary, str(tmp_path), "hybrid", with_model=True)
+    assert spark.read.json(str(tmp_path / "hybrid-llm" / "summary")).first()["routing_accuracy"] == 1.0
