@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from guichet.llm import sql
+from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
 from guichet.sources.tables import table
 
@@ -37,3 +39,11 @@ def _query(text: str | None = None) -> Callable[[Query], Query]:
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-copies of `documents`: shingles of five words, similarity of 0.75 or more."""
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query(sql.DECONTAMINATION)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of `documents` inside windows of 13 words of `benchmark`."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), is_contaminated().alias("contaminated"))

@@ -27,3 +27,22 @@ links as (
 reach(x, y) as (select doc_id, doc_id from sized union select r.x, l.y from reach r join links l on r.y = l.x)
 select doc_id, n::bigint as n_shingles, (select min(y) from reach where x = doc_id) as component_id from sized
 """
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATION = f"""
+with d as (select doc_id, coalesce(regexp_extract_all({lowered("text")}, '{_ALNUM}'), []) as w from documents),
+b as (select item_id::varchar as item, coalesce(regexp_extract_all({lowered("text")}, '{_ALNUM}'), []) as w from benchmark),
+bw as (
+  select distinct item, array_to_string(w[i:i + 12], ' ') as g, least(len(w), 13) as n
+  from (select item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+m as (select dw.doc_id, dw.i, dw.n, bw.item from dw join bw on dw.g = bw.g and dw.n = bw.n),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by 1),
+it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from m) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join it using (doc_id)
+"""
