@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guichet.llm import sql
 from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
+from guichet.llm.repeats import remove_repeats
 from guichet.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +48,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+@_query()
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of `documents` outside strings of 400 bytes that occur more than once."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
