@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import sql
+from guichet.llm import sql, toxicity
+from guichet.llm.common import remainder
 from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
 from guichet.llm.repeats import remove_repeats
@@ -54,3 +55,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of `documents` outside strings of 400 bytes that occur more than once."""
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of `documents`, learned from `labels` outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), "doc_id")
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
