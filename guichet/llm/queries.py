@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import sql, toxicity
+from guichet.llm import langid, sql, toxicity
 from guichet.llm.common import remainder
 from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
@@ -64,3 +64,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     scored = toxicity.score(docs, toxicity.fit(docs, labels), "doc_id")
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of `documents`, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder("doc_id", 5) != 0).select("doc_id", "text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
