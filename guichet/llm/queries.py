@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import langid, sql, toxicity
+from guichet.llm import langid, lm, sql, toxicity
 from guichet.llm.common import remainder
 from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
@@ -73,3 +73,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(remainder("doc_id", 5) != 0).select("doc_id", "text", "lang"))
     found = langid.identify(docs, model)
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query()
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every text of `documents` under a model learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) != 2).alias("trains"))
+    found = lm.score(docs).withColumn("held_out", ~F.col("trains"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
