@@ -119,16 +119,13 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def dealt(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """Deal rows out by key: (bucket, packed columns), the rows of a bucket sorted by key."""
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    # equal high bits go together, so one sort gives both the bucket and the order inside it
-    bucket = ((keys[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    edges = runs(bucket)
+    """Deal rows out by key: (bucket, packed columns). Rows of a bucket keep their order, so runs stay compressible."""
+    bucket = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = runs(bucket[order])
     packed = [c[order] for c in (keys, *columns)]
     for a, b in zip(edges[:-1], edges[1:]):
-        yield int(bucket[a]), [c[a:b].tobytes() for c in packed]
+        yield int(bucket[order[a]]), [c[a:b].tobytes() for c in packed]
 
 
 def gathered(batches: Iterator[pa.RecordBatch], names: list[str], kinds: list) -> list[np.ndarray]:

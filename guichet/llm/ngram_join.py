@@ -2,9 +2,11 @@
 
 1.  Copies collapse first: documents with the same set of shingles are one class, named by a hash of the set.
 2.  A global order puts rare shingles first (a fixed-size table of hashed document frequencies, filled over all
-    documents). Two classes with Jaccard similarity of at least s share one of the first n - ceil(s n) + 1 shingles of
-    either, so only those enter the inverted lists. The order decides speed alone; any order gives the same links.
-3.  The lists are dealt out by shingle; those that hold one class vanish.
+    documents). Two classes with Jaccard similarity of at least s share at least m of the first n - ceil(s n) + m
+    shingles of either, for any m, so only those enter the inverted lists; m is 1 + n / 16 of the smaller set. The order
+    decides speed alone; any order gives the same links.
+3.  The lists are dealt out by shingle; those that hold one class vanish, and so do classes that are left in fewer
+    lists than m (a document that shares a common line, no more).
 4.  Candidates are searched in two rounds: first each class of a list against the first of the list, then, once links
     found so far have joined classes into components, only pairs of a list that lie in different components. A group of
     n near copies is thus joined with about n searches; no link between components is lost.
@@ -37,6 +39,8 @@ CELLS = 1 << 21
 BLOCK = 1 << 19
 _PROFILE = "doc_id long, n long, key long, cell int, seen long"
 _MU = 0.0085
+#: One shared list more is asked for each so many shingles.
+EXTRA = 16
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +108,7 @@ def _postings(size: int, percent: int, buckets: int, levels: np.ndarray) -> Call
                 chosen = np.zeros(b - a, bool)
                 chosen[once] = True
                 n = sizes[rows]
-                keep = chosen[rows] & (place <= n - (percent * n + 99) // 100)
+                keep = chosen[rows] & (place <= n - (percent * n + 99) // 100 + n // EXTRA)
                 yield _packed(K.dealt(grams[keep], buckets, keys[rows[keep]], n[keep].astype(np.int32)), ("token", "key", "n"))
 
     return run
@@ -117,24 +121,18 @@ def _packed(dealt: Iterator[tuple[int, list[bytes]]], names: tuple[str, ...]) ->
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of at least two classes: a row for each entry, with the first class of its list."""
+    """Entries of the lists with at least two classes."""
     token, key, n = K.gathered(batches, ["token", "key", "n"], [np.uint64, np.uint64, np.int32])
     order = np.lexsort((key, token))
     token, key, n = token[order], key[order], n[order]
     keep = np.ones(len(token), bool)
     keep[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
     token, key, n = token[keep], key[keep], n[keep]
-    edges = K.runs(token)
-    lengths = np.diff(edges)
+    lengths = np.diff(K.runs(token))
     keep = np.repeat(lengths > 1, lengths)
-    hub, hub_n = np.repeat(key[edges[:-1]], lengths)[keep], np.repeat(n[edges[:-1]], lengths)[keep]
-    token, key, n = token[keep], key[keep], n[keep]
+    token, key, n = token[keep].view(np.int64), key[keep].view(np.int64), n[keep].astype(np.int64)
     for i in range(0, len(token), 1 << 16):
-        j = i + (1 << 16)
-        yield pa.record_batch(
-            [pa.array(x[i:j].view(np.int64)) for x in (token, key, hub)] + [pa.array(n[i:j].astype(np.int64)), pa.array(hub_n[i:j].astype(np.int64))],
-            names=["token", "key", "hub", "n", "hub_n"],
-        )
+        yield pa.record_batch([pa.array(x[i : i + (1 << 16)]) for x in (token, key, n)], names=["token", "key", "n"])
 
 
 def _packed_sets(size: int) -> Callable:
@@ -221,10 +219,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     dealt = docs.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, buckets, levels), "bucket int, token binary, key binary, n binary")
-    lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, hub long, n long, hub_n long"), "lists")
-
-    within = "100 * least(n_x, n_y) >= {0} * greatest(n_x, n_y)".format(percent)
-    first = lists.where("key <> hub").selectExpr("hub as x", "key as y", "hub_n as n_x", "n as n_y").where(within).distinct()
+    lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n long"), "lists")
+    shared = lists.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
+    lists = lists.join(shared.select("key"), "key").select("token", "key", "n")
+    hubs = lists.groupBy("token").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    lists = staged(lists.join(hubs, "token").selectExpr("token", "key", "n", "hub.key as hub", "hub.n as hub_n"), "lists")
+
+    within = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    first = staged(lists.where("key <> hub").selectExpr("hub as x", "key as y", "hub_n as n_x", "n as n_y").where(within).distinct(), "first")
     wanted = lists.select("key").distinct().join(classes, "key")
     sets = docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(_packed_sets(size), "key long, grams binary")
     # the same id may stand for other texts too: keep the classes asked for, once
@@ -238,9 +240,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     there = there.join(mixed, "token")
     left = there.selectExpr("token", "key as x", "n as n_x", "component as c_x")
     right = there.selectExpr("token", "key as y", "n as n_y", "component as c_y")
-    second = left.join(right, "token").where("c_x <> c_y and x < y").where(within).select("x", "y", "n_y").distinct()
+    second = left.join(right, "token").where("c_x <> c_y and x < y").where(within)
+    second = second.groupBy("x", "y", "n_y").agg(F.count("*").alias("shared"), F.first("n_x").alias("n_x")).where(f"shared > floor(least(n_x, n_y) / {EXTRA})")
     tried = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    second = staged(second.join(tried, ["x", "y"], "left_anti"), "second")
+    second = staged(second.select("x", "y", "n_y").join(tried, ["x", "y"], "left_anti"), "second")
     links = staged(links.unionByName(_verified(second, sets, percent)), "found")
 
     joined = components(links.select("a", "b"))
