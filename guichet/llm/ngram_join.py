@@ -7,11 +7,15 @@
     decides speed alone; any order gives the same links.
 3.  The lists are dealt out by shingle; those that hold one class vanish, and so do classes that are left in fewer
     lists than m (a document that shares a common line, no more).
-4.  Candidates are searched in two rounds: first each class of a list against the first of the list, then, once links
-    found so far have joined classes into components, only pairs of a list that lie in different components. A group of
-    n near copies is thus joined with about n searches; no link between components is lost.
-5.  A search takes one query class and a block of candidates: DivideSkip sets the longest lists aside, merges the
-    short ones with a heap, and probes the long ones by bisection for what the merge has left.
+4.  First each class is searched among the hubs of its lists (the hub shares most of its lists, and is mostly the text
+    that others were copied from). What is linked so far is one component.
+5.  Classes with the same hub form a cluster, kept in blocks of bounded size. Within a cluster, every block is searched
+    for the classes of every block, but for those of their own component; between clusters, pairs of a list that lie in
+    different components and share m lists are. No link between components is lost, and a group of n near copies that
+    are all linked costs about n searches.
+6.  A search is one query class against an inverted index of candidates: DivideSkip sets the longest lists aside, merges
+    the short ones (with a heap, or by counting where they are many), and probes the long ones by bisection for what
+    the merge has left.
 
 A null or wordless text has an empty set and no link. Rows with a null id are returned with a null component and
 take no part. A repeated row is a copy like any other.
@@ -35,8 +39,10 @@ from guichet.llm.components import components
 
 #: Cells of the frequency table; the only thing that is broadcast, one byte a cell.
 CELLS = 1 << 21
-#: Shingles of the candidates that one search may hold.
-BLOCK = 1 << 19
+#: Shingles and classes of a block; a search holds two blocks.
+BLOCK, BLOCK_CLASSES = 1 << 17, 1 << 8
+#: Entries of short lists from which on they are merged by counting.
+MANY = 1 << 11
 _PROFILE = "doc_id long, n long, key long, cell int, seen long"
 _MU = 0.0085
 #: One shared list more is asked for each so many shingles.
@@ -148,62 +154,123 @@ def _packed_sets(size: int) -> Callable:
     return run
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], least: list[int]) -> list[int]:
-    """Overlap of every candidate with the query where it reaches `least`, else 0 (all arrays sorted and distinct)."""
-    flat = np.concatenate(candidates)
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    at = np.searchsorted(query, flat)
-    hit = query[np.minimum(at, len(query) - 1)] == flat
-    at, owner = at[hit], owner[hit]
-    order = np.argsort(at, kind="stable")
-    owner, edges = owner[order], K.runs(at[order])
-    lists = sorted((owner[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])), key=len)
-    found = [0] * len(candidates)
-    needed = min(least)
-    if len(lists) < needed:
+class Index:
+    """Inverted index of some sets (all sorted and distinct)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.sizes, edges = owner[order], np.array([len(c) for c in sets]), K.runs(flat[order])
+        self.grams, self.edges = flat[order][edges[:-1]], edges
+
+    def divide_skip(self, query: np.ndarray, percent: int, allowed: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """(set, overlap) of every (allowed) set whose overlap with the query reaches `percent` of the union."""
+        if not len(query) or not len(self.grams):
+            return []
+        least = -(-percent * (len(query) + self.sizes) // (100 + percent))
+        able = least <= np.minimum(len(query), self.sizes)
+        able = able if allowed is None else able & allowed
+        if not able.any():
+            return []
+        at = np.minimum(np.searchsorted(self.grams, query), len(self.grams) - 1)
+        at = at[self.grams[at] == query]
+        lengths = self.edges[at + 1] - self.edges[at]
+        order = np.argsort(lengths, kind="stable")
+        at, lengths = at[order], lengths[order]
+        needed = int(least[able].min())
+        if len(at) < needed:
+            return []
+        aside = min(int(needed / (_MU * log2(max(2, int(lengths[-1]))) + 1)), needed - 1)
+        short, long = at[: len(at) - aside], at[len(at) - aside :]
+        if lengths[: len(short)].sum() < MANY:
+            merged: dict[int, int] = {}
+            for i in heapq.merge(*[self.owner[self.edges[k] : self.edges[k + 1]].tolist() for k in short]):
+                merged[i] = merged.get(i, 0) + 1
+            left = [(i, c) for i, c in merged.items() if c >= needed - aside and able[i]]
+        else:
+            counts = np.bincount(self.owner[K.ranges(self.edges[short], lengths[: len(short)])], minlength=len(self.sizes))
+            left = [(i, int(counts[i])) for i in np.flatnonzero((counts >= needed - aside) & able).tolist()]
+        found = []
+        probes = [self.owner[self.edges[k] : self.edges[k + 1]] for k in long]
+        for i, count in left:
+            for k, entries in enumerate(probes):
+                if count + len(probes) - k < least[i]:
+                    break
+                p = bisect_left(entries, i)
+                count += p < len(entries) and int(entries[p]) == i
+            if count >= least[i]:
+                found.append((i, int(count)))
         return found
-    aside = min(int(needed / (_MU * log2(max(2, len(lists[-1]))) + 1)), needed - 1)
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    merged: dict[int, int] = {}
-    for i in heapq.merge(*short):
-        merged[i] = merged.get(i, 0) + 1
-    for i, count in merged.items():
-        if count < needed - aside:
-            continue
-        for k, entries in enumerate(long):
-            if count + len(long) - k < least[i]:
-                break
-            p = bisect_left(entries, i)
-            count += p < len(entries) and entries[p] == i
-        found[i] = count if count >= least[i] else 0
-    return found
-
-
-def _search(percent: int) -> Callable:
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
+
+
+def _linked(rows: list[tuple[int, int, int]]) -> pa.Table:
+    return pa.table({n: [r[i] for r in rows] for i, n in enumerate(_LINKS.names)}, schema=_LINKS)
+
+
+def _search_pairs(percent: int) -> Callable:
+    """Links among the pairs (x, y) of a group, which holds the set of every class once (rows without y)."""
+
     def run(table: pa.Table) -> pa.Table:
-        kind, keys = table["is_query"].to_pylist(), table["y"].to_pylist()
+        is_set = table["y"].is_null().to_numpy()
+        keys, others = table["x"].to_numpy(), table["y"].fill_null(0).to_numpy().astype(np.int64)
+        grams = table["grams"].to_pylist()
+        sets = {int(keys[i]): np.frombuffer(grams[i], np.uint64) for i in np.flatnonzero(is_set).tolist()}
+        x, y = keys[~is_set], others[~is_set]
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        edges = K.runs(x)
+        out: list[tuple[int, int, int]] = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            index = Index([sets[k] for k in y[a:b].tolist()])
+            out += [(int(x[a]), int(y[a + i]), n) for i, n in index.divide_skip(sets[int(x[a])], percent)]
+        return _linked(out)
+
+    return run
+
+
+def _search_blocks(percent: int) -> Callable:
+    """Links between the classes of block `one` and those of block `two` that lie in different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, component, second = table["key"].to_numpy(), table["component"].to_numpy(), table["second"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in table["grams"].to_pylist()]
-        query = sets[kind.index(True)] if True in kind else np.zeros(0, np.uint64)
-        at = [i for i, q in enumerate(kind) if not q]
-        out: dict[str, list] = {"a": [], "b": [], "overlap": []}
-        if len(query) and at:
-            least = [-(-percent * (len(query) + len(sets[i])) // (100 + percent)) for i in at]
-            for i, overlap in zip(at, divide_skip(query, [sets[i] for i in at], least)):
-                if overlap:
-                    out["a"].append(table["x"][0].as_py()), out["b"].append(keys[i]), out["overlap"].append(overlap)
-        return pa.table(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())]))
+        same = table["one"][0].as_py() == table["two"][0].as_py()
+        held = np.arange(len(keys)) if same else np.flatnonzero(second)
+        index = Index([sets[i] for i in held])
+        out: list[tuple[int, int, int]] = []
+        for q in range(len(keys)) if same else np.flatnonzero(~second).tolist():
+            allowed = component[held] != component[q]
+            if same:
+                allowed[: q + 1] = False
+            out += [(int(keys[q]), int(keys[held[i]]), n) for i, n in index.divide_skip(sets[q], percent, allowed)]
+        return _linked(out)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b, overlap) among candidate pairs (x, y, n_y)."""
-    blocks = pairs.groupBy("x").agg(F.ceil(F.sum("n_y") / BLOCK).alias("blocks"))
-    pairs = pairs.join(blocks, "x").select("x", F.pmod(F.hash("y"), F.col("blocks")).alias("block"), "y")
-    shown = sets.withColumnRenamed("key", "y")
-    asked = pairs.select("x", "block").distinct().withColumn("y", F.col("x")).join(shown, "y").withColumn("is_query", F.lit(True))
-    given = pairs.join(shown, "y").withColumn("is_query", F.lit(False))
-    return asked.unionByName(given).groupBy("x", "block").applyInArrow(_search(percent), "a long, b long, overlap long")
+def _among_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among candidate pairs (x, y); `sets` holds (key, cluster, part, grams). A set travels once for two blocks."""
+    where = sets.select("key", F.xxhash64("cluster", "part").alias("block"))
+    pairs = pairs.select("x", "y").join(where.toDF("x", "block_x"), "x").join(where.toDF("y", "block_y"), "y")
+    pairs = staged(pairs.select(F.least("block_x", "block_y").alias("one"), F.greatest("block_x", "block_y").alias("two"), "x", "y"), "pairs")
+    members = pairs.select("one", "two", F.explode(F.array("x", "y")).alias("key")).distinct()
+    held = members.join(sets.select("key", "grams"), "key").select("one", "two", F.col("key").alias("x"), F.lit(None).cast("long").alias("y"), "grams")
+    asked = pairs.withColumn("grams", F.lit(None).cast("binary"))
+    return held.unionByName(asked).groupBy("one", "two").applyInArrow(_search_pairs(percent), "a long, b long, overlap long")
+
+
+def _within_clusters(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of a cluster, block by block."""
+    sets = sets.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = sets.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.max("part") + 1).alias("parts")).where("low <> high")
+    sets = sets.join(mixed.select("cluster", "parts"), "cluster")
+    copies = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    rows = copies.select("cluster", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), (F.col("part") > F.col("other")).alias("second"), "key", "component", "grams")
+    return rows.groupBy("cluster", "one", "two").applyInArrow(_search_blocks(percent), "a long, b long, overlap long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -221,30 +288,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = docs.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, buckets, levels), "bucket int, token binary, key binary, n binary")
     lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n long"), "lists")
     shared = lists.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
-    lists = lists.join(shared.select("key"), "key").select("token", "key", "n")
-    hubs = lists.groupBy("token").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    lists = staged(lists.join(hubs, "token").selectExpr("token", "key", "n", "hub.key as hub", "hub.n as hub_n"), "lists")
-
-    within = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    first = staged(lists.where("key <> hub").selectExpr("hub as x", "key as y", "hub_n as n_x", "n as n_y").where(within).distinct(), "first")
-    wanted = lists.select("key").distinct().join(classes, "key")
-    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(_packed_sets(size), "key long, grams binary")
+    lists = lists.join(shared.select("key", (F.col("shared") / F.col("n")).alias("rank")), "key").select("token", "key", "n", "rank")
+    hubs = lists.groupBy("token").agg(F.max(F.struct("rank", "key", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    lists = staged(lists.join(hubs, "token").selectExpr("token", "key", "n", "rank", "hub.key as hub", "hub.n as hub_n"), "lists")
+
+    placed = lists.groupBy("key", "n", "hub").agg(F.count("*").alias("times")).groupBy("key", "n").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    placed = staged(placed, "placed")
+    placed = placed.join(placed.select(F.col("key").alias("hub"), F.col("hub").alias("cluster")), "hub", "left").select("key", "n", F.coalesce("cluster", "hub").alias("cluster"))
+    room = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_CLASSES)).alias("blocks"))
+    placed = placed.join(room, "cluster").select("key", "cluster", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part"))
+    placed = staged(placed.join(classes, "key"), "placed")
+    sets = docs.join(placed.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(_packed_sets(size), "key long, grams binary")
     # the same id may stand for other texts too: keep the classes asked for, once
-    sets = staged(sets.join(wanted.select("key"), "key").groupBy("key").agg(F.first("grams").alias("grams")), "sets")
-    links = staged(_verified(first.select("x", "y", "n_y"), sets, percent), "found")
+    sets = staged(sets.join(placed.select("key", "cluster", "part"), "key").groupBy("key", "cluster", "part").agg(F.first("grams").alias("grams")), "sets")
 
+    within = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    ordered = (F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = lists.where("key <> hub").selectExpr("hub as x", "key as y", "hub_n as n_x", "n as n_y").where(within).select(*ordered).distinct()
+    links = staged(_among_pairs(pairs, sets, percent), "found")
     joined = components(links.select("a", "b"))
-    there = lists.select("token", "key", "n").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    there = staged(there, "listed")
-    mixed = there.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    there = there.join(mixed, "token")
-    left = there.selectExpr("token", "key as x", "n as n_x", "component as c_x")
-    right = there.selectExpr("token", "key as y", "n as n_y", "component as c_y")
-    second = left.join(right, "token").where("c_x <> c_y and x < y").where(within)
-    second = second.groupBy("x", "y", "n_y").agg(F.count("*").alias("shared"), F.first("n_x").alias("n_x")).where(f"shared > floor(least(n_x, n_y) / {EXTRA})")
-    tried = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    second = staged(second.select("x", "y", "n_y").join(tried, ["x", "y"], "left_anti"), "second")
-    links = staged(links.unionByName(_verified(second, sets, percent)), "found")
+
+    there = lists.select("token", "key", "n").join(placed.select("key", "cluster"), "key").join(joined.withColumnRenamed("node", "key"), "key", "left")
+    there = there.withColumn("component", F.coalesce("component", "key"))
+    mixed = there.groupBy("token").agg(*[f(c).alias(f"{n}_{c}") for c in ("component", "cluster") for n, f in (("low", F.min), ("high", F.max))])
+    there = staged(there.join(mixed.where("low_component <> high_component and low_cluster <> high_cluster").select("token"), "token"), "listed")
+    left = there.selectExpr("token", "key as x", "n as n_x", "component as c_x", "cluster as g_x")
+    right = there.selectExpr("token", "key as y", "n as n_y", "component as c_y", "cluster as g_y")
+    across = left.join(right, "token").where("c_x <> c_y and g_x <> g_y and x < y").where(within)
+    across = across.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first(F.least("n_x", "n_y")).alias("n")).where(f"shared > floor(n / {EXTRA})")
+    links = staged(links.unionByName(_within_clusters(sets, joined, percent)).unionByName(_among_pairs(across, sets, percent)), "found")
 
     joined = components(links.select("a", "b"))
     named = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
