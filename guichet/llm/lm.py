@@ -116,28 +116,30 @@ def _rare(words: Vocabulary, buckets: int) -> Callable:
     return run
 
 
-def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text its rarer words as (training count, occurrences); and, without a text, words by training count."""
-    word, doc, times, trains = K.gathered(batches, ["word", "doc", "times", "trains"], [np.uint64, np.int64, np.int32, np.uint8])
-    order = np.argsort(word, kind="stable")
-    edges = K.runs(word[order])
-    known = np.add.reduceat((times * trains)[order].astype(np.int64), edges[:-1]) if len(word) else np.zeros(0, np.int64)
-    count = np.empty(len(word), np.int64)
-    count[order] = np.repeat(known, np.diff(edges))
-    kinds, words = np.unique(known, return_counts=True)
-    if len(kinds):
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([kinds.tobytes()]), pa.array([words.astype(np.int64).tobytes()])], names=["doc", "count", "times"])
-    order = np.lexsort((count, doc))
-    doc, count, times = doc[order], count[order], times[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (count[1:] != count[:-1])
-    first = np.flatnonzero(fresh)
-    times = np.add.reduceat(times.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    doc, count = doc[first], count[first]
-    edges = K.runs(doc)
-    for i in range(0, len(edges) - 1, 4096):
-        bounds = list(zip(edges[i : i + 4096], edges[i + 1 : i + 4097]))
-        yield pa.record_batch([pa.array(doc[[a for a, _ in bounds]]), pa.array([count[a:b].tobytes() for a, b in bounds]), pa.array([times[a:b].tobytes() for a, b in bounds])], names=["doc", "count", "times"])
+def _recounted(buckets: int) -> Callable:
+    """The rarer words of texts as (text, training count, occurrences), dealt out by text; and, without a bucket, words by training count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "doc", "count", "times"]
+        word, doc, times, trains = K.gathered(batches, ["word", "doc", "times", "trains"], [np.uint64, np.int64, np.int32, np.uint8])
+        order = np.argsort(word, kind="stable")
+        edges = K.runs(word[order])
+        known = np.add.reduceat((times * trains)[order].astype(np.int64), edges[:-1]) if len(word) else np.zeros(0, np.int64)
+        count = np.empty(len(word), np.int64)
+        count[order] = np.repeat(known, np.diff(edges))
+        kinds, words = np.unique(known, return_counts=True)
+        if len(kinds):
+            yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([kinds.tobytes()]), pa.array([words.astype(np.int64).tobytes()])], names=names)
+        order = np.lexsort((count, doc))
+        doc, count, times = doc[order], count[order], times[order]
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = (doc[1:] != doc[:-1]) | (count[1:] != count[:-1])
+        first = np.flatnonzero(fresh)
+        times = np.add.reduceat(times.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        for bucket, blobs in K.dealt(doc[first].view(np.uint64), buckets, count[first], times):
+            yield pa.record_batch([pa.array([bucket], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], names=names)
+
+    return run
 
 
 def stirling(discount: float, size: int) -> np.ndarray:
@@ -279,7 +281,7 @@ def fit(docs: DataFrame, rare: DataFrame, words: Vocabulary) -> Model:
                     average[context] += parent
     average = average / (SWEEPS - BURN_IN) if served else np.full(average.shape, 1 / _DISHES)
     kinds: dict[int, int] = {}
-    for r in rare.where("doc is null").toLocalIterator():  # words by count: distinct counts only
+    for r in rare.where("bucket is null").toLocalIterator():  # words by count: distinct counts only
         for c, n in zip(np.frombuffer(r["count"], np.int64).tolist(), np.frombuffer(r["times"], np.int64).tolist()):
             kinds[c] = kinds.get(c, 0) + n
     keys = np.array(sorted(kinds), np.int64)
@@ -309,14 +311,17 @@ def _scored(model: Model) -> Callable:
 
 
 def _scored_rare(model: Model) -> Callable:
+    """For each text of a bucket, what its rarer words add."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.frombuffer(x, np.int64) for x in column(batch, "count").to_pylist()]
-            times = [np.frombuffer(x, np.int64) for x in column(batch, "times").to_pylist()]
-            known = [int(t[c > 0].sum()) for c, t in zip(counts, times)]
-            base = [float((t * (np.log10(c + 1.0) - np.log10(model.tokens + model.distinct + 1.0))).sum()) for c, t in zip(counts, times)]
-            score = [float((t * model.rare(c)).sum()) for c, t in zip(counts, times)]
-            yield pa.record_batch([column(batch, "doc"), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc", "known", "base", "score"])
+        doc, count, times = K.gathered(batches, ["doc", "count", "times"], [np.int64, np.int64, np.int64])
+        order = np.argsort(doc, kind="stable")
+        doc, count, times = doc[order], count[order], times[order]
+        first = K.runs(doc)[:-1]
+        base = times * (np.log10(count + 1.0) - np.log10(model.tokens + model.distinct + 1.0))
+        sums = [np.add.reduceat(v, first) if len(first) else v for v in (times * (count > 0), base, times * model.rare(count))]
+        for i in range(0, len(first), 1 << 14):
+            yield pa.record_batch([pa.array(doc[first][i : i + (1 << 14)])] + [pa.array(v[i : i + (1 << 14)]) for v in sums], names=["doc", "known", "base", "score"])
 
     return run
 
@@ -330,12 +335,12 @@ def score(docs: DataFrame) -> DataFrame:
     order = np.argsort(top)
     words = Vocabulary(top[order], order)
     dealt = docs.select("doc", "trains", "text").mapInArrow(_rare(words, parts(spark)), "bucket int, word binary, doc binary, times binary, trains binary")
-    rare = staged(dealt.repartition(parts(spark), "bucket").mapInArrow(_recounted, "doc long, count binary, times binary"), "recounted")
+    rare = staged(dealt.repartition(parts(spark), "bucket").mapInArrow(_recounted(parts(spark)), "bucket int, doc binary, count binary, times binary"), "recounted")
     model = fit(docs, rare, words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc", "doc_id", "trains", "text").mapInArrow(_scored(model), f"doc long, doc_id {kind}, trains boolean, n_tokens long, known long, base double, score double")
-    more = rare.where("doc is not null").mapInArrow(_scored_rare(model), "doc long, known long, base double, score double")
-    more = more.groupBy("doc").agg(*[F.sum(n).alias(f"more_{n}") for n in ("known", "base", "score")])
+    more = rare.where("bucket is not null").repartition(parts(spark), "bucket")
+    more = more.mapInArrow(_scored_rare(model), "doc long, known long, base double, score double").toDF("doc", "more_known", "more_base", "more_score")
     # rows with equal id and text share what their rarer words add up to
     copies = own.groupBy("doc").agg(F.count("*").alias("copies")).where("copies > 1")
     out = own.join(more, "doc", "left").join(copies, "doc", "left")
