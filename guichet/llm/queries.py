@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import langid, lm, sql, toxicity
+from guichet.llm import ann, langid, lines, lm, mixing, sql, toxicity
 from guichet.llm.common import remainder
 from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
@@ -81,3 +81,22 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) != 2).alias("trains"))
     found = lm.score(docs).withColumn("held_out", ~F.col("trains"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@_query()
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector of `embeddings` whose id is divisible by 100."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@_query(sql.LINE_DEDUP)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` without lines on more than a twentieth of the pages of their source."""
+    kept = lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+@_query(sql.MIXING)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of `documents` mixed by temperature to 0.97 of the largest entropy, no source more than four times."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))

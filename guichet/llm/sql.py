@@ -46,3 +46,70 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (doc_id) left join it using (doc_id)
 """
+
+LINE_DEDUP = """
+with l as (select doc_id, source, text, unnest(generate_series(1, len(string_split(text, chr(10))))) as i, string_split(text, chr(10)) as a from documents),
+f as (select doc_id, source, i, a[i] as line, trim(a[i]) as bare from l),
+c as (select source, bare, count(*) as n from (select distinct doc_id, source, bare from f where bare <> '') group by all),
+t as (select source, count(*) as pages from documents group by 1),
+bad as (select c.source, c.bare from c join t on c.source is not distinct from t.source where n >= 3 and n * 1000 > pages * 50),
+k as (
+  select f.doc_id, count(*) as n_lines, count(bad.bare) as n_dropped, string_agg(f.line, chr(10) order by f.i) filter (where bad.bare is null) as kept
+  from f left join bad on f.source is not distinct from bad.source and f.bare = bad.bare group by 1)
+select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped, md5(coalesce(kept, '')) as kept_md5
+from documents d left join k using (doc_id)
+"""
+
+_ENTROPY = "(ln(list_sum(list_transform(ps, lambda p: pow(p, m)))) - m * list_sum(list_transform(ps, lambda p: pow(p, m) * ln(p))) / list_sum(list_transform(ps, lambda p: pow(p, m))))"
+_REPEATS = "(list_max(list_transform(ps, lambda p: pow(p, m) / p)) / list_sum(list_transform(ps, lambda p: pow(p, m))))"
+
+
+def mixing_of(documents: str) -> str:
+    """The mix over a table or subquery (doc_id, source, text); the budget is its number of tokens."""
+    return rf"""
+with recursive n as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as tokens from {documents}),
+s as (
+  select source, total, least(ceil(total / 100000)::bigint, 65536) as blocks
+  from (select source, sum(tokens)::bigint as total from n group by 1) where total > 0),
+a as (select sum(total)::bigint as budget, count(*) as k from s),
+ps as (select list(total / budget) as ps, any_value(k) as k from s, a),
+flat(step, lo, hi) as (
+  select 0, 0.0::double, 1.0::double
+  union all
+  select step + 1, case when h >= 0.97 * ln(k) then m else lo end, case when h >= 0.97 * ln(k) then hi else m end
+  from (select step, lo, hi, m, k, {_ENTROPY} as h from (select step, lo, hi, (lo + hi) / 2 as m, ps, k from flat, ps where step < 32))),
+steep(step, lo, hi) as (
+  select 0, 0.0::double, 1.0::double
+  union all
+  select step + 1, case when r > 4.0 then m else lo end, case when r > 4.0 then hi else m end
+  from (select step, lo, hi, m, {_REPEATS} as r from (select step, lo, hi, (lo + hi) / 2 as m, ps from steep, ps where step < 32))),
+x as (select greatest(f.lo, case when t.lo > 0 then t.hi else 0.0 end) as x from flat f, steep t where f.step = 32 and t.step = 32),
+z as (select sum(pow(total / budget, x)) as z from s, a, x),
+plan as (
+  select source, total, blocks, own, (own // total) as full, own - (own // total) * total as rest
+  from (select source, total, blocks, floor(round(pow(total / budget, x) / z, 6) * budget)::bigint as own from s, a, x, z)),
+b as (
+  select doc_id, n.source, tokens, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint % blocks as block
+  from n join plan on n.source is not distinct from plan.source),
+sized as (select source, block, sum(tokens)::bigint as size from b group by all),
+e as (
+  select z.source, z.block, size, "full", rest, unnest(range(0, "full" + 1)) as epoch
+  from sized z join plan p on z.source is not distinct from p.source),
+o as (
+  select *, row_number() over w as place, sum(size) over (w rows between unbounded preceding and current row) as upto from e
+  window w as (partition by source, epoch order by md5('17:' || coalesce(source, '') || ':' || epoch || ':' || block), block)),
+r as (
+  select * from (select *, case when epoch < "full" then size else rest - upto + size end as room from o) where room > 0 or epoch < "full"),
+j as (select doc_id, b.source, tokens, epoch, place, size, room, "full", b.block from b join r on b.source is not distinct from r.source and b.block = r.block),
+c as (
+  select *, sum(tokens) over (
+    partition by source, block order by md5('17:' || coalesce(source, '') || ':' || epoch || ':' || coalesce(doc_id::varchar, '')), doc_id, tokens
+    rows between unbounded preceding and current row) as got
+  from j where epoch = "full" and size > room)
+select doc_id, source, tokens, epoch::bigint as epoch, place::int as place from j where epoch < "full" or size <= room
+union all select doc_id, source, tokens, epoch::bigint, place::int from c where got <= room
+"""
+
+
+MIXING = mixing_of("documents")
