@@ -1,18 +1,70 @@
-"""Corpus pipeline: toxicity, line dedup, near copies, decontamination, mixing."""
+"""Corpus pipeline: toxicity, line dedup, near copies, decontamination, mixing to target weights.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of `documents`, but for the last, which returns what
+the mix reads: (doc_id, source, tokens, epoch, place). Ids are keys; equal rows are copies. Rows with a null id are
+scored, deduplicated and mixed like others, but take no part in near copies and decontamination, and stay there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from guichet.llm import lines, mixing, toxicity
+from guichet.llm.common import remainder, staged
+from guichet.llm.decontaminate import contamination, is_contaminated
+from guichet.llm.ngram_join import jaccard_classes
 from guichet.sources.tables import table
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity, learned from the labels outside the held-out fold, is below 0.3."""
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    return toxicity.score(docs, toxicity.fit(docs, labels), *COLUMNS).where("toxicity < 0.3").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source."""
+    kept = lines.drop_boilerplate(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    classes = jaccard_classes(docs)
+    gone = staged(classes.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which windows of the benchmark cover less than a twentieth."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = staged(found.where(is_contaminated()).select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix reads: rows of each source as often as its weight asks, in permuted blocks."""
+    return mixing.mix(docs.select("doc_id", "source", "text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: The first stage is a model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in order over `documents`."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Every stage in order over `documents`; each stage's table is stored in the shared folder for the next."""
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

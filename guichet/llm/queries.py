@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import ann, langid, lines, lm, mixing, sql, toxicity
+from guichet.llm import ann, langid, lines, lm, mixing, sql, surrogates, toxicity
 from guichet.llm.common import remainder
 from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
@@ -100,3 +100,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of `documents` mixed by temperature to 0.97 of the largest entropy, no source more than four times."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@_query()
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` with personal data replaced by keyed surrogates."""
+    done = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_entities").alias("n_entities"), F.col("_kinds").alias("kinds"), "text")
