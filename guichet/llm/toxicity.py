@@ -1,8 +1,10 @@
 """Toxicity score: gradient-boosted trees over dense features of the text, with isotonic calibration.
 
-The model learns from at most SAMPLE labelled rows (those with the smallest hash of their id), split three ways: one
-part finds the lexicon (words, and beginnings of words, whose document frequency among toxic rows stands out), one
-part fits the trees, one part the calibration. Every row is scored, each whole text in one pass without an exchange.
+The model learns from at most SAMPLE labelled rows (those with the smallest hash of their id), in two halves. Each half
+gives a lexicon (words, and beginnings of words, whose document frequency among toxic rows stands out) that describes
+the rows of the other half, so that no row is judged by words it taught; trees fitted on one half are calibrated on the
+other. The model that scores has the lexicon and the trees of both. Every row is scored, each whole text in one pass
+without an exchange.
 
 Features: density of strong and mild lexicon hits, their number and weight, hits near a second-person pronoun, hits
 that show only once a disguise is undone (digits and signs for letters, signs between them), capitals, shouting,
@@ -163,8 +165,8 @@ def _lexicon(sample: DataFrame, bad: int, good: int) -> Lexicon:
     """Units that stand out by their log odds and by its size in standard errors; at most LEXICON of them."""
     counts = sample.select("text", "toxic").mapInArrow(_counted, "unit long, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    counts = counts.where("bad >= 4").withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
-    top = counts.where("odds > 1 and z > 3.5").orderBy(F.desc("z"), "unit").limit(LEXICON).toArrow()
+    counts = counts.where(F.col("bad") >= max(4, bad // 200)).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
+    top = counts.where("odds > 1 and z > 2.8").orderBy(F.desc("z"), "unit").limit(LEXICON).toArrow()
     hashes = top["unit"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Lexicon(hashes[order], top["odds"].to_numpy().astype(float)[order])
@@ -181,12 +183,16 @@ class Model:
         return boosting.calibrated(self.trees.margin(_features(self.lexicon, data, offsets)), self.knots, self.values)
 
 
-def _featured(lexicon: Lexicon) -> Callable:
+def _featured(lexicons: list[Lexicon]) -> Callable:
+    """Features of each row by the lexicon of the other half."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            half = column(batch, "half").to_numpy()
             for a, b, data, offsets in K.slices(column(batch, "text")):
-                x = _features(lexicon, data, offsets)
-                yield pa.record_batch([column(batch, n).slice(a, b - a) for n in ("toxic", "part")] + [pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "part", "x"])
+                by = [_features(lexicon, data, offsets) for lexicon in lexicons]
+                x = np.where((half[a:b] == 0)[:, None], by[1], by[0])
+                yield pa.record_batch([column(batch, n).slice(a, b - a) for n in ("toxic", "half")] + [pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "half", "x"])
 
     return run
 
@@ -195,17 +201,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from `labels(doc_id, toxic)` of `docs(doc_id, text)`."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(20))
-    chosen = chosen.withColumn("part", F.when(part < 9, 0).when(part < 16, 1).otherwise(2))
+    chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE short rows
-    first = sample.where("part = 0")
-    totals = first.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    lexicon = _lexicon(first, totals[0], totals[1] - totals[0])
-    rest = sample.where("part > 0").select("toxic", "part", "text").mapInArrow(_featured(lexicon), "toxic int, part int, x array<double>").toArrow()
-    y, which = rest["toxic"].to_numpy().astype(float), rest["part"].to_numpy()
-    x = np.array(rest["x"].to_pylist(), float).reshape(len(y), WIDTH)
-    trees = boosting.fit_trees(x[which == 1], y[which == 1])
-    return Model(lexicon, trees, *boosting.fit_isotonic(trees.margin(x[which == 2]), y[which == 2]))
+    totals = {r["half"]: (r["bad"], r["good"]) for r in sample.groupBy("half").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
+    halves = [_lexicon(sample.where(F.col("half") == h), *totals.get(h, (0, 0))) for h in (0, 1)]
+    rows = sample.select("toxic", "half", "text").mapInArrow(_featured(halves), "toxic int, half int, x array<double>").toArrow()
+    y, half = rows["toxic"].to_numpy().astype(float), rows["half"].to_numpy()
+    x = np.array(rows["x"].to_pylist(), float).reshape(len(y), WIDTH)
+    margin = np.zeros(len(y))
+    for h in (0, 1):
+        margin[half != h] = boosting.fit_trees(x[half == h], y[half == h]).margin(x[half != h])
+    lexicon = _lexicon(sample, *[sum(t[k] for t in totals.values()) for k in (0, 1)])
+    return Model(lexicon, boosting.fit_trees(x, y), *boosting.fit_isotonic(margin, y))
 
 
 def _scored(model: Model, kept: list[str]) -> Callable:
