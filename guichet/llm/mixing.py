@@ -52,7 +52,7 @@ def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, repeat
     flat, steep = (0.0, 1.0), (0.0, 1.0)  # brackets of the entropy's and of the limit's exponent
     for _ in range(_JOBS):
         at = [lo + (hi - lo) * j / _POINTS for lo, hi in (flat, steep) for j in range(1, _POINTS)]
-        points = shares.withColumn("x", F.explode(F.array(*[F.lit(v) for v in at])))
+        points = shares.withColumn("x", F.explode(F.array(*[F.lit(v) for v in sorted(set(at))])))
         powered = points.withColumn("w", F.pow("p", "x"))
         sums = powered.groupBy("x").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("p")).alias("l"), F.max(F.col("w") / F.col("tokens")).alias("most"))
         found = {r["x"]: (r["h"], r["r"]) for r in sums.select("x", (F.log("z") - F.col("x") * F.col("l") / F.col("z")).alias("h"), (F.col("most") / F.col("z") * budget).alias("r")).collect()}
