@@ -1,8 +1,8 @@
-"""Masking of personal identifiers: ordered detectors over a text column.
+"""Masking of personal identifiers: ordered detectors over a text column, all of them column expressions.
 
-EMAIL, NIR and TEL are plain patterns and run as built-in `regexp_replace`. IBAN and card/SIRET
-numbers carry check digits and may be followed or preceded by unrelated groups, so the rows that
-hold a candidate (a JVM pre-filter) go through one Arrow pass; all other rows reach it as NULL.
+EMAIL, NIR and TEL are plain patterns. IBAN and card/SIRET numbers carry check digits, and other groups of letters or
+digits may stand before or behind them: the text is cut where such a number could start, every start is tried on the
+characters that follow it, and the run of whole groups that passes the check and is longest becomes the tag.
 """
 
 from __future__ import annotations
@@ -10,10 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Formats of the identifiers. Space, no-break space and narrow no-break space separate groups.
 _SP = " \u00a0\u202f"
@@ -31,78 +29,63 @@ NUMBER_CANDIDATE = rf"(?<!\w)[0-9](?:[{_SP}-]?[0-9]){{12,18}}(?![0-9])"
 TAGS = r"\[(?:EMAIL|TEL|IBAN|CARTE|NIR|SIRET)\]"
 PII_TYPES = ("CARTE", "EMAIL", "IBAN", "NIR", "SIRET", "TEL")
 
-_CHECKED = T.StructType([T.StructField("text", T.StringType()), T.StructField("types", T.ArrayType(T.StringType()))])
-_CHECKED_ARROW = pa.struct([("text", pa.string()), ("types", pa.list_(pa.string()))])
-_GAP = re.compile(rf"[{_SP}-]")
-
-
-def iban_type(compact: str) -> str | None:
-    """"IBAN" for 15 to 34 characters, mostly digits, whose ISO 13616 remainder is one."""
-    digits = sum(c.isdigit() for c in compact)
-    if not 15 <= len(compact) <= 34 or 2 * digits <= len(compact):
-        return None
-    remainder = 0
-    for c in compact[4:] + compact[:4]:
-        value = int(c, 36)
-        remainder = (remainder * (10 if value < 10 else 100) + value) % 97
-    return "IBAN" if remainder == 1 else None
-
-
-def number_type(digits: str) -> str | None:
-    """"SIRET" (14 digits) or "CARTE" (13 to 19) when the Luhn sum is a multiple of ten."""
-    if not 13 <= len(digits) <= 19:
-        return None
-    doubled = sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
-    if (doubled + sum(int(d) for d in digits[-1::-2])) % 10:
-        return None
-    return "SIRET" if len(digits) == 14 else "CARTE"
-
-
-def _prefix_type(candidate: str, kind_of: Callable[[str], str | None]) -> tuple[int, str] | None:
-    """Longest run of whole groups, from the start of the candidate, that passes the check."""
-    ends = [*(m.start() for m in _GAP.finditer(candidate)), len(candidate)]
-    for end in reversed(ends):
-        kind = kind_of(_GAP.sub("", candidate[:end]))
-        if kind:
-            return end, kind
-    return None
-
-
-def _replace_checked(text: str, pattern: re.Pattern, kind_of: Callable[[str], str | None]) -> tuple[str, list[str]]:
-    """Replace valid numbers by their tag; after a miss the search goes on behind the first group."""
-    pieces, kinds, done, at = [], [], 0, 0
-    while hit := pattern.search(text, at):
-        start = hit.start()
-        valid = _prefix_type(hit.group(), kind_of)
-        if valid is None:
-            at = start + len(_GAP.split(hit.group(), maxsplit=1)[0])
-            continue
-        length, kind = valid
-        pieces += [text[done:start], f"[{kind}]"]
-        kinds.append(kind)
-        done = at = start + length
-    pieces.append(text[done:])
-    return "".join(pieces), kinds
-
-
-def _checked_udf(pattern: str, kind_of: Callable[[str], str | None]):
-    @F.arrow_udf(_CHECKED)
-    def mask(texts: pa.Array) -> pa.Array:
-        compiled = re.compile(pattern)
-        out = []
-        for text in texts.to_pylist():
-            if text is None:
-                out.append(None)
-            else:
-                masked, kinds = _replace_checked(text, compiled, kind_of)
-                out.append({"text": masked, "types": kinds})
-        return pa.array(out, _CHECKED_ARROW)
-
-    return mask
-
-
-_mask_iban = _checked_udf(IBAN_CANDIDATE, iban_type)
-_mask_number = _checked_udf(NUMBER_CANDIDATE, number_type)
+# No candidate is longer than 34 characters with a separator after each.
+_REACH = 80
+
+
+def _is_iban(compact: Column) -> Column:
+    """15 to 34 characters, mostly digits, whose ISO 13616 remainder is one."""
+    rotated = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.left(compact, F.lit(4)))
+    values = F.transform(F.split(rotated, ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    remainder = F.aggregate(values, F.lit(0), lambda left, v: (left * F.when(v < 10, 10).otherwise(100) + v) % 97)
+    return F.length(compact).between(15, 34) & (2 * F.length(F.regexp_replace(compact, "[^0-9]", "")) > F.length(compact)) & (remainder == 1)
+
+
+def _is_number(digits: Column) -> Column:
+    """13 to 19 digits whose Luhn sum is a multiple of ten."""
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+
+
+def _iban_tag(_: Column) -> Column:
+    return F.lit("IBAN")
+
+
+def _number_tag(digits: Column) -> Column:
+    return F.when(F.length(digits) == 14, "SIRET").otherwise("CARTE")
+
+
+def _checked(text: Column, begins: str, candidate: str, gap: str, valid: Callable[[Column], Column], tag: Callable[[Column], Column]) -> Column:
+    """Struct (text, types) of a text with its valid numbers replaced.
+
+    `begins` is what a number starts with, at the start of a word. The fold carries the position of the piece at hand
+    and the position up to which the text is already replaced.
+    """
+    pieces = F.split(text, rf"(?U)(?<!\w)(?={begins})")
+    start = F.struct(
+        F.lit("").alias("out"), F.array().cast("array<string>").alias("types"), F.lit(0).alias("at"), F.lit(0).alias("until"),
+    )
+
+    def longest(at: Column) -> Column:
+        """(characters, compact form) of the longest valid run of whole groups from `at`."""
+        ahead = F.regexp_extract(F.substring(text, at + 1, F.lit(_REACH)), f"(?U)^{candidate}", 0)
+        groups = F.split(ahead, gap)
+        runs = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.struct((F.length(F.array_join(F.slice(groups, 1, n), "-"))).alias("size"), F.array_join(F.slice(groups, 1, n), "").alias("compact")))
+        return F.array_max(F.filter(runs, lambda r: valid(r["compact"])))
+
+    def step(state: Column, piece: Column) -> Column:
+        found = F.when((state["at"] >= state["until"]) & piece.rlike(f"^{begins}"), longest(state["at"]))
+        cut = F.greatest(F.lit(0), state["until"] - state["at"])  # characters of this piece that went into the last tag
+        kept = F.concat(state["out"], F.substring(piece, cut + 1, F.length(piece)))
+        return F.transform(F.array(found), lambda hit: F.when(
+            hit.isNotNull(),
+            F.struct(
+                F.concat(state["out"], F.lit("["), tag(hit["compact"]), F.lit("]"), F.substring(piece, hit["size"] + 1, F.length(piece))).alias("out"),
+                F.concat(state["types"], F.array(tag(hit["compact"]))).alias("types"),
+                (state["at"] + F.length(piece)).alias("at"), (state["at"] + hit["size"]).alias("until"),
+            ),
+        ).otherwise(F.struct(kept.alias("out"), state["types"].alias("types"), (state["at"] + F.length(piece)).alias("at"), state["until"].alias("until"))))[0]
+
+    return F.aggregate(pieces, start, step, lambda state: F.struct(state["out"].alias("text"), state["types"].alias("types")))
 
 
 def mask_email(text: Column) -> Column:
@@ -125,12 +108,14 @@ def core(pattern: str) -> str:
 
 def checked_ibans(text: Column) -> Column:
     """Struct (text, types) for rows holding an IBAN candidate, NULL for the others."""
-    return _mask_iban(F.when(text.rlike(core(IBAN_CANDIDATE)), text))
+    ahead = re.sub(r"^\(\?<!\\w\)", "", IBAN_CANDIDATE)
+    return F.when(text.rlike(core(IBAN_CANDIDATE)), _checked(text, "[A-Za-z]{2}[0-9]{2}", ahead, f"[{_SP}]", _is_iban, _iban_tag))
 
 
 def checked_numbers(text: Column) -> Column:
     """Struct (text, types) for rows holding a 13 to 19 digit candidate, NULL for the others."""
-    return _mask_number(F.when(text.rlike(core(NUMBER_CANDIDATE)), text))
+    ahead = re.sub(r"^\(\?<!\\w\)", "", NUMBER_CANDIDATE)
+    return F.when(text.rlike(core(NUMBER_CANDIDATE)), _checked(text, "[0-9]", ahead, f"[{_SP}-]", _is_number, _number_tag))
 
 
 def mask_pii(df: DataFrame, text: str, masked: str = "masked", types: str = "pii_types") -> DataFrame:
