@@ -24,7 +24,6 @@ take no part. A repeated row is a copy like any other.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import log2
 
@@ -187,21 +186,21 @@ class Index:
             merged: dict[int, int] = {}
             for i in heapq.merge(*[self.owner[self.edges[k] : self.edges[k + 1]].tolist() for k in short]):
                 merged[i] = merged.get(i, 0) + 1
-            left = [(i, c) for i, c in merged.items() if c >= needed - aside and able[i]]
+            left = np.array(sorted(i for i, c in merged.items() if c >= needed - aside and able[i]), np.int64)
+            counts = np.array([merged[i] for i in left.tolist()], np.int64)
         else:
             counts = np.bincount(self.owner[K.ranges(self.edges[short], lengths[: len(short)])], minlength=len(self.sizes))
-            left = [(i, int(counts[i])) for i in np.flatnonzero((counts >= needed - aside) & able).tolist()]
-        found = []
-        probes = [self.owner[self.edges[k] : self.edges[k + 1]] for k in long]
-        for i, count in left:
-            for k, entries in enumerate(probes):
-                if count + len(probes) - k < least[i]:
-                    break
-                p = bisect_left(entries, i)
-                count += p < len(entries) and int(entries[p]) == i
-            if count >= least[i]:
-                found.append((i, int(count)))
-        return found
+            left = np.flatnonzero((counts >= needed - aside) & able)
+            counts = counts[left]
+        for k, place in enumerate(long):
+            alive = counts + (len(long) - k) >= least[left]
+            left, counts = left[alive], counts[alive]
+            if not len(left):
+                break
+            entries = self.owner[self.edges[place] : self.edges[place + 1]]
+            at = np.minimum(np.searchsorted(entries, left), len(entries) - 1)  # one bisection for each set that is left
+            counts = counts + (entries[at] == left)
+        return [(i, c) for i, c, n in zip(left.tolist(), counts.tolist(), least[left].tolist()) if c >= n]
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
