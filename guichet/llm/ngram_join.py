@@ -7,12 +7,12 @@
     decides speed alone; any order gives the same links.
 3.  The lists are dealt out by shingle; those that hold one class vanish, and so do classes that are left in fewer
     lists than m (a document that shares a common line, no more).
-4.  First each class is searched among the hubs of its lists (the hub shares most of its lists, and is mostly the text
-    that others were copied from). What is linked so far is one component.
-5.  Classes with the same hub form a cluster, kept in blocks of bounded size. Within a cluster, every block is searched
-    for the classes of every block, but for those of their own component; between clusters, pairs of a list that lie in
-    different components and share m lists are. No link between components is lost, and a group of n near copies that
-    are all linked costs about n searches.
+4.  Classes with the same hub (the class that shares most of its lists, mostly the text that others were copied from)
+    form a cluster with a head, kept in blocks of bounded size. First each class is searched by its head; what is linked
+    so far is one component.
+5.  Within a cluster, every block is then searched for the classes of every block, but for those of their own component;
+    between clusters, pairs of a list that lie in different components and share m lists are. No link between components
+    is lost, and a group of n near copies that are all linked costs about n searches.
 6.  A search is one query class against an inverted index of candidates: DivideSkip sets the longest lists aside, merges
     the short ones (with a heap, or by counting where they are many), and probes the long ones by bisection for what
     the merge has left.
@@ -40,6 +40,8 @@ from guichet.llm.components import components
 CELLS = 1 << 21
 #: Shingles and classes of a block; a search holds two blocks.
 BLOCK, BLOCK_CLASSES = 1 << 17, 1 << 8
+#: Most rows of (id, class, place) that are broadcast to fetch texts; more are joined by a shuffle.
+FETCHED = 2_000_000
 #: Entries of short lists from which on they are merged by counting.
 MANY = 1 << 11
 _PROFILE = "doc_id long, n long, key long, cell int, seen long"
@@ -140,15 +142,19 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x[i : i + (1 << 16)]) for x in (token, key, n)], names=["token", "key", "n"])
 
 
-def _packed_sets(size: int) -> Callable:
+def _packed_sets(size: int, kept: list[str]) -> Callable:
+    """Sets of texts that are of the class asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = column(batch, "key").to_numpy()
             for a, b, data, offsets in K.slices(column(batch, "text")):
                 rows, grams = _sets(data, offsets, size)
                 _, keys = _keys(rows, grams, b - a)
                 where = np.searchsorted(rows, np.arange(b - a + 1))
-                blobs = [grams[where[i] : where[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(blobs, pa.binary())], names=["key", "grams"])
+                mine = np.flatnonzero(keys.view(np.int64) == wanted[a:b])  # the same id may stand for other texts too
+                blobs = pa.array([grams[where[i] : where[i + 1]].tobytes() for i in mine.tolist()], pa.binary())
+                yield pa.record_batch([*[column(batch, n).take(pa.array(a + mine)) for n in kept], blobs], names=[*kept, "grams"])
 
     return run
 
@@ -231,10 +237,34 @@ def _search_pairs(percent: int) -> Callable:
     return run
 
 
+def _once(table: pa.Table, *names: str) -> pa.Table:
+    """The first row of each value of `names`."""
+    seen = set()
+    rows = [not (r in seen or seen.add(r)) for r in zip(*(table[n].to_pylist() for n in names))]
+    return table.filter(pa.array(rows))
+
+
+def _search_heads(percent: int) -> Callable:
+    """Links of the head of a cluster with the classes of one block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = _once(table, "key", "asks")
+        asks, keys, grams = table["asks"].to_pylist(), table["key"].to_pylist(), table["grams"].to_pylist()
+        heads = [i for i, q in enumerate(asks) if q]
+        if not heads:
+            return _linked([])
+        held = [i for i, q in enumerate(asks) if not q and keys[i] != keys[heads[0]]]
+        index = Index([np.frombuffer(grams[i], np.uint64) for i in held])
+        return _linked([(keys[heads[0]], keys[held[i]], n) for i, n in index.divide_skip(np.frombuffer(grams[heads[0]], np.uint64), percent)])
+
+    return run
+
+
 def _search_blocks(percent: int) -> Callable:
     """Links between the classes of block `one` and those of block `two` that lie in different components."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = _once(table, "key")
         keys, component, second = table["key"].to_numpy(), table["component"].to_numpy(), table["second"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in table["grams"].to_pylist()]
         same = table["one"][0].as_py() == table["two"][0].as_py()
@@ -253,7 +283,7 @@ def _search_blocks(percent: int) -> Callable:
 
 def _among_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (x, y); `sets` holds (key, cluster, part, grams). A set travels once for two blocks."""
-    where = sets.select("key", F.xxhash64("cluster", "part").alias("block"))
+    where = sets.select("key", F.xxhash64("cluster", "part").alias("block")).distinct()
     pairs = pairs.select("x", "y").join(where.toDF("x", "block_x"), "x").join(where.toDF("y", "block_y"), "y")
     pairs = staged(pairs.select(F.least("block_x", "block_y").alias("one"), F.greatest("block_x", "block_y").alias("two"), "x", "y"), "pairs")
     members = pairs.select("one", "two", F.explode(F.array("x", "y")).alias("key")).distinct()
@@ -262,12 +292,19 @@ def _among_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.unionByName(asked).groupBy("one", "two").applyInArrow(_search_pairs(percent), "a long, b long, overlap long")
 
 
-def _within_clusters(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def _by_heads(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of every class with the head of its cluster; the head goes to every block of the cluster."""
+    members = sets.select("cluster", "part", "key", "grams", F.lit(False).alias("asks"))
+    parts_of = F.explode(F.sequence(F.lit(0).cast("long"), F.col("head_of") - 1))
+    heads = sets.where("head_of is not null").select(F.col("key").alias("cluster"), parts_of.alias("part"), "key", "grams", F.lit(True).alias("asks"))
+    return members.unionByName(heads).groupBy("cluster", "part").applyInArrow(_search_heads(percent), "a long, b long, overlap long")
+
+
+def _within_clusters(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Links between different components of a cluster, block by block."""
-    sets = sets.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = sets.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.max("part") + 1).alias("parts")).where("low <> high")
-    sets = sets.join(mixed.select("cluster", "parts"), "cluster")
-    copies = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
+    wanted = placed.join(mixed.select("cluster"), "cluster").select("key", "component", "blocks")
+    copies = sets.select("cluster", "part", "key", "grams").join(wanted, "key").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = copies.select("cluster", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), (F.col("part") > F.col("other")).alias("second"), "key", "component", "grams")
     return rows.groupBy("cluster", "one", "two").applyInArrow(_search_blocks(percent), "a long, b long, overlap long")
 
@@ -288,34 +325,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n long"), "lists")
     shared = lists.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
     lists = lists.join(shared.select("key", (F.col("shared") / F.col("n")).alias("rank")), "key").select("token", "key", "n", "rank")
-    hubs = lists.groupBy("token").agg(F.max(F.struct("rank", "key", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    lists = staged(lists.join(hubs, "token").selectExpr("token", "key", "n", "rank", "hub.key as hub", "hub.n as hub_n"), "lists")
+    hubs = lists.groupBy("token").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    lists = staged(lists.join(hubs, "token").selectExpr("token", "key", "n", "hub.key as hub"), "lists")
 
     placed = lists.groupBy("key", "n", "hub").agg(F.count("*").alias("times")).groupBy("key", "n").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
     placed = staged(placed, "placed")
     placed = placed.join(placed.select(F.col("key").alias("hub"), F.col("hub").alias("cluster")), "hub", "left").select("key", "n", F.coalesce("cluster", "hub").alias("cluster"))
     room = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_CLASSES)).alias("blocks"))
-    placed = placed.join(room, "cluster").select("key", "cluster", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part"))
-    placed = staged(placed.join(classes, "key"), "placed")
-    sets = docs.join(placed.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(_packed_sets(size), "key long, grams binary")
-    # the same id may stand for other texts too: keep the classes asked for, once
-    sets = staged(sets.join(placed.select("key", "cluster", "part"), "key").groupBy("key", "cluster", "part").agg(F.first("grams").alias("grams")), "sets")
+    heads = room.select(F.col("cluster").alias("key"), F.col("blocks").alias("head_of"))
+    placed = placed.join(room, "cluster").join(heads, "key", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    placed = staged(placed.join(classes, "key").select("doc_id", "key", "cluster", "part", "blocks", "head_of"), "placed")
+    fetched = placed.drop("blocks")
+    fetched = F.broadcast(fetched) if placed.count() <= FETCHED else fetched
+    names = ["key", "cluster", "part", "head_of"]
+    sets = docs.join(fetched, "doc_id").select(*names, "text").mapInArrow(_packed_sets(size, names), "key long, cluster long, part long, head_of long, grams binary")
+    sets = staged(sets, "sets")
 
     within = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    ordered = (F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = lists.where("key <> hub").selectExpr("hub as x", "key as y", "hub_n as n_x", "n as n_y").where(within).select(*ordered).distinct()
-    links = staged(_among_pairs(pairs, sets, percent), "found")
+    links = staged(_by_heads(sets, percent), "found")
     joined = components(links.select("a", "b"))
+    placed = placed.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = staged(placed, "placed")
 
-    there = lists.select("token", "key", "n").join(placed.select("key", "cluster"), "key").join(joined.withColumnRenamed("node", "key"), "key", "left")
-    there = there.withColumn("component", F.coalesce("component", "key"))
+    there = lists.select("token", "key", "n").join(placed.select("key", "cluster", "component"), "key")
     mixed = there.groupBy("token").agg(*[f(c).alias(f"{n}_{c}") for c in ("component", "cluster") for n, f in (("low", F.min), ("high", F.max))])
     there = staged(there.join(mixed.where("low_component <> high_component and low_cluster <> high_cluster").select("token"), "token"), "listed")
     left = there.selectExpr("token", "key as x", "n as n_x", "component as c_x", "cluster as g_x")
     right = there.selectExpr("token", "key as y", "n as n_y", "component as c_y", "cluster as g_y")
     across = left.join(right, "token").where("c_x <> c_y and g_x <> g_y and x < y").where(within)
     across = across.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first(F.least("n_x", "n_y")).alias("n")).where(f"shared > floor(n / {EXTRA})")
-    links = staged(links.unionByName(_within_clusters(sets, joined, percent)).unionByName(_among_pairs(across, sets, percent)), "found")
+    links = staged(links.unionByName(_within_clusters(sets, placed, percent)).unionByName(_among_pairs(across, sets, percent)), "found")
 
     joined = components(links.select("a", "b"))
     named = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
