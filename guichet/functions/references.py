@@ -15,11 +15,12 @@ def extract_refs(answer: Column) -> Column:
     """Source numbers cited as [1] or [2, 3], first appearance first, without duplicates."""
     groups = F.regexp_extract_all(answer, F.lit(r"(?U)\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1))
     numbers = F.flatten(F.transform(groups, lambda g: F.split(F.regexp_replace(g, r"(?U)\s", ""), ",")))
-    return F.array_distinct(F.transform(numbers, lambda n: n.try_cast("int")))
+    return F.array_distinct(F.transform(numbers, lambda n: n.try_cast("decimal(38,0)")))
 
 
 def valid_refs(answer: Column, n_sources: Column) -> Column:
-    return F.filter(extract_refs(answer), lambda r: r.isNotNull() & (r >= 1) & (r <= n_sources))
+    known = F.filter(extract_refs(answer), lambda r: r.isNotNull() & (r >= 1) & (r <= n_sources))
+    return F.transform(known, lambda r: r.cast("int"))
 
 
 def neutralize_tags(text: Column) -> Column:

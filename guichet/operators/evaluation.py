@@ -73,12 +73,17 @@ def checks(cases: DataFrame, results: DataFrame) -> DataFrame:
     reasons = F.array_compact(F.array(*[F.when(applies & ~F.coalesce(ok, F.lit(False)), F.coalesce(why, F.lit(name))) for name, applies, ok, why in rules]))
     return (
         scored.withColumn("checks", F.map_from_entries(entries))
-        .withColumn("failures", reasons)
+        .withColumn("failures", unfaithful(reasons, c("faithful")) if "faithful" in joined.columns else reasons)
         .withColumn("reciprocal_rank", F.when(has_docs, reciprocal_rank(c("expected_docs"), c("retrieved"))))
         .drop("leaked", "missing", "present", "wanted_pii")
     )
 
 
+def unfaithful(reasons: Column, faithful: Column) -> Column:
+    """Reasons, with one more where an answer was judged and found unfaithful."""
+    return F.when(faithful.eqNullSafe(F.lit(False)), F.array_append(reasons, F.lit("réponse non fidèle aux sources"))).otherwise(reasons)
+
+
 def summarise(results: DataFrame) -> DataFrame:
     """Metrics per split and overall ("all"): rates, MRR, violations, faithfulness, latency, cost.
 

@@ -14,9 +14,12 @@ def share(condition: Column) -> Column:
 
 
 def recent(log: DataFrame, ts: str = "ts", n: int | None = None, tie: str | None = None, params: Params = DEFAULTS) -> DataFrame:
-    """Most recent rows (a top-k: every task keeps at most `n` rows)."""
+    """The whole log, or its `n` most recent rows where a number is asked for (a top-k: a task keeps at most `n`)."""
+    n = n or params.recent_requests
+    if n is None:
+        return log
     order = [F.col(ts).desc(), *([F.col(tie).desc()] if tie else [])]
-    return log.orderBy(*order).limit(n or params.recent_requests)
+    return log.orderBy(*order).limit(n)
 
 
 def listing(table: DataFrame, newest: Column, limit: int = 50, since: Column | None = None, status: str | None = None) -> DataFrame:
@@ -34,7 +37,7 @@ def lookup(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 def operating_metrics(log: DataFrame, pending: DataFrame, params: Params = DEFAULTS, tie: str | None = None) -> DataFrame:
-    """One row of figures over the most recent requests."""
+    """One row of figures over the requests (all, or the most recent)."""
     rows = recent(log, tie=tie, params=params)
     figures = rows.agg(
         F.count("*").alias("requests"),
@@ -51,7 +54,7 @@ def operating_metrics(log: DataFrame, pending: DataFrame, params: Params = DEFAU
 
 
 def counts_by(log: DataFrame, *dimensions: str, params: Params = DEFAULTS, tie: str | None = None) -> DataFrame:
-    """Counts of recent requests per value of every dimension, and overall: (dimension, value, n)."""
+    """Counts of requests per value of every dimension, and overall: (dimension, value, n)."""
     rows = recent(log, tie=tie, params=params).select(*dimensions)
     name = F.lit("all")
     value = F.lit(None).cast("string")

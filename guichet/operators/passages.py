@@ -197,7 +197,7 @@ def gate_replies(replies: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         replies.withColumn("refs", rf.valid_refs(text, F.col("n_sources")))
         .withColumn(
             "unknown_refs",
-            F.filter(rf.extract_refs(text), lambda r: (r < 1) | (r > F.col("n_sources"))),
+            F.transform(F.filter(rf.extract_refs(text), lambda r: (r < 1) | (r > F.col("n_sources"))), lambda r: r.cast("string")),
         )
         .withColumn(
             "outcome",
@@ -206,5 +206,5 @@ def gate_replies(replies: DataFrame, params: Params = DEFAULTS) -> DataFrame:
             .when(F.size("refs") == 0, "human")
             .otherwise("rag"),
         )
-        .withColumn("over_budget", F.col("cost_eur") > params.budget_eur)
+        .withColumn("over_budget", ~F.col("finish_reason").eqNullSafe(F.lit("length")) & (F.col("cost_eur") > params.budget_eur))
     )

@@ -148,6 +148,7 @@ def match_vocabulary(
     `tokens` are the content tokens of a text and `sequence` its padded word sequence. A vocabulary
     proven small becomes one pattern per label and kind; a larger one is joined on its words.
     """
+    vocabulary = vocabulary.where(F.col("kind").isin("stem", "word", "phrase")).select("label", "kind", "value").distinct()
     if fits(vocabulary, 5_000):
         return _match_patterns(texts, key, tokens, sequence, vocabulary)
     return _match_joined(texts, key, tokens, sequence, vocabulary)
@@ -164,7 +165,7 @@ def _match_patterns(texts: DataFrame, key: str, tokens: str, sequence: str, voca
         for label, k in subjects.items()
     ]
     labels = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-    return texts.select(key, F.explode_outer(labels).alias("label")).where(F.col("label").isNotNull())
+    return texts.select(key, F.explode_outer(labels).alias("label")).where(F.col("label").isNotNull()).distinct()
 
 
 def _match_joined(texts: DataFrame, key: str, tokens: str, sequence: str, vocabulary: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ class Params:
     dispute_threshold: float = 500.0
     dedupe_days: int = 7
     budget_eur: float = 0.02
-    recent_requests: int = 5000
+    recent_requests: int | None = None  # rows of the log that the figures read; all of them unless given
     rate_limit: int = 60
     rate_window_s: int = 60
     hash_dim: int = 256

@@ -126,8 +126,8 @@ def eval_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "eval_failing",
     f"""WITH {_RESULTS} SELECT item_id::VARCHAR AS id, split, category, len(list_filter([NOT routing, NOT final_route, NOT retrieval, NOT citation, NOT facts,
-    NOT forbidden_docs, NOT forbidden_facts], lambda x: x))::INTEGER AS failed FROM results
-    WHERE NOT (routing AND final_route AND retrieval AND citation AND facts AND forbidden_docs AND forbidden_facts)""",
+    NOT forbidden_docs, NOT forbidden_facts, coalesce(NOT faithful, FALSE)], lambda x: x))::INTEGER AS failed FROM results
+    WHERE NOT (routing AND final_route AND retrieval AND citation AND facts AND forbidden_docs AND forbidden_facts AND coalesce(faithful, TRUE))""",
 )
 def eval_failing(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.failing(case_results(spark, sf)).select("id", "split", "category", F.size("reasons").alias("failed"))

@@ -33,7 +33,7 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
 _LOG = """log AS (SELECT event_id, ts, CASE WHEN event_type = 'error' THEN 'human' ELSE event_type END AS route,
   CASE WHEN event_type IN ('click', 'view') THEN 'rule' ELSE 'llm' END AS mode, floor(value)::INTEGER AS latency_ms,
   value / 1000 AS cost_eur, event_type IN ('click', 'view') AS free, event_type = 'error' AS failed FROM events),
-recent AS (SELECT * FROM log ORDER BY ts DESC, event_id DESC LIMIT 5000)"""
+recent AS (SELECT * FROM log)"""
 
 
 @query(

@@ -41,6 +41,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if current is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -36,7 +36,10 @@ def write(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append")
 
 
 def intake_stream(requests: DataFrame, clients: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Canonical, valid, masked and triaged requests, without the raw text: ready to append to the log."""
+    """Canonical, valid, masked and triaged requests, without the raw text: ready to append to the log.
+
+    What is refused goes to `refused_stream`; the two together hold every row.
+    """
     valid = intake.validate(intake.canonicalise(requests)).where("is_valid").drop("is_valid", "reasons")
     routed = triage.triage(intake.mask_requests(valid), clients, params)
     return routed.select(
@@ -45,6 +48,12 @@ def intake_stream(requests: DataFrame, clients: DataFrame, params: Params = DEFA
     )
 
 
+def refused_stream(requests: DataFrame) -> DataFrame:
+    """Refused requests with their reasons, masked like the others: the quarantine of the intake."""
+    refused = intake.validate(intake.canonicalise(requests)).where("not coalesce(is_valid, false)")
+    return intake.mask_requests(refused.withColumnRenamed("reasons", "refusals")).select("request_id", "ts", F.col("refusals").alias("reasons"), "q_masked")
+
+
 def intake_sink(clients: DataFrame, append: Callable[[DataFrame, int], None], params: Params = DEFAULTS) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` function: the same columns as the batch job, appended by `append(rows, batch_id)`."""
 
@@ -65,11 +74,11 @@ def rolling_metrics(log: DataFrame, window: str = "1 day", lateness: str = "1 ho
 class _Anchored(StatefulProcessor):
     """State: the ticket (time, request) in force for the key."""
 
-    def __init__(self, width_us: int) -> None:
-        self.width_us = width_us
+    def __init__(self, width_us: int, id_type: str) -> None:
+        self.width_us, self.id_type = width_us, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.anchor = handle.getValueState("anchor", "at bigint, request_id bigint")
+        self.anchor = handle.getValueState("anchor", f"at bigint, request_id {self.id_type}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["at", "request_id"])
@@ -89,10 +98,11 @@ class _Anchored(StatefulProcessor):
 def dedupe_stream(disputes: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Ticket of every dispute (request_id, ts, dedupe_key) as it arrives: (request_id, dedupe_key, ticket_request)."""
     use_rocksdb(disputes.sparkSession)
-    rows = disputes.select("dedupe_key", micros(F.col("ts")).alias("at"), F.col("request_id").cast("bigint").alias("request_id"))
+    rows = disputes.select("dedupe_key", micros(F.col("ts")).alias("at"), "request_id")
+    id_type = rows.schema["request_id"].dataType.simpleString()
     return rows.groupBy("dedupe_key").transformWithStateInPandas(
-        statefulProcessor=_Anchored(params.dedupe_days * 86_400_000_000),
-        outputStructType="request_id bigint, dedupe_key string, ticket_request bigint",
+        statefulProcessor=_Anchored(params.dedupe_days * 86_400_000_000, id_type),
+        outputStructType=f"request_id {id_type}, dedupe_key string, ticket_request {id_type}",
         outputMode="Append", timeMode="None",
     )
 
@@ -113,7 +123,7 @@ class _Admission(StatefulProcessor):
         for at in batch["at"].tolist():
             if opened is None or at - opened >= self.window_us:
                 opened, admitted = at, 0
-            verdicts.append(admitted < self.limit)
+            verdicts.append(self.limit <= 0 or admitted < self.limit)  # no limit admits everything
             admitted += verdicts[-1]
         self.window.update((opened, admitted))
         yield pd.DataFrame({"seq": batch["seq"], "caller": key[0], "admitted": verdicts})
