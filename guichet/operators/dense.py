@@ -53,7 +53,9 @@ def _pass(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     id_type = queries.schema["query_id"].dataType.simpleString()
     chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
     owner = F.col("client_id").cast("string") if "client_id" in vectors.columns else F.lit(None).cast("string")
-    corpus = vectors.select("chunk_id", F.col("pos").cast("bigint"), owner.alias("client_id"), "embedding")
+    # vectors that are null, of another size or with a null component can match nothing
+    fine = (F.size("embedding") == matrix.shape[0]) & ~F.exists("embedding", lambda x: x.isNull())
+    corpus = vectors.where(fine).select("chunk_id", F.col("pos").cast("bigint"), owner.alias("client_id"), "embedding")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_clients, q_matrix = shared.value

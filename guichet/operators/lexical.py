@@ -134,26 +134,49 @@ def _score_broadcast(documents: DataFrame, terms: DataFrame, params: Params) ->
     )
 
 
+def write_postings(documents: DataFrame, folder: str) -> None:
+    """Store the inverted index once: `lengths` of documents, `postings` in order of their term, `terms` with df.
+
+    Postings are range-partitioned and sorted by term, so a search for some terms skips most row groups.
+    """
+    spark = documents.sparkSession
+    documents.select(*_document_columns(documents), F.size("tokens").alias("len")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    postings(documents).repartitionByRange("term").sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{folder}/terms")
+
+
+def bm25_stored(folder: str, queries: DataFrame, n: int = DEFAULTS.candidate_k, params: Params = DEFAULTS) -> DataFrame:
+    """`bm25_topk` from a stored index: no text is read, and only the postings of the terms asked for are used."""
+    spark = queries.sparkSession
+    stats = spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    asked = _query_terms(queries).join(spark.read.parquet(f"{folder}/terms"), "term")
+    asked = asked.crossJoin(F.broadcast(stats)).select("query_id", "asking", "term", "avg_len", idf(F.col("n"), F.col("df")).alias("idf"))
+    lists = spark.read.parquet(f"{folder}/postings").join(broadcast_if_small(_query_terms(queries).select("term").distinct()), "term", "left_semi")
+    scored = lists.join(asked, "term").where(_visible()).groupBy("chunk_id", "pos", "query_id").agg(F.sum(_gain(params)).alias("score"))
+    return top_n(scored.withColumn("score", F.round("score", 9)), n)
+
+
 def _score_shuffled(documents: DataFrame, terms: DataFrame, params: Params) -> DataFrame:
     """Query sets of any size: sort-merge join on the term.
 
     Terms shared by many queries and many documents are salted: the postings of a term spread over
     its salts, and the (small) query side of that term is repeated once per salt.
     """
-    salts = 32
     lists = postings(documents)
     frequencies = lists.groupBy("term").agg(F.count("*").alias("df"))
+    salts = F.ceil(F.col("df") / params.hot_key_rows)  # at most `hot_key_rows` postings of a term in a task
     asked = (
         terms.join(frequencies, "term")
-        .withColumn("salts", F.when(F.col("df") > params.hot_key_rows, salts).otherwise(1))
+        .withColumn("salts", salts)
         .crossJoin(F.broadcast(corpus_stats(documents)))
         .withColumn("idf", idf(F.col("n"), F.col("df")))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
         .select("query_id", "asking", "term", "salt", "avg_len", "idf")
     )
     salted = (
         lists.join(frequencies, "term")
-        .withColumn("salt", F.when(F.col("df") > params.hot_key_rows, F.pmod(F.xxhash64("chunk_id"), F.lit(salts))).otherwise(0).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), salts))
         .drop("df")
     )
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from guichet.operators.ordering import first_seen_numbers
 from guichet.operators.sizing import broadcast_if_small
 from guichet.params import DEFAULTS as P
 from guichet.plans import sql as S
-from guichet.plans.catalog import query
+from guichet.plans.catalog import ORACLES, query
 from guichet.session import checkpoint_root
 from guichet.sources.tables import spread, table
 
@@ -72,6 +74,35 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_index(spark: SparkSession, sf: str) -> str:
+    """Folder with the stored postings of the documents."""
+    folder = f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
+    lexical.write_postings(corpus(spark, sf), folder)
+    return folder
+
+
+@query("index_bm25_topk", ORACLES["bm25_topk"])
+def index_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranking from a stored index."""
+    hits = lexical.bm25_stored(stored_index(spark, sf), questions(spark, sf), P.top_k)
+    return hits.select(
+        F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"),
+        F.col("rank").cast("bigint").alias("rank"),
+    )
+
+
+@query(
+    "index_postings",
+    f"""WITH {S.DOCS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, min(doc_id) AS first_doc, max(len)::INTEGER AS longest
+    FROM (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM docs) GROUP BY ALL) GROUP BY term""",
+)
+def index_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored postings and term table, summed by term."""
+    folder = stored_index(spark, sf)
+    lists = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.min("chunk_id").alias("first_doc"), F.max("len").alias("longest"))
+    return spark.read.parquet(f"{folder}/terms").join(lists, "term")
+
+
 @query(
     "bm25_term_stats",
     f"""WITH {S.DOCS}, sizes AS (SELECT lang, count(*) AS n FROM docs GROUP BY lang),
