@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from guichet.plans import registered
 from tests.check_queries import compare
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registered.queries()))
 def test_query_matches_its_sql(spark, name):
     verdict = compare(spark, SF, name)
     assert verdict.startswith(("ok", "rows-only")), verdict
