@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from guichet.llm import queries as registered
 from guichet.llm.decontaminate import contamination, is_contaminated
+from tests.check_queries import compare
 from tests.llm import brute
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -20,6 +21,12 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
+@pytest.mark.parametrize("name", list(registered.oracles()))
+def test_query_matches_its_sql(spark, name):
+    verdict = compare(spark, SMALL, name)
+    assert verdict.startswith("ok"), verdict
+
+
 def test_op7_equals_brute_force(spark):
     assert rows(registered.queries()["op7_repeats"](spark, SMALL)) == brute.repeats(documents(spark, SMALL))
 
