@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guichet.functions.text import once
+
 # Formats of the identifiers. Space, no-break space and narrow no-break space separate groups.
 _SP = " \u00a0\u202f"
 EMAIL = r"(?U)[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"
@@ -122,34 +124,31 @@ def mask_pii(df: DataFrame, text: str, masked: str = "masked", types: str = "pii
     """Add the masked text and the sorted distinct list of the types found.
 
     The order is part of the rule: the digits of an IBAN or a social security number must never be
-    read as a phone or a card. Each step is its own projection, so nothing is evaluated twice.
+    read as a phone or a card. Every intermediate text is bound once, so the expression stays small
+    however often the steps refer to it, also where a filter on the result is pushed below it.
     """
-    t0, t1, t2, t3 = "__t0", "__t1", "__t2", "__t3"
-    steps = (
-        df.withColumn(t0, mask_email(F.col(text)))
-        .withColumn("__iban", checked_ibans(F.col(t0)))
-        .withColumn(t1, F.coalesce(F.col("__iban.text"), F.col(t0)))
-        .withColumn(t2, mask_pattern(F.col(t1), NIR, "NIR"))
-        .withColumn(t3, mask_pattern(F.col(t2), TEL, "TEL"))
-        .withColumn("__number", checked_numbers(F.col(t3)))
-    )
     empty = F.array().cast("array<string>")
 
-    def found(before: str, after: str, kind: str) -> Column:
-        return F.when(~F.col(before).eqNullSafe(F.col(after)), F.array(F.lit(kind))).otherwise(empty)
+    def found(before: Column, after: Column, kind: str) -> Column:
+        return F.when(~before.eqNullSafe(after), F.array(F.lit(kind))).otherwise(empty)
 
-    kinds = F.concat(
-        found(text, t0, "EMAIL"),
-        F.coalesce(F.col("__iban.types"), empty),
-        found(t1, t2, "NIR"),
-        found(t2, t3, "TEL"),
-        F.coalesce(F.col("__number.types"), empty),
-    )
-    return (
-        steps.withColumn(masked, F.coalesce(F.col("__number.text"), F.col(t3)))
-        .withColumn(types, F.array_sort(F.array_distinct(kinds)))
-        .drop(t0, t1, t2, t3, "__iban", "__number")
-    )
+    def last(t3: Column, kinds: Column) -> Column:
+        return once(checked_numbers(t3), lambda n: F.struct(
+            F.coalesce(n["text"], t3).alias("masked"), F.array_sort(F.array_distinct(F.concat(kinds, F.coalesce(n["types"], empty)))).alias("types"),
+        ))
+
+    def plain(t1: Column, kinds: Column) -> Column:
+        return once(mask_pattern(t1, NIR, "NIR"), lambda t2: once(
+            mask_pattern(t2, TEL, "TEL"), lambda t3: last(t3, F.concat(kinds, found(t1, t2, "NIR"), found(t2, t3, "TEL"))),
+        ))
+
+    def checked(raw: Column, t0: Column) -> Column:
+        return once(checked_ibans(t0), lambda i: once(
+            F.coalesce(i["text"], t0), lambda t1: plain(t1, F.concat(found(raw, t0, "EMAIL"), F.coalesce(i["types"], empty))),
+        ))
+
+    steps = once(F.col(text), lambda raw: once(mask_email(raw), lambda t0: checked(raw, t0)))
+    return df.withColumn("__pii", steps).withColumn(masked, F.col("__pii.masked")).withColumn(types, F.col("__pii.types")).drop("__pii")
 
 
 def strip_tags(text: Column) -> Column:
