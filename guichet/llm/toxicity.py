@@ -165,7 +165,7 @@ def _lexicon(sample: DataFrame, bad: int, good: int) -> Lexicon:
     """Units that stand out by their log odds and by its size in standard errors; at most LEXICON of them."""
     counts = sample.select("text", "toxic").mapInArrow(_counted, "unit long, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    counts = counts.where(F.col("bad") >= max(4, bad // 200)).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
+    counts = counts.where(F.col("bad") >= max(4, bad // 50)).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
     top = counts.where("odds > 1 and z > 2.8").orderBy(F.desc("z"), "unit").limit(LEXICON).toArrow()
     hashes = top["unit"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE short rows
+    # at most SAMPLE short rows are broadcast; a text that was copied teaches once
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])
     totals = {r["half"]: (r["bad"], r["good"]) for r in sample.groupBy("half").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
     halves = [_lexicon(sample.where(F.col("half") == h), *totals.get(h, (0, 0))) for h in (0, 1)]
     rows = sample.select("toxic", "half", "text").mapInArrow(_featured(halves), "toxic int, half int, x array<double>").toArrow()
