@@ -1,15 +1,18 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
-Restaurants: one for each of the CONTEXTS most frequent words (a word is seated in the restaurant of the word before
-it), all with the same parent, the restaurant of single words, which also seats words after any other word. Their dishes
-are the WORDS most frequent words, the end of a text, and one dish for all rarer words; a restaurant of its own tells
-rarer words apart. So the seated tables are bounded, while word counts cover the whole vocabulary of the corpus.
+Restaurants: one for every word that stands before another in training (and one for the start of a text), all with the
+same parent, the restaurant of single words. Dishes are all words and the end of a text. Nothing is capped: pairs, words
+and contexts are counted over all texts, and no table of them reaches the driver, which sees a few sums for each bucket.
 
-Seating is sampled by Gibbs: in each sweep every context restaurant draws the number of tables of each dish from its
-conditional distribution (generalised Stirling numbers, the parent's probabilities and the other tables of the
-restaurant), in parallel over contexts; the tables become the customers of the parent, which is seated in turn. After
-the burn-in the predictive probabilities of the sweeps are averaged. Words outside the frequent list are counted where
-their hashes are dealt to; equal counts are exchangeable, so their seating is drawn once for each count.
+Pairs of each text are dealt out by the hash of the pair, so a frequent context is spread over all buckets like its
+dishes. A bucket counts its pairs and asks the buckets of the words (dealt by the hash of the word) for what it needs
+of them as dish and as context; answers come back in the order of the question, as ranges of hashes.
+
+Seating is sampled by Gibbs: in each sweep the number of tables of each pair is drawn from its conditional distribution
+(generalised Stirling numbers, the parent's probabilities and the other tables of the restaurant as of the last sweep);
+the tables become the customers of the parent, which is seated in turn. A pair that occurs once has one table whatever
+is drawn, so only the others move in the sweeps. After the burn-in the predictive probabilities of the sweeps are
+averaged.
 
 A null text is empty and consists of the end alone. Rows with null ids are scored like others and train by the rule of
 the caller. Repeated rows count as often as they occur. Without training rows every probability is that of the base.
@@ -17,8 +20,8 @@ the caller. Repeated rows count as often as they occur. Without training rows ev
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
-from guichet.llm.common import column, parts, staged
+from guichet.llm.common import column, parts
+from guichet.session import checkpoint_root
 
-WORDS, CONTEXTS = 8192, 256
 SWEEPS, BURN_IN = 6, 3
 #: Counts up to this are seated exactly; larger ones in steps of a quarter of the customers seated.
 EXACT = 24
-#: What the base of the rare restaurant leaves to words never seen.
+#: What the base of the parent leaves to words never seen.
 NEW = 0.9
-_RARE, _END = WORDS, WORDS + 1
-_DISHES = WORDS + 2
+#: Of every restaurant.
+STRENGTH = 5.0
+#: The end of a text as a word, and as the context of the first word.
+_END = np.uint64(0)
+#: Pairs drawn at once.
+_DRAWN = 1 << 15
+#: What a packed row holds.
+_PAIRS, _SEATED, _ASKED, _SUMS, _WORDS, _ANSWERS, _TOTALS = range(7)
+_SCHEMA = pa.schema([("what", pa.int32()), ("bucket", pa.int32()), ("origin", pa.int32()), ("blobs", pa.list_(pa.binary()))])
+_ROW = "what int, bucket int, origin int, blobs array<binary>"
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,105 +54,93 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return K.word_hashes(data, starts, ends), row
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words that occur more than twice in a slice: all that can be among the most frequent."""
-    for batch in batches:
-        for _, _, data, offsets in K.slices(column(batch, "text")):
-            hashes, times = np.unique(_tokens(data, offsets)[0], return_counts=True)
-            keep = times > (2 if len(data) > K.SLICE_BYTES // 2 else 0)
-            yield pa.record_batch([pa.array(hashes[keep].view(np.int64)), pa.array(times[keep])], names=["word", "times"])
+def _rows(rows: list[tuple[int, int, int, list[bytes]]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], _SCHEMA.field(i).type) for i in range(4)], schema=_SCHEMA)
 
 
-@dataclass
-class Vocabulary:
-    """Frequent words: sorted hashes, and the dish of each (dishes in order of frequency)."""
+def _row(what: int, bucket: int, origin: int, *columns: np.ndarray) -> tuple[int, int, int, list[bytes]]:
+    return what, bucket, origin, [c.tobytes() for c in columns]
 
-    hashes: np.ndarray
-    dishes: np.ndarray
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), _RARE)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.dishes[at], _RARE)
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple[int, list[bytes]]]]]]:
+    """Each bucket of a partition with its rows (origin, blobs) by what they hold, in order of origin."""
+    found: dict[int, dict[int, list]] = {}
+    for batch in batches:
+        for what, bucket, origin, blobs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            found.setdefault(bucket, {}).setdefault(what, []).append((origin, blobs))
+    for bucket in sorted(found):
+        yield bucket, {what: sorted(rows, key=lambda r: r[0]) for what, rows in found.pop(bucket).items()}
 
-    def sequence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Context, dish and row of every token (ends included), and hashes of the tokens (0 for ends)."""
-        hashes, row = _tokens(data, offsets)
-        rows = len(offsets) - 1
-        stop = np.searchsorted(row, np.arange(rows), side="right")
-        dish, owner, hashes = np.insert(self.of(hashes), stop, _END), np.insert(row, stop, np.arange(rows)), np.insert(hashes, stop, 0)
-        before = np.concatenate([[_END], dish[:-1]])  # what precedes a text is an end
-        context = np.where(before < CONTEXTS, before, np.where(before == _END, CONTEXTS, CONTEXTS + 1))
-        return context, dish, owner, hashes
 
+def _unpacked(rows: list[tuple[int, list[bytes]]], *kinds: type) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(r[1][k] for r in rows), kind) for k, kind in enumerate(kinds)]
 
-def _pairs(words: Vocabulary) -> Callable:
-    """Counts of (context, dish) in a task; the table has a fixed size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((CONTEXTS + 2) * _DISHES, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in K.slices(column(batch, "text")):
-                context, dish, _, _ = words.sequence(data, offsets)
-                table += np.bincount(context * _DISHES + dish, minlength=len(table))
-        at = np.flatnonzero(table)
-        for i in range(0, len(at), 1 << 16):
-            own = at[i : i + (1 << 16)]
-            yield pa.record_batch([pa.array((own // _DISHES).astype(np.int32)), pa.array((own % _DISHES).astype(np.int32)), pa.array(table[own])], names=["context", "dish", "times"])
-
-    return run
+def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, values, minlength=size).astype(np.int64)
 
 
-def _rare(words: Vocabulary, buckets: int) -> Callable:
-    """Rarer words of each text, dealt out by hash: (word, text, occurrences, trains)."""
+def _pairs(buckets: int) -> Callable:
+    """The pairs of each text, dealt out by pair: (context, word, text, occurrences, trains)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, trains = column(batch, "doc").to_numpy(), column(batch, "trains").to_numpy(zero_copy_only=False)
             for a, _, data, offsets in K.slices(column(batch, "text")):
-                hashes, row = _tokens(data, offsets)
-                rare = words.of(hashes) == _RARE
-                hashes, row = hashes[rare], row[rare]
-                order = np.lexsort((hashes, row))
-                hashes, row = hashes[order], row[order]
+                word, row = _tokens(data, offsets)
+                rows = np.arange(len(offsets) - 1)
+                stop = np.searchsorted(row, rows, side="right")
+                word, row = np.insert(word, stop, _END), np.insert(row, stop, rows)
+                context = np.concatenate([[_END], word[:-1]])  # what precedes a text is an end
+                pair = K.mix(context * K._STEP + word)
+                order = np.lexsort((pair, row))
+                pair, row, context, word = pair[order], row[order], context[order], word[order]
                 fresh = np.ones(len(row), bool)
-                fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+                fresh[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
                 first = np.flatnonzero(fresh)
-                times = np.diff(np.append(first, len(row))).astype(np.int32)
-                hashes, row = hashes[first], a + row[first]
-                packed = list(K.dealt(hashes, buckets, docs[row], times, trains[row].astype(np.uint8)))
-                yield pa.record_batch([pa.array([p[0] for p in packed], pa.int32())] + [pa.array([p[1][k] for p in packed], pa.binary()) for k in range(4)], names=["bucket", "word", "doc", "times", "trains"])
+                times, own = np.diff(np.append(first, len(row))).astype(np.int32), a + row[first]
+                packed = K.dealt(pair[first], buckets, context[first], word[first], docs[own], times, trains[own].astype(np.uint8))
+                yield _rows([(_PAIRS, bucket, 0, blobs[1:]) for bucket, blobs in packed])
 
     return run
 
 
-def _recounted(buckets: int) -> Callable:
-    """The rarer words of texts as (text, training count, occurrences), dealt out by text; and, without a bucket, words by training count."""
+def _counted(buckets: int) -> Callable:
+    """Counts of the pairs of a bucket, the texts that hold them, and what is asked of the buckets of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "doc", "count", "times"]
-        word, doc, times, trains = K.gathered(batches, ["word", "doc", "times", "trains"], [np.uint64, np.int64, np.int32, np.uint8])
-        order = np.argsort(word, kind="stable")
-        edges = K.runs(word[order])
-        known = np.add.reduceat((times * trains)[order].astype(np.int64), edges[:-1]) if len(word) else np.zeros(0, np.int64)
-        count = np.empty(len(word), np.int64)
-        count[order] = np.repeat(known, np.diff(edges))
-        kinds, words = np.unique(known, return_counts=True)
-        if len(kinds):
-            yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([kinds.tobytes()]), pa.array([words.astype(np.int64).tobytes()])], names=names)
-        order = np.lexsort((count, doc))
-        doc, count, times = doc[order], count[order], times[order]
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (count[1:] != count[:-1])
-        first = np.flatnonzero(fresh)
-        times = np.add.reduceat(times.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        for bucket, blobs in K.dealt(doc[first].view(np.uint64), buckets, count[first], times):
-            yield pa.record_batch([pa.array([bucket], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], names=names)
+        for bucket, rows in _buckets(batches):
+            context, word, doc, times, trains = _unpacked(rows[_PAIRS], np.uint64, np.uint64, np.int64, np.int32, np.uint8)
+            order = np.lexsort((word, context))
+            context, word, doc, times = context[order], word[order], doc[order], times[order]
+            fresh = np.ones(len(word), bool)
+            fresh[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+            first = np.flatnonzero(fresh)
+            n = np.add.reduceat(times.astype(np.int64) * trains[order], first)
+            context, word = context[first], word[first]
+            ids, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+            c, w = at[: len(n)], at[len(n) :]
+            held = np.diff(np.append(first, len(doc)))
+            yield _rows([_row(_PAIRS, bucket, 0, c.astype(np.int32), w.astype(np.int32), n, held.astype(np.int32), (word == _END), doc, times)])
+            once = (n == 1).astype(float)
+            stats = [_summed(w, n, len(ids)), _summed(w, once, len(ids)), _summed(c, n, len(ids)), _summed(c, once, len(ids))]
+            yield _rows([(_ASKED, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, *stats)])
+            many = n > 1
+            ids, at = np.unique(np.concatenate([context[many], word[many]]), return_inverse=True)
+            c, w = at[: many.sum()].astype(np.int32), at[many.sum() :].astype(np.int32)
+            tables = np.ones(len(c), np.int64)
+            yield from _told(bucket, buckets, ids, c, w, n[many], tables, np.zeros(len(c), np.int64))
+            yield _rows([_row(_TOTALS, bucket, 0, np.array([(n == 1).sum(), (n == 2).sum()], float))])
 
     return run
 
 
+def _told(bucket: int, buckets: int, ids: np.ndarray, c: np.ndarray, w: np.ndarray, n: np.ndarray, tables: np.ndarray, kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The seating of a bucket, and its tables for each word as dish and as context."""
+    yield _rows([_row(_SEATED, bucket, 0, ids, c, w, n, tables, kept)])
+    yield _rows([(_SUMS, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, _summed(w, tables, len(ids)), _summed(c, tables, len(ids)))])
+
+
 def stirling(discount: float, size: int) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers: [customers, tables]."""
     out = np.full((size + 1, size + 1), -np.inf)
@@ -153,22 +152,27 @@ def stirling(discount: float, size: int) -> np.ndarray:
     return out
 
 
-def seat(customers: np.ndarray, parent: np.ndarray, tables: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """One Gibbs sweep over the dishes of a restaurant: tables of each, given the parent's probabilities and all others."""
+def seat(customers: np.ndarray, parent: np.ndarray, tables: np.ndarray, strength: float, discount: float, rng: np.random.Generator, total: np.ndarray | None = None) -> np.ndarray:
+    """One Gibbs sweep over dishes: tables of each, given the parent's probabilities and all others.
+
+    `total` has the tables of the restaurant of each dish; without it all dishes are of one restaurant.
+    """
     logs = stirling(discount, EXACT)
-    total = int(tables.sum())
+    total = np.full(len(customers), tables.sum()) if total is None else total
     out = np.minimum(customers, 1)
-    exact = np.flatnonzero((customers > 1) & (customers <= EXACT))
-    if len(exact):
-        t = np.arange(1, EXACT + 1)
-        others = total - tables[exact]
+    few = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    few = few[np.argsort(customers[few], kind="stable")]
+    for i in range(0, len(few), _DRAWN):
+        exact = few[i : i + _DRAWN]
+        t = np.arange(1, customers[exact[-1]] + 1)
+        others = total[exact] - tables[exact]
         opened = np.cumsum(np.log(strength + discount * (others[:, None] + t[None, :] - 1)), axis=1)
-        weight = logs[customers[exact], 1:] + t * np.log(parent[exact])[:, None] + opened
+        weight = logs[customers[exact], 1 : len(t) + 1] + t * np.log(parent[exact])[:, None] + opened
         out[exact] = (weight + rng.gumbel(size=weight.shape)).argmax(axis=1) + 1
     large = np.flatnonzero(customers > EXACT)
     if len(large):
         n, seated, own = customers[large], np.ones(len(large)), np.ones(len(large))
-        pull = (strength + discount * total) * parent[large]
+        pull = (strength + discount * total[large]) * parent[large]
         while (seated < n).any():
             step = np.clip(np.maximum(seated // 4, 1), 0, n - seated)
             own += rng.binomial(step.astype(np.int64), np.clip(pull / (pull + seated - discount * own), 0, 1))
@@ -177,173 +181,157 @@ def seat(customers: np.ndarray, parent: np.ndarray, tables: np.ndarray, strength
     return out
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = float((counts == 1).sum()), float((counts == 2).sum())
+def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.2, 0.9)) if once else 0.5
 
 
-def _seated(parent: np.ndarray, opened: dict[int, bytes], discount: float, strength: float, sweep: int) -> Callable:
+def _reseated(buckets: int, discount: float, add: float, out_of: float, sweep: int) -> Callable:
+    """One sweep over the pairs of a bucket; the parent's probability is (answer + add) / out_of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                dishes, times = np.array(r["dishes"], np.int64), np.array(r["times"], np.int64)
-                before = np.frombuffer(opened[r["context"]], np.int64) if r["context"] in opened else np.minimum(times, 1)
-                tables = seat(times, parent[dishes], before, strength, discount, np.random.default_rng([sweep, r["context"]]))
-                yield pa.record_batch([pa.array([r["context"]], pa.int32()), pa.array([tables.tobytes()])], names=["context", "tables"])
+        for bucket, rows in _buckets(batches):
+            ids, c, w, n, tables, kept = _unpacked(rows[_SEATED], np.uint64, np.int32, np.int32, np.int64, np.int64, np.int64)
+            served, opened = _unpacked(rows.get(_ANSWERS, []), float, np.int64) if len(ids) else (np.zeros(0), np.zeros(0, np.int64))
+            tables = seat(n, (served[w] + add) / out_of, tables, STRENGTH, discount, np.random.default_rng([sweep, bucket]), opened[c])
+            yield from _told(bucket, buckets, ids, c, w, n, tables, kept + (tables if sweep >= BURN_IN else 0))
 
     return run
 
 
-@dataclass
-class Model:
-    words: Vocabulary
-    #: log10 of the averaged predictive probabilities: [context, dish].
-    logs: np.ndarray
-    #: Training count of each dish, all training tokens, distinct ones.
-    counts: np.ndarray
-    tokens: int
-    distinct: int
-    #: Of rarer words, by training count: log10 of the averaged predictive probability.
-    rare_counts: np.ndarray
-    rare_logs: np.ndarray
-
-    def rare(self, count: np.ndarray) -> np.ndarray:
-        return np.interp(count, self.rare_counts, self.rare_logs)
-
-
-def _rare_restaurant(kinds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predictive probability of a rarer word by its training count, averaged over sweeps."""
-    new = words[kinds == 0].sum()  # only in texts that don't train
-    kinds, words = kinds[kinds > 0], words[kinds > 0]
-    if not len(kinds):
-        return np.array([0.0]), np.array([np.log10(NEW)])
-    once, twice = words[kinds == 1].sum(), words[kinds == 2].sum()
-    discount, strength = (float(np.clip(once / (once + 2 * twice), 0.2, 0.9)) if once else 0.5), 1.0
-    customers, known = float((kinds * words).sum()), float(words.sum())
-    base = (1 - NEW) / known
-    tables, sums = np.ones(len(kinds)), np.zeros(len(kinds) + 1)
-    rng = np.random.default_rng(int(new) % 2 + 1)
-    copies = 32  # draws for each count: words of equal count are exchangeable
-    for sweep in range(SWEEPS):
-        total = float((tables * words).sum())
-        pull = (strength + discount * total) * base
-        draws = np.ones((len(kinds), copies))
-        seated = np.ones(len(kinds))
-        while (seated < kinds).any():
-            step = np.clip(np.maximum(seated // 8, 1), 0, kinds - seated)
-            draws += rng.binomial(step.astype(np.int64)[:, None], np.clip(pull / (pull + seated[:, None] - discount * draws), 0, 1))
-            seated += step
-        tables = draws.mean(axis=1)
-        total = float((tables * words).sum())
-        if sweep >= BURN_IN:
-            spare = strength + discount * total
-            sums += np.concatenate([[spare * NEW], kinds - discount * tables + spare * base]) / (strength + customers)
-    return np.concatenate([[0.0], kinds]), np.log10(sums / (SWEEPS - BURN_IN))
-
-
-def fit(docs: DataFrame, rare: DataFrame, words: Vocabulary) -> Model:
-    """Model from the training rows of `docs(doc, text, trains)` and the recounted rarer words."""
-    train = docs.where("trains").select("text")
-    counted = train.mapInArrow(_pairs(words), "context int, dish int, times long").groupBy("context", "dish").agg(F.sum("times").alias("times"))
-    rows = counted.groupBy("context").agg(F.sort_array(F.collect_list(F.struct("dish", "times"))).alias("served"))  # at most WORDS + 2 for a context
-    rows = staged(rows.select("context", F.col("served.dish").alias("dishes"), F.col("served.times").alias("times")), "restaurants")
-    served = {r["context"]: (np.array(r["dishes"], np.int64), np.array(r["times"], np.int64)) for r in rows.toLocalIterator()}  # a table of bounded size
-    single = CONTEXTS + 1
-    counts = np.zeros(_DISHES, np.int64)
-    for dishes, times in served.values():
-        counts[dishes] += times
-    contexts = rows.where(F.col("context") != single)
-    discount = _discount(np.concatenate([t for c, (_, t) in served.items() if c != single] or [np.zeros(0)]))
-    strength, top = 5.0, 0.5
-    parent = (counts + 1.0) / (counts.sum() + _DISHES)
-    opened: dict[int, bytes] = {}
-    parent_tables = np.minimum(counts, 1)
-    average = np.zeros((CONTEXTS + 2, _DISHES))
-    for sweep in range(SWEEPS if served else 0):
-        opened = {r["context"]: r["tables"] for r in contexts.mapInArrow(_seated(parent, opened, discount, strength, sweep), "context int, tables binary").toLocalIterator()}
-        customers = np.zeros(_DISHES, np.int64)
-        if single in served:
-            customers[served[single][0]] += served[single][1]
-        for context, blob in opened.items():
-            customers[served[context][0]] += np.frombuffer(blob, np.int64)
-        base = np.full(_DISHES, 1 / _DISHES)
-        parent_tables = seat(customers, base, np.minimum(parent_tables, customers), strength, top, np.random.default_rng([sweep, single]))
-        parent = (customers - top * parent_tables + (strength + top * parent_tables.sum()) * base) / (strength + customers.sum())
-        if sweep >= BURN_IN:
-            for context in range(CONTEXTS + 2):
-                if context in opened:
-                    dishes, times = served[context]
-                    tables = np.frombuffer(opened[context], np.int64)
-                    p = (strength + discount * tables.sum()) * parent
-                    p[dishes] += times - discount * tables
-                    average[context] += p / (strength + times.sum())
-                else:
-                    average[context] += parent
-    average = average / (SWEEPS - BURN_IN) if served else np.full(average.shape, 1 / _DISHES)
-    kinds: dict[int, int] = {}
-    for r in rare.where("bucket is null").toLocalIterator():  # words by count: distinct counts only
-        for c, n in zip(np.frombuffer(r["count"], np.int64).tolist(), np.frombuffer(r["times"], np.int64).tolist()):
-            kinds[c] = kinds.get(c, 0) + n
-    keys = np.array(sorted(kinds), np.int64)
-    sizes = np.array([kinds[k] for k in keys], np.int64)
-    rare_counts, rare_logs = _rare_restaurant(keys, sizes)
-    distinct = int(sizes[keys > 0].sum() + (counts[:WORDS] > 0).sum() + (counts[_END] > 0))
-    return Model(words, np.log10(average).astype(np.float32), counts, int(counts.sum()), distinct, rare_counts, rare_logs)
-
-
-def _scored(model: Model) -> Callable:
-    base = np.log10(model.counts + 1.0) - np.log10(model.tokens + model.distinct + 1.0)
+def _parent(sweep: int, discount: float, known: float, tables_before: float) -> Callable:
+    """The parent is seated over the words of a bucket; answers what was asked: dishes served less the discount, and tables as a context.
+
+    Sweep -1 gathers the words and gives every one a table; its answers are the counts of the words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in K.slices(column(batch, "text")):
-                context, dish, row, _ = model.words.sequence(data, offsets)
-                rows = b - a
-                sums = lambda w=None: np.bincount(row, w, minlength=rows)  # noqa: B023, E731
-                own = dish != _RARE
-                yield pa.record_batch(
-                    [column(batch, n).slice(a, rows) for n in ("doc", "doc_id", "trains")]
-                    + [pa.array(sums()), pa.array(sums(own & (model.counts[dish] > 0)).astype(np.int64)), pa.array(sums(np.where(own, base[dish], 0.0))), pa.array(sums(model.logs[context, dish].astype(float)))],
-                    names=["doc", "doc_id", "trains", "n_tokens", "known", "base", "score"],
-                )
+        for bucket, rows in _buckets(batches):
+            if sweep < 0:
+                ids, *stats = _unpacked(rows[_ASKED], np.uint64, *[np.int64] * 4)
+                ids, at = np.unique(ids, return_inverse=True)
+                count, single, before, alone = (_summed(at, v, len(ids)) for v in stats)
+                past = []
+            else:
+                ids, count, single, before, alone, seated = _unpacked(rows[_WORDS], np.uint64, *[np.int64] * 5)
+                past = [np.frombuffer(b, np.float32) for b in rows[_WORDS][0][1][6:]]
+            asked, tables_w, tables_c = _unpacked(rows.get(_SUMS, []), np.uint64, np.int64, np.int64) if _SUMS in rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            at = np.searchsorted(ids, asked)
+            customers, opened = single + _summed(at, tables_w, len(ids)), alone + _summed(at, tables_c, len(ids))
+            if sweep < 0:
+                seated, served = np.minimum(customers, 1), count.astype(float)
+            else:
+                base = np.full(len(ids), (1 - NEW) / known)
+                seated = seat(customers, base, np.minimum(seated, customers), STRENGTH, discount, np.random.default_rng([sweep, bucket, 1]), np.full(len(ids), tables_before))
+                served = customers - discount * seated
+                past += [served.astype(np.float32), opened.astype(np.float32)] if sweep >= BURN_IN else []
+            yield _rows([_row(_WORDS, bucket, 0, ids, count, single, before, alone, seated, *past)])
+            ends = np.cumsum([0] + [len(r[1][0]) // 8 for r in rows.get(_SUMS, [])])
+            yield _rows([_row(_ANSWERS, r[0], bucket, served[at[a:b]], opened[at[a:b]]) for r, a, b in zip(rows.get(_SUMS, []), ends[:-1], ends[1:])])
+            yield _rows([_row(_TOTALS, bucket, 0, np.array([count.sum(), (count > 0).sum(), customers.sum(), seated.sum(), (customers == 1).sum(), (customers == 2).sum()], float))])
 
     return run
 
 
-def _scored_rare(model: Model) -> Callable:
-    """For each text of a bucket, what its rarer words add."""
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For all that was asked: counts as dish and as context, and what the kept sweeps served and opened."""
+    for bucket, rows in _buckets(batches):
+        own = rows[_WORDS][0][1]
+        ids, count, before = (np.frombuffer(own[k], kind) for k, kind in ((0, np.uint64), (1, np.int64), (3, np.int64)))
+        values = [count, before, *[np.frombuffer(b, np.float32) for b in own[6:]]]
+        for origin, blobs in rows.get(_ASKED, []):
+            at = np.searchsorted(ids, np.frombuffer(blobs[0], np.uint64))
+            yield _rows([_row(_ANSWERS, origin, bucket, *[v[at] for v in values])])
+
+
+def _scored(buckets: int, discount: float, sweeps: list[tuple[float, float, float]], tokens: float, distinct: float) -> Callable:
+    """What the pairs of a bucket add to each text, dealt out by text: (text, copies, tokens, known ones, base, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, count, times = K.gathered(batches, ["doc", "count", "times"], [np.int64, np.int64, np.int64])
+        for bucket, rows in _buckets(batches):
+            c, w, n, held, end, doc, times = _unpacked(rows[_PAIRS], np.int32, np.int32, np.int64, np.int32, bool, np.int64, np.int32)
+            count, before, *past = _unpacked(rows[_ANSWERS], np.int64, np.int64, *[np.float32] * (2 * len(sweeps)))
+            kept = np.zeros(len(n))
+            kept[n == 1] = len(sweeps)
+            kept[n > 1] = _unpacked(rows[_SEATED], *[np.uint8] * 5, np.int64)[5]
+            p = len(sweeps) * n - discount * kept
+            for k, (add, new, out_of) in enumerate(sweeps):
+                single = np.where(count > 0, past[2 * k] + add, new) / out_of
+                p += (STRENGTH + discount * past[2 * k + 1][c]) * single[w]
+            logs = np.log10(p / len(sweeps) / (STRENGTH + before[c]))
+            base = np.log10(count + 1.0) - np.log10(tokens + distinct + 1.0)
+            pair = np.repeat(np.arange(len(n)), held)
+            order = np.argsort(doc, kind="stable")
+            first = K.runs(doc[order])[:-1]
+            values = [times * end[pair], times, times * (count[w] > 0)[pair], times * base[w][pair], times * logs[pair]]
+            sums = [np.add.reduceat(v[order].astype(float), first) for v in values]
+            yield _rows([_row_of(to, blobs) for to, blobs in K.dealt(K.mix(doc[order][first].view(np.uint64)), buckets, doc[order][first], *[v.astype(k) for v, k in zip(sums, (np.int32, np.int32, np.int32, float, float))])])
+
+    return run
+
+
+def _row_of(bucket: int, blobs: list[bytes]) -> tuple[int, int, int, list[bytes]]:
+    return _TOTALS, bucket, 0, blobs[1:]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over all pairs of each text; rows of equal id and text share them."""
+    for _, rows in _buckets(batches):
+        doc, copies, *values = _unpacked(rows[_TOTALS], np.int64, np.int32, np.int32, np.int32, float, float)
         order = np.argsort(doc, kind="stable")
-        doc, count, times = doc[order], count[order], times[order]
-        first = K.runs(doc)[:-1]
-        base = times * (np.log10(count + 1.0) - np.log10(model.tokens + model.distinct + 1.0))
-        sums = [np.add.reduceat(v, first) if len(first) else v for v in (times * (count > 0), base, times * model.rare(count))]
+        first = K.runs(doc[order])[:-1]
+        copies, *values = (np.add.reduceat(v[order].astype(float), first) for v in (copies, *values))
         for i in range(0, len(first), 1 << 14):
-            yield pa.record_batch([pa.array(doc[first][i : i + (1 << 14)])] + [pa.array(v[i : i + (1 << 14)]) for v in sums], names=["doc", "known", "base", "score"])
+            own = slice(i, i + (1 << 14))
+            yield pa.record_batch([pa.array(doc[order][first][own])] + [pa.array((v / copies)[own]) for v in values], names=["doc", "tokens", "known", "base", "score"])
 
-    return run
+
+class _Exchange:
+    """Packed rows, met by bucket and stored in the shared folder apart by what they hold."""
+
+    def __init__(self, docs: DataFrame):
+        self.spark, self.buckets, self.stored = docs.sparkSession, parts(docs.sparkSession), {}
+
+    def met(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "bucket")
+
+    def put(self, rows: DataFrame, *whats: int) -> None:
+        path = f"{checkpoint_root(self.spark)}/language-{uuid.uuid4().hex}"
+        rows.write.partitionBy("what").parquet(path)
+        table = self.spark.read.schema(_ROW).parquet(path).select("what", "bucket", "origin", "blobs")
+        self.stored |= {what: table.where(F.col("what") == what) for what in whats}
+
+    def of(self, *whats: int) -> DataFrame:
+        out = self.stored[whats[0]]
+        for what in whats[1:]:
+            out = out.unionByName(self.stored[what])
+        return self.met(out)
+
+    def totals(self, size: int) -> np.ndarray:
+        """Sum over the buckets, one row of a few numbers for each."""
+        return sum((np.frombuffer(r["blobs"][0]) for r in self.stored[_TOTALS].toLocalIterator()), np.zeros(size))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, trains, n_tokens, n_known, train_tokens, base_score, score, perplexity) for `docs(doc_id, text, trains)`."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "trains").withColumn("doc", F.xxhash64("doc_id", "text"))
-    often = docs.where("trains").select("text").mapInArrow(_often, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    top = often.orderBy(F.desc("times"), "word").limit(WORDS).toArrow()["word"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(top)
-    words = Vocabulary(top[order], order)
-    dealt = docs.select("doc", "trains", "text").mapInArrow(_rare(words, parts(spark)), "bucket int, word binary, doc binary, times binary, trains binary")
-    rare = staged(dealt.repartition(parts(spark), "bucket").mapInArrow(_recounted(parts(spark)), "bucket int, doc binary, count binary, times binary"), "recounted")
-    model = fit(docs, rare, words)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select("doc", "doc_id", "trains", "text").mapInArrow(_scored(model), f"doc long, doc_id {kind}, trains boolean, n_tokens long, known long, base double, score double")
-    more = rare.where("bucket is not null").repartition(parts(spark), "bucket")
-    more = more.mapInArrow(_scored_rare(model), "doc long, known long, base double, score double").toDF("doc", "more_known", "more_base", "more_score")
-    # rows with equal id and text share what their rarer words add up to
-    copies = own.groupBy("doc").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = own.join(more, "doc", "left").join(copies, "doc", "left")
-    total = lambda n: F.col(n) + F.coalesce(F.col(f"more_{n}") / F.coalesce("copies", F.lit(1)), F.lit(0))
-    out = out.select("doc_id", "trains", "n_tokens", total("known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), total("base").alias("base_score"), total("score").alias("score"))
+    x = _Exchange(docs)
+    x.put(x.met(docs.select("doc", "trains", "text").mapInArrow(_pairs(x.buckets), _ROW)).mapInArrow(_counted(x.buckets), _ROW), _PAIRS, _ASKED, _SEATED, _SUMS, _TOTALS)
+    discount = _discount(*x.totals(2))
+    x.put(x.of(_ASKED, _SUMS).mapInArrow(_parent(-1, 0.0, 0.0, 0.0), _ROW), _WORDS, _ANSWERS, _TOTALS)
+    tokens, distinct, _, tables, once, twice = x.totals(6).tolist()
+    top, add, out_of = _discount(once, twice), 1.0, tokens + distinct + 1.0
+    sweeps = []
+    for sweep in range(SWEEPS):
+        x.put(x.of(_SEATED, _ANSWERS).mapInArrow(_reseated(x.buckets, discount, add, out_of, sweep), _ROW), _SEATED, _SUMS)
+        x.put(x.of(_WORDS, _SUMS).mapInArrow(_parent(sweep, top, max(distinct, 1.0), tables), _ROW), _WORDS, _ANSWERS, _TOTALS)
+        _, _, customers, tables, _, _ = x.totals(6).tolist()
+        spare, out_of = STRENGTH + top * tables, STRENGTH + customers
+        add = spare * (1 - NEW) / max(distinct, 1.0)
+        if sweep >= BURN_IN:
+            sweeps.append((add, spare * NEW, out_of))
+    answers = x.of(_WORDS, _ASKED).mapInArrow(_answered, _ROW)
+    known = x.met(x.stored[_PAIRS].unionByName(x.stored[_SEATED]).unionByName(answers)).mapInArrow(_scored(x.buckets, discount, sweeps, tokens, distinct), _ROW)
+    sums = x.met(known).mapInArrow(_added, "doc long, tokens double, known double, base double, score double")
+    out = docs.select("doc", "doc_id", "trains").join(sums, "doc")
+    out = out.select("doc_id", "trains", F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -222,6 +222,23 @@ def test_language_model(spark):
     assert lm.score(df.where("not trains")).where("train_tokens > 0").count() == 0
 
 
+def test_language_model_keeps_every_context(spark):
+    rng = random.Random(9)
+    follow = list(range(3000))
+    rng.shuffle(follow)
+
+    def walk(n):
+        k, out = rng.randrange(3000), []
+        for _ in range(n):
+            out.append(f"w{k}")
+            k = follow[k]
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, walk(100), i < 200) for i in range(210)], "doc_id long, text string, trains boolean").repartition(3)
+    held = lm.score(df).where("not trains").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert held > -1.2  # single words give -3.5
+
+
 def test_seating_keeps_between_one_table_and_one_for_each_customer():
     customers = np.array([0, 1, 2, 24, 25, 1000])
     tables = lm.seat(customers, np.full(6, 0.1), np.minimum(customers, 1), 1.0, 0.5, np.random.default_rng(0))
