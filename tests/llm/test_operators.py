@@ -239,6 +239,14 @@ def test_language_model_keeps_every_context(spark):
     assert held > -1.2  # single words give -3.5
 
 
+def test_language_model_counts_every_word_however_texts_are_split(spark):
+    """Every word occurs twice in all, with more than a megabyte in one partition or far less in each of eight."""
+    rows = [(i, " ".join(f"{(200 * i + j) % 6000:0100d}" for j in range(200)), True) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, trains boolean")
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score(df.repartition(n, "doc_id")).collect()} for n in (1, 8))
+    assert len(one) == 60 and all(one[i] == pytest.approx(many[i]) for i in one)
+
+
 def test_seating_keeps_between_one_table_and_one_for_each_customer():
     customers = np.array([0, 1, 2, 24, 25, 1000])
     tables = lm.seat(customers, np.full(6, 0.1), np.minimum(customers, 1), 1.0, 0.5, np.random.default_rng(0))
