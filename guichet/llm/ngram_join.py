@@ -301,8 +301,9 @@ def _by_heads(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _within_clusters(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of a cluster, block by block."""
-    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
+    """Links between different components of a cluster, block by block; two classes have met if one of them is the head."""
+    headed = F.max(F.col("key") == F.col("cluster")).alias("headed")
+    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), headed).where("low <> high and (size > 2 or not headed)")
     wanted = placed.join(mixed.select("cluster"), "cluster").select("key", "component", "blocks")
     copies = sets.select("cluster", "part", "key", "grams").join(wanted, "key").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = copies.select("cluster", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), (F.col("part") > F.col("other")).alias("second"), "key", "component", "grams")

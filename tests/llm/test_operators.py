@@ -49,6 +49,18 @@ def test_jaccard_blocks_of_few_classes(docs, corpus, monkeypatch):
     assert plain(jaccard_classes(docs), "doc_id", "n_shingles", "component_id") == brute.jaccard(corpus)
 
 
+def test_jaccard_of_two_classes_whose_head_lies_elsewhere(spark):
+    """Passages in a chain: D shares with C, C with h, h with x and y, so x and y are a cluster without its head C."""
+    rng = random.Random(11)
+    a, b, e, g = (words(rng, n, 10**9) for n in (700, 1000, 1500, 150))
+    own = lambda n: words(rng, n, 10**9)
+    rows = [(1, e), (2, f"{b} {e} {own(30)}"), (3, f"{a} {b} {own(50)}"), (4, f"{a} {g} {own(100)}"), (5, f"{a} {g} {own(100)}")]
+    want = brute.jaccard(rows)
+    assert (5, 946, 4) in want
+    found = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert plain(found, "doc_id", "n_shingles", "component_id") == want
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard_classes(docs.limit(0)).count() == 0
 
