@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guichet.llm import ann, langid, lines, lm, mixing, sql, surrogates, toxicity
+from guichet.llm import ann, langid, lines, lm, mixing, sql, surrogates, toxicity, url_filter
 from guichet.llm.common import remainder
 from guichet.llm.decontaminate import contamination, is_contaminated
 from guichet.llm.ngram_join import jaccard_classes
+from guichet.llm.prefix_trie import prefix_trie
 from guichet.llm.repeats import remove_repeats
+from guichet.llm.spelling import variants
 from guichet.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +109,34 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` with personal data replaced by keyed surrogates."""
     done = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("_entities").alias("n_entities"), F.col("_kinds").alias("kinds"), "text")
+
+
+@_query(sql.PREFIX_TRIE)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of `conversations`, each with up to three first turns of the conversation at its multiple of 20."""
+    conversations = table(spark, sf_dir, "conversations")
+    ids = conversations.where("conv_id is not null").select("conv_id").distinct()
+    heads = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), remainder("conv_id", 4).alias("shared"))
+    return prefix_trie(conversations, heads)
+
+
+@_query(sql.URL_FILTER)
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of `pages` against five rules and the list of the unwanted sites among all hosts of the table."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(sql.URL_RULES, "verdict string, host string, path string").withColumn("rule", F.lit(True))
+    sites = pages.select(F.regexp_extract(url_filter.host_of(F.col("url")), sql.UNWANTED, 1).alias("host")).where("host <> ''").distinct()
+    listed = sites.select(F.lit("block").alias("verdict"), "host", F.lit("").alias("path"), F.lit(False).alias("rule"))
+    return url_filter.judge(pages, rules.union(listed))
+
+
+@_query(sql.SPELLING)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of `documents`; one word of about 97 in each document loses a letter first."""
+    docs = table(spark, sf_dir, "documents")
+    runs = F.regexp_extract_all(F.translate("text", sql.UPPER, sql.LOWER), F.lit("[a-z\u00C0-\u00FF]+"), F.lit(0))
+    rows = docs.select("doc_id", F.explode(runs).alias("run"))
+    mark = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    gone = (mark % F.length("run")).cast("int")
+    shorter = F.concat(F.substring(F.col("run"), F.lit(1), gone), F.substring(F.col("run"), gone + 2, F.length("run")))
+    return variants(rows.select(F.when(mark % 97 == 0, shorter).otherwise(F.col("run")).alias("word")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lowered(text: str) -> str:
-    return f"translate({text}, '{_UPPER}', '{_LOWER}')"
+    return f"translate({text}, '{UPPER}', '{LOWER}')"
 
 
 def spaced(text: str) -> str:
@@ -113,3 +113,87 @@ union all select doc_id, source, tokens, epoch::bigint, place::int from c where
 
 
 MIXING = mixing_of("documents")
+
+#: Entries of CRC-32 (the reflected polynomial 0xEDB88320), as the column `entry` of the table `crc`.
+_CRC_TABLE = """crc as (
+  select list(list_reduce(range(8), lambda c, _k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) order by i) as entry from range(256) t(i))"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes; needs the table `crc`."""
+    octets = f"list_transform(range(0, len(hex(encode({text}))) // 2), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+
+
+PREFIX_TRIE = f"""
+with {_CRC_TABLE},
+t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as place,
+    len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as mark, coalesce(len({spaced("text")}), 0) as words
+  from conversations where conv_id is not null),
+ids as (select conv_id, conv_id - conv_id % 20 as base, ({crc32("conv_id::varchar")} % 4) as h from (select distinct conv_id from t), crc),
+r as (
+  select conv_id, place, mark, words from t join ids using (conv_id) where place > h
+  union all select ids.conv_id, place, mark, words from t join ids on t.conv_id = ids.base where place <= h),
+ranked as (select conv_id, row_number() over (partition by conv_id order by place) as depth, mark, words from r),
+chain as (
+  select conv_id, depth, words, list(sha256(mark)) over (partition by conv_id order by depth) as marks from ranked),
+p as (
+  select conv_id, depth, words, array_to_string(marks, ',') as node, array_to_string(marks[:-2], ',') as parent from chain
+  union all select conv_id, 0, 0, '', null from ids),
+lengths as (select conv_id, max(depth) as len from p group by 1),
+n as (
+  select node, any_value(parent) as parent, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = len), '')) as ends_sha256
+  from p join lengths using (conv_id) group by 1),
+kids as (select parent as node, count(*) as k from n where parent is not null group by 1),
+own as (select n.*, coalesce(k, 0) as n_children from n left join kids using (node)),
+sums as (
+  select a.node, sum((b.n_children = 0)::bigint) as n_leaves, sum((b.n_convs - 1) * b.words) as saved_tokens
+  from own b join p a on a.conv_id = b.conv_id and a.depth <= b.depth group by 1)
+select own.conv_id, own.depth::bigint as depth, up.conv_id as parent_conv_id, own.n_convs::bigint as n_convs, own.n_children::bigint as n_children,
+  n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, own.ends_sha256
+from own join sums using (node) left join n up on own.parent = up.node
+"""
+
+#: The rules of the URL filter, and site names that are not wanted.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+UNWANTED = r"(?:^|\.)((?:ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\..+)$"
+
+_RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
+URL_FILTER = rf"""
+with rules(verdict, host, path) as (values {_RULE_ROWS}),
+u as (
+  select page_id, {lowered("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+hosts as (
+  select host, exists (select 1 from (select distinct regexp_extract(host, '{UNWANTED}', 1) as site from u where regexp_extract(host, '{UNWANTED}', 1) <> '') s where h.host = site or ends_with(h.host, '.' || site)) as listed
+  from (select distinct host from u) h),
+fit as (
+  select distinct u.host, u.path, arg_max(r.host || r.path, len(r.host || r.path) * 1000 + len(r.host)) as rule, arg_max(r.verdict, len(r.host || r.path) * 1000 + len(r.host)) as verdict
+  from (select distinct host, path from u) u join rules r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path) group by all)
+select page_id, u.host, u.path, rule, coalesce(fit.verdict, case when listed then 'block' else 'allow' end) as verdict
+from u join hosts using (host) left join fit on u.host = fit.host and u.path = fit.path
+"""
+
+SPELLING = rf"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, run, count(*) as n from (select doc_id, unnest(regexp_extract_all({lowered("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents) group by all),
+marked as (select run, n, {crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from runs, crc),
+words as (
+  select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, sum(n)::bigint as n
+  from marked group by 1 having length(word) >= 5 and sum(n) >= 3),
+cut as (select word, n, i, substr(word, 1, i) as a, substr(word, i + 2) as b from words, unnest(range(0, length(word))) t(i)),
+near as (
+  select x.word, y.word as other, y.n from cut x join cut y on x.a = y.a and x.b = y.b and x.word <> y.word
+  union select cut.word, w.word, w.n from cut join words w on cut.a || cut.b = w.word
+  union select w.word, cut.word, cut.n from cut join words w on cut.a || cut.b = w.word),
+ranked as (select word, other, n as form_n, count(*) over (partition by word) as n_near, row_number() over (partition by word order by n desc, other) as k from near),
+found as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 2 * w.n then other end as form, case when form_n >= 2 * w.n then form_n end as form_n
+  from words w left join ranked r on w.word = r.word and k = 1),
+walk(word, reached, steps) as (
+  select word, word, 0 from found
+  union all select walk.word, found.form, steps + 1 from walk join found on walk.reached = found.word where found.form is not null),
+ends as (select word, arg_max(reached, steps) as root from walk group by 1)
+select word, form, root, n, n_near, form_n from found join ends using (word)
+"""
