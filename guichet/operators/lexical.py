@@ -61,9 +61,10 @@ def bm25_topk(documents: DataFrame, queries: DataFrame, n: int = DEFAULTS.candid
 
     Statistics are those of the whole corpus even when visibility filters the candidates. Scores
     are rounded to nine decimals before ranking, so the order does not depend on the order in
-    which a shuffle delivers the terms; ties follow the corpus order.
+    which a shuffle delivers the terms; ties follow the corpus order. A document of null tokens is an empty one.
     """
-    terms = _query_terms(queries)
+    terms = query_terms(queries)
+    documents = documents.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     scored = _score_broadcast(documents, terms, params) if fits(terms, params.broadcast_rows, params.broadcast_bytes) \
         else _score_shuffled(documents, terms, params)
     return top_n(scored.withColumn("score", F.round("score", 9)), n)
@@ -80,7 +81,7 @@ def _document_columns(documents: DataFrame) -> list[Column]:
     return [F.col("chunk_id"), F.col("pos"), owner.alias("client_id")]
 
 
-def _query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
     client = F.col("client_id") if "client_id" in queries.columns else F.lit(None).cast("string")
     return queries.select("query_id", client.alias("asking"), F.explode_outer(F.array_distinct("tokens")).alias("term")).where(F.col("term").isNotNull())
 
@@ -89,10 +90,14 @@ def _visible() -> Column:
     return F.col("client_id").isNull() | (F.col("client_id") == F.col("asking"))
 
 
-def _gain(params: Params) -> Column:
+def saturation(params: Params, avg_len: Column) -> Column:
+    """What a term's count in a document weighs, before its idf."""
     k1, b = F.lit(params.bm25_k1), F.lit(params.bm25_b)
-    saturation = F.col("tf") + k1 * (F.lit(1.0) - b + b * F.col("len") / F.col("avg_len"))
-    return F.col("idf") * F.col("tf") * (k1 + F.lit(1.0)) / saturation
+    return F.col("tf") * (k1 + F.lit(1.0)) / (F.col("tf") + k1 * (F.lit(1.0) - b + b * F.col("len") / avg_len))
+
+
+def _gain(params: Params) -> Column:
+    return F.col("idf") * saturation(params, F.col("avg_len"))
 
 
 def _score_broadcast(documents: DataFrame, terms: DataFrame, params: Params) -> DataFrame:
@@ -134,29 +139,6 @@ def _score_broadcast(documents: DataFrame, terms: DataFrame, params: Params) ->
     )
 
 
-def write_postings(documents: DataFrame, folder: str) -> None:
-    """Store the inverted index once: `lengths` of documents, `postings` in order of their term, `terms` with df.
-
-    Postings are range-partitioned and sorted by term, so a search for some terms skips most row groups.
-    """
-    spark = documents.sparkSession
-    documents.select(*_document_columns(documents), F.size("tokens").alias("len")).write.mode("overwrite").parquet(f"{folder}/lengths")
-    postings(documents).repartitionByRange("term").sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{folder}/postings")
-    stored = spark.read.parquet(f"{folder}/postings")
-    stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{folder}/terms")
-
-
-def bm25_stored(folder: str, queries: DataFrame, n: int = DEFAULTS.candidate_k, params: Params = DEFAULTS) -> DataFrame:
-    """`bm25_topk` from a stored index: no text is read, and only the postings of the terms asked for are used."""
-    spark = queries.sparkSession
-    stats = spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    asked = _query_terms(queries).join(spark.read.parquet(f"{folder}/terms"), "term")
-    asked = asked.crossJoin(F.broadcast(stats)).select("query_id", "asking", "term", "avg_len", idf(F.col("n"), F.col("df")).alias("idf"))
-    lists = spark.read.parquet(f"{folder}/postings").join(broadcast_if_small(_query_terms(queries).select("term").distinct()), "term", "left_semi")
-    scored = lists.join(asked, "term").where(_visible()).groupBy("chunk_id", "pos", "query_id").agg(F.sum(_gain(params)).alias("score"))
-    return top_n(scored.withColumn("score", F.round("score", 9)), n)
-
-
 def _score_shuffled(documents: DataFrame, terms: DataFrame, params: Params) -> DataFrame:
     """Query sets of any size: sort-merge join on the term.
 

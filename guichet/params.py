@@ -35,6 +35,8 @@ class Params:
     broadcast_bytes: int = 64 * 1024 * 1024
     query_block: int = 4096
     hot_key_rows: int = 200_000
+    block_width: int = 128  # documents of an index block
+    first_blocks: int = 4  # blocks of a question opened before the others are bounded
 
 
 DEFAULTS = Params()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guichet.functions import text as tx
-from guichet.operators import evaluation, lexical, retrieval
+from guichet.operators import evaluation, retrieval
 from guichet.plans import retrieval_queries as rq
 from guichet.plans import sql as S
 from guichet.plans.catalog import query
@@ -39,7 +39,7 @@ def answered(spark: SparkSession, sf: str) -> DataFrame:
     """What the search did with each passage: route of the best document, two cited documents, its text as the answer."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "text", "n_chars")
     asked = rq.questions(spark, sf)
-    hits = retrieval.attach_chunks(lexical.bm25_topk(rq.corpus(spark, sf), asked, 4), docs, asked)
+    hits = retrieval.attach_chunks(rq.lexical_hits(spark, sf, 4), docs, asked)
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("doc"))))
     return hits.groupBy("query_id").agg(  # at most four rows per question
         F.transform(ordered, lambda h: h["doc"]).alias("retrieved"), F.min_by("lang", "rank").alias("route"),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guichet.functions import references as rf
 from guichet.functions.vectors import hash_vectors, unit
-from guichet.operators import dense, lexical, passages, retrieval
+from guichet.operators import dense, lexical, passages, postings, retrieval
 from guichet.operators.evaluation import first_hit_ranks
 from guichet.operators.ordering import first_seen_numbers
 from guichet.operators.sizing import broadcast_if_small
@@ -20,14 +21,18 @@ from guichet.session import checkpoint_root
 from guichet.sources.tables import spread, table
 
 
-def corpus(spark: SparkSession, sf: str, scoped: bool = False) -> DataFrame:
+def chunk_texts(spark: SparkSession, sf: str, scoped: bool = False) -> DataFrame:
     """Documents as chunks; with `scoped`, a document that is not in English belongs to its source."""
     owner = F.when(F.col("lang") != "en", F.col("source")) if scoped else F.lit(None).cast("string")
-    docs = table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"), owner.alias("client_id"),
         F.col("source").alias("doc"), F.col("lang").alias("title"), F.lit("").alias("section"), F.lit(1).alias("page"), "text",
     )
-    return lexical.analyze(spread(docs), "text", stem=False, composed=True)
+
+
+def corpus(spark: SparkSession, sf: str, scoped: bool = False) -> DataFrame:
+    """Chunks with their tokens."""
+    return lexical.analyze(spread(chunk_texts(spark, sf, scoped)), "text", stem=False, composed=True)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,14 +57,13 @@ def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_hits(spark: SparkSession, sf: str) -> DataFrame:
-    lexical_hits = lexical.bm25_topk(corpus(spark, sf), questions(spark, sf), P.candidate_k)
-    return retrieval.fuse(lexical_hits, dense.cosine_topk(vectors(spark, sf), question_vectors(spark, sf), P.candidate_k))
+    return retrieval.fuse(lexical_hits(spark, sf, P.candidate_k), dense.cosine_topk(vectors(spark, sf), question_vectors(spark, sf), P.candidate_k))
 
 
 def bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Top-k of the lexical list with the text of each chunk."""
-    docs, asked = corpus(spark, sf), questions(spark, sf)
-    return retrieval.attach_chunks(retrieval.search(docs, asked), docs, asked)
+    hits = retrieval.lexical_only(lexical_hits(spark, sf, P.top_k))
+    return retrieval.attach_chunks(hits, chunk_texts(spark, sf), questions(spark, sf))
 
 
 @query(
@@ -67,24 +71,37 @@ def bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {S.scores()} SELECT item_id, doc_id, round(score, 6) AS score, rnk AS rank FROM ranked WHERE rnk <= {P.top_k}",
 )
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = lexical.bm25_topk(corpus(spark, sf), questions(spark, sf), P.top_k)
+    hits = lexical_hits(spark, sf, P.top_k)
     return hits.select(
         F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"),
         F.col("rank").cast("bigint").alias("rank"),
     )
 
 
-def stored_index(spark: SparkSession, sf: str) -> str:
-    """Folder with the stored postings of the documents."""
-    folder = f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
-    lexical.write_postings(corpus(spark, sf), folder)
-    return folder
+_INDEXES: dict[tuple, postings.Index] = {}
+
+
+def stored_index(spark: SparkSession, sf: str) -> postings.Index:
+    """The index of the documents, stored in the shared folder when it is asked for first, and again when their files change."""
+    files = table(spark, sf, "documents").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
+    state = files.agg(F.count("*"), F.count_distinct("path"), F.max("changed")).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build(corpus(spark, sf, scoped=True), f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def lexical_hits(spark: SparkSession, sf: str, n: int, asked: DataFrame | None = None) -> DataFrame:
+    """Best documents of the questions from the stored index; `asked` with clients sees only what they may."""
+    scoped = asked is not None
+    return postings.bm25_index(stored_index(spark, sf), asked if scoped else questions(spark, sf), n, scoped)
 
 
 @query("index_bm25_topk", ORACLES["bm25_topk"])
 def index_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The same ranking from a stored index."""
-    hits = lexical.bm25_stored(stored_index(spark, sf), questions(spark, sf), P.top_k)
+    """The same ranking with other settings of the index, which leave its bounds unused."""
+    index = stored_index(spark, sf)
+    hits = postings.bm25_index(replace(index, manifest=index.manifest | {"k1": 0.0}), questions(spark, sf), P.top_k, scoped=False)
     return hits.select(
         F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"),
         F.col("rank").cast("bigint").alias("rank"),
@@ -97,10 +114,33 @@ def index_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM docs) GROUP BY ALL) GROUP BY term""",
 )
 def index_postings(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored postings and term table, summed by term."""
-    folder = stored_index(spark, sf)
-    lists = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.min("chunk_id").alias("first_doc"), F.max("len").alias("longest"))
-    return spark.read.parquet(f"{folder}/terms").join(lists, "term")
+    """The stored blocks and term table, summed by term."""
+    index = stored_index(spark, sf)
+    first, longest = F.array_min(F.transform("entries", lambda e: e["number"])), F.array_max(F.transform("entries", lambda e: e["len"]))
+    lists = index.blocks.groupBy("term").agg(F.min(first).alias("first_doc"), F.max(longest).alias("longest"))
+    return index.terms.select("term", "df", "cf").join(lists, "term")
+
+
+_BLOCK_TOPS = f"""lens AS (SELECT doc_id, len(toks) AS dl FROM docs),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM docs) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qterms AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(qtoks) AS term FROM asked)),
+tops AS (SELECT term, floor(doc_id / {P.block_width})::BIGINT AS block, max(tf * ({P.bm25_k1} + 1) / (tf + {P.bm25_k1} * (1 - {P.bm25_b} + {P.bm25_b} * dl / avgdl))) AS top
+         FROM post JOIN lens USING (doc_id) CROSS JOIN stats GROUP BY ALL)"""
+
+
+@query(
+    "index_block_bounds",
+    f"""WITH {S.DOCS}, {S.ASKED}, {_BLOCK_TOPS}
+    SELECT item_id, block, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * top), 6) AS bound
+    FROM qterms JOIN tops USING (term) JOIN dfs USING (term) CROSS JOIN stats GROUP BY ALL""",
+)
+def index_block_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """What each block of documents can score at most for each question."""
+    index = stored_index(spark, sf)
+    asked = lexical.query_terms(questions(spark, sf)).join(index.terms.select("term", "idf"), "term")
+    return postings.block_bounds(index, asked).select(F.col("query_id").alias("item_id"), "block", F.round("bound", 6).alias("bound"))
 
 
 @query(
@@ -164,11 +204,10 @@ def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
     """The client of a question is the source of the document with the same number; owned documents open to it only."""
     asker = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("client_id"))
     asked = questions(spark, sf).join(asker, "query_id")
-    lexical_hits = lexical.bm25_topk(corpus(spark, sf, scoped=True), asked, P.candidate_k)
     dense_hits = dense.cosine_topk(
         vectors(spark, sf, scoped=True), question_vectors(spark, sf).join(asker, "query_id"), P.candidate_k
     )
-    return _hit_columns(retrieval.fuse(lexical_hits, dense_hits))
+    return _hit_columns(retrieval.fuse(lexical_hits(spark, sf, P.candidate_k, asked), dense_hits))
 
 
 @query(
@@ -343,7 +382,7 @@ def _short_containment(docs: DataFrame, passages: DataFrame, block: int = 256) -
     SELECT item_id, first IS NOT NULL AS hit, coalesce(round(1.0 / first, 6), 0)::DOUBLE AS reciprocal_rank FROM best""",
 )
 def eval_hit_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    hits = lexical.bm25_topk(corpus(spark, sf), questions(spark, sf), P.top_k).select("query_id", F.col("chunk_id").alias("doc"), "rank")
+    hits = lexical_hits(spark, sf, P.top_k).select("query_id", F.col("chunk_id").alias("doc"), "rank")
     scored = first_hit_ranks(containment(spark, sf), hits)
     return scored.select(F.col("query_id").alias("item_id"), "hit", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 

@@ -77,7 +77,7 @@ def test_row_without_header_and_repeated_text(spark):
 @pytest.mark.parametrize(("size", "overlap"), [(60, 0), (100, 30), (160, 60), (400, 100), (900, 150)])
 def test_chunks_keep_every_line_and_stay_small(size, overlap):
     text = TEXT + "\n".join(f"ligne {i} " + "mot " * (i % 9) for i in range(40)) + "\n\n# Fin\n## Annexe\n" + "phrase courte. " * 12
-    packed, section = chunking.pack_page(text, "", size, overlap)
+    packed, section = pack_page(text, "", size, overlap)
     assert section == "Annexe" and all(0 < len(t) <= size for _, t in packed)
     glued = "\n".join(t for _, t in packed)
     assert all(line.strip() in glued for line in text.splitlines() if len(line) <= size)
@@ -87,7 +87,7 @@ def test_chunks_keep_every_line_and_stay_small(size, overlap):
 
 def test_overlap_stays_inside_a_section():
     lines = "\n\n".join(f"paragraphe {i} avec du texte" for i in range(4))
-    packed, _ = chunking.pack_page(f"# A\n{lines}\n\n# B\nfin", "", 70, 40)
+    packed, _ = pack_page(f"# A\n{lines}\n\n# B\nfin", "", 70, 40)
     assert [s for s, _ in packed][-1] == "B" and packed[-1][1] == "# B\n\nfin"
     assert packed[1][1].startswith(packed[0][1].splitlines()[-1])
 
