@@ -1,7 +1,11 @@
-"""Exact cosine search of a table of query vectors in a table of unit vectors.
+"""Exact cosine search of a table of query vectors in a table of vectors, block by block.
 
     vectors  chunk_id, pos, embedding ARRAY<FLOAT> [, client_id]
     queries  query_id, embedding ARRAY<FLOAT> [, client_id]
+
+Both sides are packed into matrix blocks of at most so many rows, without an exchange. Every corpus block meets every query
+block; a pair is one matrix product, and only its best rows for each query leave it. Query blocks are broadcast after a
+check of their number; beyond it Spark deals pairs of partitions out to the tasks. Vectors of different sizes never meet.
 """
 
 from __future__ import annotations
@@ -10,28 +14,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guichet.operators.lexical import top_n
+from guichet.operators.sizing import fits
 from guichet.params import DEFAULTS, Params
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, n: int = DEFAULTS.candidate_k, params: Params = DEFAULTS) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, n: int = DEFAULTS.candidate_k, params: Params = DEFAULTS, normalize: bool = False) -> DataFrame:
     """Best `n` visible vectors of every query with a positive similarity: (query_id, chunk_id, pos, score, rank).
 
-    The corpus is never moved: each task multiplies its Arrow batches by a block of query vectors
-    and keeps its own top-n per query, so only tasks x queries x n rows reach the final ranking.
-    A query set above the block size is answered in several passes of at most about that size.
+    Rows are unit vectors, or made so with `normalize`. A vector that is null or has a null component matches nothing
+    (see `split_vectors`), nor does one of another size than the query's.
     """
-    count = queries.count()
-    blocks = max(1, -(-count // params.query_block))
-    keyed = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    passes = [_pass(vectors, keyed.where(F.col("__block") == b), n) for b in range(blocks)]
-    local = passes[0]
-    for other in passes[1:]:
-        local = local.unionByName(other)
-    return top_n(local, n)
+    corpus = vector_blocks(vectors, "chunk_id", "pos", params.corpus_block, normalize)
+    asked = vector_blocks(queries.withColumn("pos", F.lit(0).cast("long")), "query_id", "pos", params.query_block, normalize)
+    asked = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("owners").alias("q_owners"), F.col("matrix").alias("q_matrix"))
+    few = fits(queries.select("query_id"), params.broadcast_rows)
+    pairs = corpus.crossJoin(F.broadcast(asked) if few else asked).where("dim = q_dim")
+    ids = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType)])
+    return top_n(pairs.mapInArrow(_best(n), ids.add("pos", "long").add("score", "double")), n)
+
+
+def split_vectors(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors that can be searched, the others with the `reason`)."""
+    reason = (
+        F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != dim, "size")
+        .when(F.exists("embedding", lambda x: x.isNull()), "null component")
+        .when(F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "not finite")
+    )
+    judged = vectors.withColumn("reason", reason)
+    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
 def check_vectors(vectors: DataFrame, dim: int) -> DataFrame:
@@ -41,52 +57,63 @@ def check_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def _pass(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    client = F.col("client_id").cast("string") if "client_id" in queries.columns else F.lit(None).cast("string")
-    rows = queries.select("query_id", client.alias("client_id"), "embedding").toArrow()
-    ids = rows["query_id"].to_pylist()
-    clients = rows["client_id"].to_pylist()
-    matrix = np.array(rows["embedding"].to_pylist(), dtype=np.float64).T if ids else np.zeros((0, 0))
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast((ids, clients, matrix))
-    id_arrow = rows.schema.field("query_id").type
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
-    owner = F.col("client_id").cast("string") if "client_id" in vectors.columns else F.lit(None).cast("string")
-    # vectors that are null, of another size or with a null component can match nothing
-    fine = (F.size("embedding") == matrix.shape[0]) & ~F.exists("embedding", lambda x: x.isNull())
-    corpus = vectors.where(fine).select("chunk_id", F.col("pos").cast("bigint"), owner.alias("client_id"), "embedding")
+def vector_blocks(rows: DataFrame, key: str, pos: str, size: int, normalize: bool) -> DataFrame:
+    """(dim, ids, poss, owners, matrix): rows of one dimension as one matrix of at most `size` rows."""
+    owner = F.col("client_id") if "client_id" in rows.columns else F.lit(None)
+    picked = rows.select(F.col(key).alias("id"), F.col(pos).cast("long").alias("pos"), owner.cast("string").alias("owner"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = picked.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("embedding")
+            lengths = pc.fill_null(pc.list_value_length(listed), -1).to_numpy(zero_copy_only=False)
+            holes = np.zeros(len(lengths), bool)
+            if listed.flatten().null_count:
+                rows_of = np.repeat(np.arange(len(lengths)), np.maximum(lengths, 0))
+                holes[rows_of[listed.flatten().is_null().to_numpy(zero_copy_only=False)]] = True
+            for dim in np.unique(lengths[lengths > 0]):
+                fine = np.flatnonzero((lengths == dim) & ~holes)
+                for start in range(0, len(fine), size):
+                    part = batch.take(pa.array(fine[start : start + size]))
+                    matrix = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+                    if normalize:
+                        norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                        matrix = matrix / np.where(norm > 0, norm, 1.0)
+                    packed = [[dim], [part.column("id").to_pylist()], [part.column("pos").to_pylist()], [part.column("owner").to_pylist()], [matrix.tobytes()]]
+                    types = [pa.int32(), pa.list_(part.column("id").type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(packed, types, strict=True)], names=["dim", "ids", "poss", "owners", "matrix"])
+
+    return picked.mapInArrow(pack, f"dim int, ids array<{kind}>, poss array<bigint>, owners array<string>, matrix binary")
+
+
+def _best(n: int):
+    """The best `n` rows of each pair of blocks, for each query; ties go to the smaller position."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_clients, q_matrix = shared.value
-        kept: list[list[tuple[float, int, object]]] = [[] for _ in q_ids]
-        chunk_arrow = None
         for batch in batches:
-            if not q_ids or batch.num_rows == 0:
-                continue
-            chunk, chunk_arrow = batch.column(0).to_pylist(), batch.column(0).type
-            pos = batch.column(1).to_numpy(zero_copy_only=False)
-            owners = np.array(batch.column(2).to_pylist(), dtype=object)
-            public = np.array([o is None for o in owners])
-            listed = batch.column(3)
-            values = listed.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(values.reshape(batch.num_rows, -1) @ q_matrix, 9)
-            for i, client_id in enumerate(q_clients):
-                column = scores[:, i]
-                allowed = public if client_id is None else public | (owners == client_id)
-                rows_ok = np.flatnonzero(allowed & (column > 0))
-                if rows_ok.size > n:
-                    floor = -np.partition(-column[rows_ok], n - 1)[n - 1]
-                    rows_ok = rows_ok[column[rows_ok] >= floor]
-                mine = kept[i] + [(-column[r], int(pos[r]), chunk[r]) for r in rows_ok]
-                mine.sort(key=lambda t: t[:2])
-                kept[i] = mine[:n]
-        flat = [(q_ids[i], c, p, -s) for i, hits in enumerate(kept) for s, p, c in hits]
-        if flat:
-            q, c, p, s = zip(*flat)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q, id_arrow), pa.array(c, chunk_arrow), pa.array(p, pa.int64()), pa.array(s, pa.float64())],
-                names=["query_id", "chunk_id", "pos", "score"],
-            )
-
-    return corpus.mapInArrow(best, f"query_id {id_type}, chunk_id {chunk_type}, pos bigint, score double")
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                dim = row["dim"].as_py()
+                corpus, asked = (np.frombuffer(row[m].as_buffer(), np.float64).reshape(-1, dim) for m in ("matrix", "q_matrix"))
+                scores = np.round(asked @ corpus.T, 9)
+                owners, asking = np.array(row["owners"].as_py(), object), np.array(row["q_owners"].as_py(), object)
+                public = owners == None  # noqa: E711  (element-wise)
+                if not public.all():
+                    scores[~(public[None, :] | (owners[None, :] == asking[:, None]))] = 0
+                poss = row["poss"].values.to_numpy(zero_copy_only=False)
+                if scores.shape[1] > n:
+                    floor = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+                    q, c = np.nonzero((scores > 0) & (scores >= floor[:, None]))
+                else:
+                    q, c = np.nonzero(scores > 0)
+                order = np.lexsort((poss[c], -scores[q, c], q))
+                q, c = q[order], c[order]
+                first = np.searchsorted(q, q, side="left")
+                kept = np.arange(len(q)) - first < n
+                q, c = q[kept], c[kept]
+                yield pa.RecordBatch.from_arrays(
+                    [row["q_ids"].values.take(pa.array(q)), row["ids"].values.take(pa.array(c)), pa.array(poss[c]), pa.array(scores[q, c])],
+                    names=["query_id", "chunk_id", "pos", "score"],
+                )
+
+    return best

@@ -8,7 +8,8 @@
 Documents are numbered in corpus order, and all terms share the same cuts: a block holds the postings of one term in
 `block_width` consecutive numbers, so no row grows with the corpus, and a frequent term is many rows. `top` is the
 largest gain (without idf) in the block. For a question, the sum of idf * top over its terms bounds every score in the block;
-blocks whose bound stays below the n-th best score found in the most promising blocks are never opened.
+blocks whose bound stays below the n-th best score found in the most promising blocks are never opened. The manifest
+decides: bounds need the settings they were made with, and pay only where a question meets very many blocks.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ class Index:
     manifest: dict
 
     def bounded(self, params: Params) -> bool:
-        """Whether the stored tops hold for these settings; if not, every block of the terms is opened."""
-        return (self.manifest["k1"], self.manifest["b"]) == (params.bm25_k1, params.bm25_b)
+        """Whether the stored tops hold for these settings and are worth their pass; if not, every block of the terms is opened."""
+        return (self.manifest["k1"], self.manifest["b"]) == (params.bm25_k1, params.bm25_b) and self.manifest["n"] >= params.bounded_from
 
 
 def runs(tokens: Column) -> Column:
@@ -98,15 +99,15 @@ def block_bounds(index: Index, asked: DataFrame) -> DataFrame:
     return bounds.withColumn("turn", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")))
 
 
-def _opened(index: Index, asked: DataFrame, pairs: DataFrame, scoped: bool, small: bool, params: Params) -> DataFrame:
-    """(query_id, number, pos, score) of the visible documents in the (question, block) pairs.
+def _opened(index: Index, asked: DataFrame, pairs: DataFrame | None, scoped: bool, small: bool, params: Params) -> DataFrame:
+    """(query_id, number, pos, score) of the visible documents in the (question, block) pairs, or in all blocks.
 
     Postings move once, by block, whatever the number of questions; scores are summed where they are.
     """
     hint = F.broadcast if small else lambda df: df
     lists = index.blocks.select("term", "block", "entries").join(hint(asked.select("term").distinct()), "term", "left_semi")
-    wanted = pairs.select("query_id", "block").join(asked, "query_id")
-    met = (lists.repartition("block") if small else lists).join(wanted, ["term", "block"])
+    moved = lists.repartition("block") if small else lists
+    met = moved.join(asked, "term") if pairs is None else moved.join(pairs.select("query_id", "block").join(asked, "query_id"), ["term", "block"])
     entries = met.select("query_id", "asking", "idf", "block", F.explode("entries").alias("entry")).select("query_id", "asking", "idf", "block", "entry.*")
     seen = entries.where(F.col("client_id").isNull() | (F.col("client_id") == F.col("asking"))) if scoped else entries
     gain = F.col("idf") * saturation(params, F.lit(index.manifest["avg_len"]))
@@ -118,8 +119,8 @@ def bm25_index(index: Index, queries: DataFrame, n: int = DEFAULTS.candidate_k,
     """Best `n` documents of every query: (query_id, chunk_id, pos, score, rank), as `lexical.bm25_topk` finds them.
 
     A first pass opens the `first_blocks` blocks of each question with the highest bounds; the n-th best score there is
-    a floor, and of the others only blocks that can reach it are opened. Where the settings are not those of the
-    manifest the stored tops prove nothing, and all blocks of the terms are opened. Without `scoped` owners do not matter.
+    a floor, and of the others only blocks that can reach it are opened. Where the manifest speaks against that
+    (see `Index.bounded`) one pass opens all blocks of the terms. Without `scoped` owners do not matter.
     """
     terms = query_terms(queries)
     small = fits(terms, params.broadcast_rows, params.broadcast_bytes)
@@ -132,8 +133,7 @@ def bm25_index(index: Index, queries: DataFrame, n: int = DEFAULTS.candidate_k,
         reach = bounds.where(F.col("turn") > params.first_blocks).join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") + _SLACK >= F.col("floor")))
         scored = first.unionByName(_opened(index, asked, reach, scoped, small, params))
     else:
-        every = index.blocks.select("term", "block").join(asked, "term").select("query_id", "block").distinct()
-        scored = _opened(index, asked, every, scoped, small, params)
+        scored = _opened(index, asked, None, scoped, small, params)
     hits = top_n(scored, n).drop("pos")
     few = fits(queries.select("query_id"), params.broadcast_rows // max(1, n))
     return index.forward.select("number", "chunk_id", "pos").join(F.broadcast(hits) if few else hits, "number").select("query_id", "chunk_id", "pos", "score", "rank")

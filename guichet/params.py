@@ -34,8 +34,10 @@ class Params:
     broadcast_rows: int = 200_000
     broadcast_bytes: int = 64 * 1024 * 1024
     query_block: int = 4096
+    corpus_block: int = 1024
     hot_key_rows: int = 200_000
     block_width: int = 128  # documents of an index block
+    bounded_from: int = 1_000_000  # documents of an index from which blocks are bounded before they are opened
     first_blocks: int = 4  # blocks of a question opened before the others are bounded
 
 

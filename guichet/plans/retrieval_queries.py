@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guichet.functions import references as rf
-from guichet.functions.vectors import hash_vectors, unit
+from guichet.functions.vectors import hash_vectors
 from guichet.operators import dense, lexical, passages, postings, retrieval
 from guichet.operators.evaluation import first_hit_ranks
 from guichet.operators.ordering import first_seen_numbers
@@ -46,18 +46,18 @@ def vectors(spark: SparkSession, sf: str, scoped: bool = False) -> DataFrame:
         F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"),
         (F.when(F.col("lang") != "en", F.col("source")) if scoped else F.lit(None).cast("string")).alias("client_id"),
     )
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), unit(F.col("embedding")).alias("embedding"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return rows.join(known, "chunk_id")
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("embedding"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return asked.join(rows, "query_id")
 
 
 def hybrid_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.fuse(lexical_hits(spark, sf, P.candidate_k), dense.cosine_topk(vectors(spark, sf), question_vectors(spark, sf), P.candidate_k))
+    return retrieval.fuse(lexical_hits(spark, sf, P.candidate_k), dense.cosine_topk(vectors(spark, sf), question_vectors(spark, sf), P.candidate_k, normalize=True))
 
 
 def bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,9 +99,8 @@ def lexical_hits(spark: SparkSession, sf: str, n: int, asked: DataFrame | None =
 
 @query("index_bm25_topk", ORACLES["bm25_topk"])
 def index_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The same ranking with other settings of the index, which leave its bounds unused."""
-    index = stored_index(spark, sf)
-    hits = postings.bm25_index(replace(index, manifest=index.manifest | {"k1": 0.0}), questions(spark, sf), P.top_k, scoped=False)
+    """The same ranking in two passes: blocks are bounded, and those that cannot reach the best are not opened."""
+    hits = postings.bm25_index(stored_index(spark, sf), questions(spark, sf), P.top_k, scoped=False, params=replace(P, bounded_from=0))
     return hits.select(
         F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"),
         F.col("rank").cast("bigint").alias("rank"),
@@ -166,10 +165,12 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cosine_topk",
-    f"WITH {S.dense()} SELECT item_id, doc_id, round(cos, 6) AS cosine, rnk AS rank FROM near WHERE rnk <= {P.candidate_k}",
+    f"WITH {S.dense(known='')} SELECT item_id, doc_id, round(cos, 6) AS cosine, rnk AS rank FROM near WHERE rnk <= {P.candidate_k}",
 )
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = dense.cosine_topk(vectors(spark, sf), question_vectors(spark, sf), P.candidate_k)
+    """All of `embeddings`, in several blocks on either side."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("pos"), "embedding")
+    hits = dense.cosine_topk(rows, question_vectors(spark, sf), P.candidate_k, replace(P, query_block=64), normalize=True)
     return hits.select(
         F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("cosine"),
         F.col("rank").cast("bigint").alias("rank"),
@@ -191,6 +192,32 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return _hit_columns(hybrid_hits(spark, sf))
 
 
+@query("hybrid_other_size", f"WITH {S.scores()}, {S.dense('FALSE')}, {S.FUSED} SELECT {_HITS} FROM top")
+def hybrid_other_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions whose vectors have half the size of the corpus's: what the lexical list finds is left."""
+    halves = question_vectors(spark, sf).withColumn("embedding", F.slice("embedding", 1, F.size("embedding") / 2))
+    near = dense.cosine_topk(vectors(spark, sf), halves, P.candidate_k, normalize=True)
+    return _hit_columns(retrieval.fuse(lexical_hits(spark, sf, P.candidate_k), near))
+
+
+@query(
+    "vector_quarantine",
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 7 = 1 THEN embedding[2:] WHEN vec_id % 7 = 2 THEN list_append(embedding[2:], NULL)
+      WHEN vec_id % 7 = 3 THEN list_append(embedding[2:], 'inf'::FLOAT) ELSE embedding END AS e FROM embeddings)
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 7 = 1 THEN 'size' WHEN vec_id % 7 = 2 THEN 'null component' WHEN vec_id % 7 = 3 THEN 'not finite' END AS reason,
+    len(e) AS size FROM v""",
+)
+def vector_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of which four in seven are damaged, each in its own way: the sound ones and the refused ones."""
+    rest, way = F.slice("embedding", 2, F.size("embedding") - 1), F.col("vec_id") % 7
+    damaged = F.when(way == 0, None).when(way == 1, rest).when(way == 2, F.concat(rest, F.array(F.lit(None).cast("float")))).when(way == 3, F.concat(rest, F.array(F.lit(float("inf")).cast("float"))))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.when(way < 4, damaged).otherwise(F.col("embedding")).alias("embedding"))
+    dim = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    sound, refused = dense.split_vectors(rows, dim)
+    both = sound.withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
+    return both.select("vec_id", "reason", F.size("embedding").cast("bigint").alias("size"))
+
+
 _OWNED = "(own.lang = 'en' OR own.source = asker.source)"
 
 
@@ -205,7 +232,7 @@ def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
     asker = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("client_id"))
     asked = questions(spark, sf).join(asker, "query_id")
     dense_hits = dense.cosine_topk(
-        vectors(spark, sf, scoped=True), question_vectors(spark, sf).join(asker, "query_id"), P.candidate_k
+        vectors(spark, sf, scoped=True), question_vectors(spark, sf).join(asker, "query_id"), P.candidate_k, normalize=True
     )
     return _hit_columns(retrieval.fuse(lexical_hits(spark, sf, P.candidate_k, asked), dense_hits))
 

@@ -42,13 +42,13 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM scored)"""
 
 
-def dense(visible: str = "TRUE", extra: str = "") -> str:
-    """CTE `near` (item_id, doc_id, cos, rnk) over the embeddings of known documents."""
+def dense(visible: str = "TRUE", extra: str = "", known: str = "JOIN documents d ON d.doc_id = v.vec_id") -> str:
+    """CTE `near` (item_id, doc_id, cos, rnk) over the embeddings, of known documents unless told otherwise."""
     return f"""cosines AS (
   SELECT b.item_id, v.vec_id AS doc_id,
          round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS cos
   FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings v
-  JOIN documents d ON d.doc_id = v.vec_id {extra}
+  {known} {extra}
   WHERE {visible}),
 near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, doc_id) AS rnk FROM cosines WHERE cos > 0)"""
 

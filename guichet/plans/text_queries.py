@@ -11,6 +11,7 @@ from guichet.functions import references as rf
 from guichet.functions import text as tx
 from guichet.functions.stemming import stem_joined
 from guichet.operators import chunking, intake, passages, tickets, triage, vocabulary
+from guichet.params import DEFAULTS as P
 from guichet.plans import sql as S
 from guichet.plans.catalog import query
 from guichet.sources import documents as sd
@@ -370,13 +371,65 @@ def paged_rows(spark: SparkSession, sf: str) -> DataFrame:
 def chunked(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(sd.load_texts(_files(spark, sf)))
 
-
-@query("chunks")
+# The packing rules walked line by line: `walk` holds, for each document, where its open chunk starts and the chunk cut at the step.
+_CHUNKS = f"""WITH RECURSIVE pages AS (
+  SELECT doc_id || '.md' AS doc, CASE lang WHEN 'en' THEN 'Notice' WHEN 'fr' THEN 'Fiche ' || doc_id ELSE doc_id::VARCHAR END AS title,
+    CASE WHEN lang = 'en' THEN 'document' ELSE 'note' END AS doc_type, CASE WHEN lang = 'de' THEN upper(source) END AS client_id,
+    CASE lang WHEN 'en' THEN '# Notice  ' || chr(10) || trim(text, ' ' || chr(10)) ELSE trim(text, ' ' || chr(10)) END AS body FROM documents),
+raw AS (SELECT doc, unnest(range(len(l))) AS i, rtrim(unnest(l)) AS line FROM (SELECT doc, string_split(body, chr(10)) AS l FROM pages)),
+kinds AS (SELECT *, nullif(regexp_extract(line, '^#{{1,6}}\\s+(.*\\S)', 1), '') AS heading FROM raw),
+marked AS (SELECT *, sum((line = '' OR heading IS NOT NULL)::INT) OVER (PARTITION BY doc ORDER BY i) AS p FROM kinds),
+units AS (
+  SELECT *, heading IS NULL AND sum(length(line)) OVER u + count(*) OVER u - 1 <= {P.chunk_size} AS together FROM marked WHERE line <> ''
+  WINDOW u AS (PARTITION BY doc, p, heading IS NULL)),
+sentences AS (
+  SELECT doc, i, p, heading, together, unnest(cut) AS s, unnest(range(len(cut))) AS j
+  FROM (SELECT *, CASE WHEN together OR heading IS NOT NULL OR length(line) <= {P.chunk_size} THEN [line]
+        ELSE string_split(regexp_replace(line, '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10)) END AS cut FROM units)),
+pieces AS (
+  SELECT doc, i, j, p, heading, together, unnest(w) AS line, unnest(range(len(w))) AS m
+  FROM (SELECT *, CASE WHEN heading IS NOT NULL OR length(s) <= {P.chunk_size} THEN [s] ELSE regexp_extract_all(s, '(.{{0,{P.chunk_size - 1}}}[^ ])(?: +|$)', 1) END AS w FROM sentences)),
+lines AS (
+  SELECT doc, line, heading, row_number() OVER (PARTITION BY doc ORDER BY i, j, m) - 1 AS k, (row_number() OVER u = 1)::INT AS gap,
+    CASE WHEN together THEN count(*) OVER rest ELSE 1 END AS more, CASE WHEN together THEN sum(length(line) + 1) OVER rest ELSE length(line) + 1 END AS rest
+  FROM pieces WINDOW u AS (PARTITION BY doc, p, heading IS NULL ORDER BY i, j, m),
+    rest AS (PARTITION BY doc, p, heading IS NULL ORDER BY i, j, m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+measured AS (SELECT *, sum(length(line) + 1 + gap) OVER (PARTITION BY doc ORDER BY k) - length(line) - 1 AS before FROM lines),
+sums AS (SELECT doc, list(before::BIGINT ORDER BY k) AS befores, count(*) AS n FROM measured GROUP BY doc),
+walk(doc, pos, start, body, loose, section, a, b, under) AS (
+  SELECT doc, 0::BIGINT, 0::BIGINT, FALSE, 0::BIGINT, '', NULL::BIGINT, NULL::BIGINT, '' FROM sums
+  UNION ALL
+  SELECT doc, pos + CASE WHEN heading IS NULL AND NOT single THEN more ELSE 1 END,
+    CASE WHEN heading IS NOT NULL THEN CASE WHEN body THEN pos ELSE start END WHEN full_ THEN again ELSE start END, heading IS NULL,
+    CASE WHEN loosen THEN pos + more ELSE loose END, coalesce(heading, section),
+    CASE WHEN (heading IS NOT NULL AND body) OR full_ THEN start END, CASE WHEN (heading IS NOT NULL AND body) OR full_ THEN pos END, section
+  FROM (
+    SELECT *, coalesce(list_min(list_filter(range(start, pos), lambda s: befores[s + 1] >= before - gap - 1 - {P.chunk_overlap} AND befores[s + 1] >= stop - 1 - {P.chunk_size})), pos) AS again,
+      heading IS NULL AND start < pos AND stop - 1 - befores[start + 1] > {P.chunk_size} AS full_
+    FROM (
+      SELECT *, before + CASE WHEN single THEN length(line) + 1 ELSE rest END AS stop
+      FROM (
+        SELECT *, loosen OR pos < loose AS single
+        FROM (
+          SELECT w.*, l.line, l.heading, l.gap, l.more, l.rest, l.before, s.befores,
+            l.heading IS NULL AND w.start < w.pos AND l.before + l.rest - 1 - s.befores[w.start + 1] > {P.chunk_size} AND NOT w.body AND l.more > 1 AND w.pos >= w.loose AS loosen
+          FROM walk w JOIN measured l ON l.doc = w.doc AND l.k = w.pos JOIN sums s ON s.doc = w.doc))))),
+spans AS (
+  SELECT doc, a, b, under FROM walk WHERE a IS NOT NULL
+  UNION ALL SELECT w.doc, start, pos, section FROM walk w JOIN sums s ON s.doc = w.doc AND w.pos = s.n AND start < pos),
+packed AS (
+  SELECT c.doc, c.a, any_value(under) AS section, string_agg(CASE WHEN gap = 1 AND k > c.a THEN chr(10) || line ELSE line END, chr(10) ORDER BY k) AS text
+  FROM spans c JOIN measured l ON l.doc = c.doc AND l.k >= c.a AND l.k < c.b GROUP BY c.doc, c.a, c.b),
+chunks AS (
+  SELECT doc || '#p1-' || row_number() OVER (PARTITION BY doc ORDER BY a) AS chunk_id, doc, title, doc_type, 1 AS page, section, text, client_id FROM packed JOIN pages USING (doc))"""
+
+
+@query("chunks", _CHUNKS + " SELECT * FROM chunks")
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunked(spark, sf).select("chunk_id", "doc", "title", "doc_type", "page", "section", "text", "client_id")
 
 
-@query("chunk_index")
+@query("chunk_index", _CHUNKS + " SELECT (SELECT count(*) FROM documents) AS docs, count(DISTINCT doc) AS docs_with_chunks, count(*) AS chunks, max(length(text))::INT AS longest_chunk FROM chunks")
 def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.index_summary(_files(spark, sf), chunked(spark, sf))
 

@@ -29,8 +29,8 @@ def plain(doc, pages, size, overlap):
 @pytest.mark.parametrize(("size", "overlap"), [(40, 0), (60, 30), (100, 99), (160, 60), (900, 150)])
 def test_chunks_equal_the_plain_packer(spark, size, overlap):
     rng = random.Random(size)
-    rows = [(f"d{i}", "T", "note", None, [(n, random_page(rng)) for n in sorted(rng.sample(range(1, 9), rng.randrange(0, 4)))]) for i in range(250)]
-    rows += [("null", None, None, "C", None), ("none", None, None, None, [(1, None), (2, ""), (4, "\n \n")]), ("long", "T", "note", None, [(1, "# S\n" + "mot phrase. " * 20000)])]
+    rows = [(f"d{i}", "T", "note", None, [(n, random_page(rng)) for n in sorted(rng.sample(range(1, 9), rng.randrange(0, 4)))]) for i in range(400)]
+    rows += [("null", None, None, "C", None), ("none", None, None, None, [(1, None), (2, ""), (4, "\n \n")]), ("long", "T", "note", None, [(1, "# S\n" + "mot phrase. " * 4000)])]
     got = chunking.chunk_documents(spark.createDataFrame(rows, SCHEMA).repartition(4), Params(chunk_size=size, chunk_overlap=overlap))
     want = [c for doc, _, _, _, pages in rows for c in plain(doc, pages, size, overlap)]
     assert sorted(tuple(r) for r in got.select("chunk_id", "page", "number", "section", "text").collect()) == sorted(want)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from guichet.operators import lexical, postings
 from guichet.params import Params
 
-NARROW = Params(block_width=8, first_blocks=1)
+NARROW = Params(block_width=8, first_blocks=1, bounded_from=0)
 
 
 def words(rng, n):
@@ -57,7 +57,8 @@ def test_question_sets_beyond_the_broadcast_bound(corpus, asked, index):
 
 def test_other_settings_open_every_block(corpus, asked, index):
     other = replace(NARROW, bm25_k1=0.9, bm25_b=0.2)
-    assert not index.bounded(other) and index.bounded(NARROW)
+    assert not index.bounded(other) and index.bounded(NARROW) and not index.bounded(replace(NARROW, bounded_from=1000))
+    assert hits(postings.bm25_index(index, asked, 4, params=replace(NARROW, bounded_from=1000))) == hits(lexical.bm25_topk(corpus, asked, 4))
     assert hits(postings.bm25_index(index, asked, 4, params=other)) == hits(lexical.bm25_topk(corpus, asked, 4, other))
 
 
