@@ -36,10 +36,9 @@ def lookup(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def operating_metrics(log: DataFrame, pending: DataFrame, params: Params = DEFAULTS, tie: str | None = None) -> DataFrame:
-    """One row of figures over the requests (all, or the most recent)."""
-    rows = recent(log, tie=tie, params=params)
-    figures = rows.agg(
+def figures() -> list[Column]:
+    """Aggregates over logged requests, whole or by group."""
+    return [
         F.count("*").alias("requests"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").cast("bigint").alias("latency_ms_p50"),
         F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("bigint").alias("latency_ms_p95"),
@@ -48,9 +47,15 @@ def operating_metrics(log: DataFrame, pending: DataFrame, params: Params = DEFAU
         share(F.col("llm_calls") > 0).alias("llm_call_share"),
         share(F.col("route") == "human").alias("escalation_rate"),
         F.count_if(F.col("error").isNotNull() & (F.col("error") != "")).alias("errors"),
-    )
+    ]
+
+
+def operating_metrics(log: DataFrame, pending: DataFrame, params: Params = DEFAULTS, tie: str | None = None) -> DataFrame:
+    """One row of figures over the requests (all, or the most recent)."""
+    rows = recent(log, tie=tie, params=params)
+    result = rows.agg(*figures())
     waiting = pending.agg(F.count("*").alias("pending_actions"))
-    return figures.crossJoin(F.broadcast(waiting))
+    return result.crossJoin(F.broadcast(waiting))
 
 
 def counts_by(log: DataFrame, *dimensions: str, params: Params = DEFAULTS, tie: str | None = None) -> DataFrame:

@@ -18,10 +18,10 @@ def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-def request_log(spark: SparkSession, sf: str) -> DataFrame:
+def request_log(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Events as logged requests: the type is the route, the value the latency in ms."""
     kind = F.col("event_type")
-    return table(spark, sf, "events").select(
+    return (table(spark, sf, "events") if events is None else events).select(
         F.col("event_id").alias("request_id"), "ts", F.when(kind == "error", "human").otherwise(kind).alias("route"),
         F.when(kind.isin("click", "view"), "rule").otherwise("llm").alias("mode"),
         F.floor("value").cast("int").alias("latency_ms"), (F.col("value") / 1000).alias("cost_eur"),

@@ -126,15 +126,18 @@ def dedupe_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN malformed THEN 'client_malformed' END, CASE WHEN bad THEN 'amount_out_of_range' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c""",
 )
 def intake_validation(spark: SparkSession, sf: str) -> DataFrame:
+    checked = intake.validate(intake.canonicalise(turn_requests(table(spark, sf, "conversations"))))
+    return checked.select("conv_id", "turn", "client_id", F.char_length("q").alias("chars"), "is_valid", F.array_join("reasons", ",").alias("reasons"))
+
+
+def turn_requests(turns: DataFrame) -> DataFrame:
     """Turns sent as requests with invisible characters around them and lower-case, padded client ids."""
     role, conv = F.col("role"), F.col("conv_id").cast("string")
-    sent = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.concat(F.lit("​ \u0007"), F.col("text"), F.lit("﻿\t")).alias("q"),
+    return turns.select(
+        "conv_id", "turn", F.concat(F.lit("\u200b \u0007"), F.col("text"), F.lit("\ufeff\t")).alias("q"),
         F.when(role == "user", F.concat(F.lit(" c-"), conv)).when(role == "assistant", F.concat(F.lit("x"), conv, F.lit(" "))).otherwise("  ").alias("client_id"),
         ((F.char_length("text") - 100) * 1.5).alias("montant"),
     )
-    checked = intake.validate(intake.canonicalise(sent))
-    return checked.select("conv_id", "turn", "client_id", F.char_length("q").alias("chars"), "is_valid", F.array_join("reasons", ",").alias("reasons"))
 
 
 def requests(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:

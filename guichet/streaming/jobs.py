@@ -1,20 +1,22 @@
 """Structured Streaming jobs: intake, duplicate disputes, admission audit, rolling metrics.
 
-Stateful rules keep one small state per key (the current anchor, a window and its count). Rows of a
-micro-batch are sorted by event time inside their key before they meet the state.
+Stateful rules keep one small state per key (the current anchor, a window and its count) until an event-time timer
+drops it: once the watermark has passed the end of a window, no row on time can fall into it. Rows of a micro-batch are
+taken in as times and ids only and sorted inside their key before they meet the state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from guichet.operators import intake, triage
+from guichet.operators import intake, operations, triage
 from guichet.operators.anchors import micros
 from guichet.params import DEFAULTS, Params
 
@@ -54,15 +56,51 @@ def refused_stream(requests: DataFrame) -> DataFrame:
     return intake.mask_requests(refused.withColumnRenamed("reasons", "refusals")).select("request_id", "ts", F.col("refusals").alias("reasons"), "q_masked")
 
 
-def intake_sink(clients: DataFrame, append: Callable[[DataFrame, int], None], params: Params = DEFAULTS) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` function: the same columns as the batch job, appended by `append(rows, batch_id)`."""
+def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run what is available now through a `foreachBatch` function."""
+    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batch_tables(folder: str, parts: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` function that writes several tables from one batch, each into its own folder of the batch's number.
+
+    A batch that is replayed after a failure overwrites what it wrote before, so no row is there twice.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        append(intake_stream(batch, clients, params), batch_id)
+        held = batch.persist()
+        try:
+            for name, part in parts.items():
+                part(held).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        finally:
+            held.unpersist()
 
     return sink
 
 
+def intake_tables(clients: DataFrame, folder: str, params: Params = DEFAULTS) -> Callable[[DataFrame, int], None]:
+    """Intake with two outputs: `accepted` (triaged, as `intake_stream`) and `refused` (with the reasons); a row is in one of them, once."""
+    return batch_tables(folder, {"accepted": lambda batch: intake_stream(batch, clients, params), "refused": refused_stream})
+
+
+def window_figures(log: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """The operating figures of every tumbling window, for update mode: open windows show, and change as rows come in.
+
+    The state of a window holds how often each latency occurred, which merges like counts, so the percentiles are exact.
+    """
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    return timed.groupBy(F.window("ts", window).alias("w")).agg(*operations.figures()).select(F.col("w.start").alias("window_start"), "*").drop("w")
+
+
+def latest_figures(spark: SparkSession, folder: str, pending: DataFrame, window: str = "1 day") -> DataFrame:
+    """What `window_figures` last said of each window (written with `batch_tables` as `figures`), with the actions pending since then."""
+    said = spark.read.parquet(f"{folder}/figures")
+    names = [c for c in said.columns if c not in ("window_start", "batch")]
+    last = said.groupBy("window_start").agg(F.max_by(F.struct(*names), "batch").alias("f")).select("window_start", "f.*")
+    opened = pending.groupBy(F.window(F.col("ts").cast("timestamp"), window)["start"].alias("window_start")).agg(F.count("*").alias("pending_actions"))
+    return last.join(opened, "window_start", "left").fillna({"pending_actions": 0})
+
+
 def rolling_metrics(log: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Figures per tumbling window and route; rows later than the watermark are dropped."""
     timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
@@ -72,71 +110,129 @@ def rolling_metrics(log: DataFrame, window: str = "1 day", lateness: str = "1 ho
 
 
 class _Anchored(StatefulProcessor):
-    """State: the ticket (time, request) in force for the key."""
+    """State: the ticket (time, request) in force for the key, until its window has passed."""
 
     def __init__(self, width_us: int, id_type: str) -> None:
         self.width_us, self.id_type = width_us, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.anchor = handle.getValueState("anchor", f"at bigint, request_id {self.id_type}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["at", "request_id"])
-        state = self.anchor.get() if self.anchor.exists() else None
-        owners = []
-        for at, request in zip(batch["at"].tolist(), batch["request_id"].tolist(), strict=True):
-            if state is None or at - state[0] > self.width_us:
-                state = (at, request)
-            owners.append(state[1])
-        self.anchor.update(state)
-        yield pd.DataFrame({"request_id": batch["request_id"], "dedupe_key": key[0], "ticket_request": owners})
+        pieces = [(piece["at"].to_numpy(np.int64), piece["request_id"].to_numpy()) for piece in rows]
+        at, ids = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        order = np.lexsort((ids, at)) if ids.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (at[i], ids[i])))
+        at, ids = at[order], ids[order]
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        state = before = self.anchor.get() if self.anchor.exists() else None
+        owners, late = np.empty(len(at), object), np.zeros(len(at), bool)
+        i = 0
+        while i < len(at):
+            if state is None or at[i] - state[0] > self.width_us:
+                if at[i] < passed:  # its window may have been open and is gone
+                    late[i] = True
+                    i += 1
+                    continue
+                state = (int(at[i]), ids[i].item() if hasattr(ids[i], "item") else ids[i])
+            stop = int(np.searchsorted(at, state[0] + self.width_us, side="right"))
+            owners[i:stop] = state[1]
+            i = stop
+        if state is not None and state != before:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.anchor.update(state)
+            self.handle.registerTimer((state[0] + self.width_us) // 1000 + 1)
+        for start in range(0, len(at), _PIECE):
+            part = slice(start, start + _PIECE)
+            yield pd.DataFrame({"request_id": ids[part], "dedupe_key": key[0], "ticket_request": owners[part], "late": late[part]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.anchor.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def dedupe_stream(disputes: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Ticket of every dispute (request_id, ts, dedupe_key) as it arrives: (request_id, dedupe_key, ticket_request)."""
+#: Rows of a piece that a stateful rule gives out at once.
+_PIECE = 100_000
+
+
+def _timed(rows: DataFrame, lateness: str) -> DataFrame:
+    """Rows with the watermark of `ts`, which is dropped afterwards: late rows reach the rule, and the rule says what they are."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).withColumn("at", micros(F.col("ts"))).drop("ts")
+
+
+def dedupe_stream(disputes: DataFrame, params: Params = DEFAULTS, lateness: str = "1 hour") -> DataFrame:
+    """Ticket of every dispute (request_id, ts, dedupe_key) as it arrives: (request_id, dedupe_key, ticket_request, late).
+
+    A row behind the watermark still joins the ticket in force; where none covers its time, the one it belonged to may be
+    forgotten: it is `late`, without ticket (see `dedupe_tables`).
+    """
     use_rocksdb(disputes.sparkSession)
-    rows = disputes.select("dedupe_key", micros(F.col("ts")).alias("at"), "request_id")
+    rows = _timed(disputes.select("dedupe_key", "ts", "request_id"), lateness)
     id_type = rows.schema["request_id"].dataType.simpleString()
     return rows.groupBy("dedupe_key").transformWithStateInPandas(
         statefulProcessor=_Anchored(params.dedupe_days * 86_400_000_000, id_type),
-        outputStructType=f"request_id {id_type}, dedupe_key string, ticket_request {id_type}",
-        outputMode="Append", timeMode="None",
+        outputStructType=f"request_id {id_type}, dedupe_key string, ticket_request {id_type}, late boolean",
+        outputMode="Append", timeMode="EventTime",
     )
 
 
+def dedupe_tables(folder: str) -> Callable[[DataFrame, int], None]:
+    """Output of `dedupe_stream` as two tables: `tickets`, and the `late` rows a person must look at."""
+    return batch_tables(folder, {"tickets": lambda b: b.where("not late").drop("late"), "late": lambda b: b.where("late").select("request_id", "dedupe_key")})
+
+
 class _Admission(StatefulProcessor):
-    """State: when the caller's window opened and how many requests it admitted."""
+    """State: when the caller's window opened and how many requests it admitted, until the window has passed."""
 
     def __init__(self, limit: int, window_us: int) -> None:
         self.limit, self.window_us = limit, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.window = handle.getValueState("window", "opened bigint, admitted bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
+        pieces = [(piece["at"].to_numpy(np.int64), piece["seq"].to_numpy(np.int64)) for piece in rows]
+        at, seq = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        order = np.lexsort((seq, at))
+        at, seq = at[order], seq[order]
         opened, admitted = self.window.get() if self.window.exists() else (None, 0)
-        verdicts = []
-        for at in batch["at"].tolist():
-            if opened is None or at - opened >= self.window_us:
-                opened, admitted = at, 0
-            verdicts.append(self.limit <= 0 or admitted < self.limit)  # no limit admits everything
-            admitted += verdicts[-1]
+        verdicts, i = np.zeros(len(at), bool), 0
+        while i < len(at):  # one round for each window
+            if opened is None or at[i] - opened >= self.window_us:
+                opened, admitted = int(at[i]), 0
+            stop = int(np.searchsorted(at, opened + self.window_us, side="left"))
+            room = stop - i if self.limit <= 0 else min(stop - i, max(0, self.limit - admitted))  # no limit admits everything
+            verdicts[i : i + room] = True
+            admitted, i = admitted + room, stop
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
         self.window.update((opened, admitted))
-        yield pd.DataFrame({"seq": batch["seq"], "caller": key[0], "admitted": verdicts})
+        self.handle.registerTimer((opened + self.window_us) // 1000 + 1)
+        for start in range(0, len(at), _PIECE):
+            part = slice(start, start + _PIECE)
+            yield pd.DataFrame({"seq": seq[part], "caller": key[0], "admitted": verdicts[part]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.window.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def admission_stream(events: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """Admission verdict of every request (caller, ts, seq) as it arrives."""
+def admission_stream(events: DataFrame, limit: int, window_s: int, lateness: str = "10 minutes") -> DataFrame:
+    """Admission verdict of every request (caller, ts, seq) as it arrives.
+
+    A caller's rows of a micro-batch take 16 bytes each; the state goes when its window has passed the watermark.
+    """
     use_rocksdb(events.sparkSession)
-    rows = events.select(F.col("caller").cast("string").alias("caller"), micros(F.col("ts")).alias("at"), F.col("seq").cast("bigint").alias("seq"))
+    rows = _timed(events.select(F.col("caller").cast("string").alias("caller"), "ts", F.col("seq").cast("bigint").alias("seq")), lateness)
     return rows.groupBy("caller").transformWithStateInPandas(
         statefulProcessor=_Admission(limit, window_s * 1_000_000),
-        outputStructType="seq bigint, caller string, admitted boolean", outputMode="Append", timeMode="None",
+        outputStructType="seq bigint, caller string, admitted boolean", outputMode="Append", timeMode="EventTime",
     )
