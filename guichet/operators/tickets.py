@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,3 +165,50 @@ def proposals(dossiers: DataFrame) -> DataFrame:
         "request_id", F.lit("create_ticket").alias("type"), F.lit("pending").alias("status"),
         F.struct("subject", "summary", "priority", "client_id").alias("payload"),
     )
+
+
+def approved_tickets(actions: DataFrame, decisions: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Ticket rows, still without number, of the approved actions (action_id, request_id, payload).
+
+    The validator's priority, where given, replaces the proposed one; the free-text reason is masked. Decisions on unknown
+    actions make no ticket.
+    """
+    proposed = actions.select("action_id", "request_id", F.col("payload.*"))
+    winner = decisions.groupBy("action_id").agg(
+        F.min_by(F.struct("decision", "validator", F.col("priority").alias("chosen"), "reason", "ts"), F.struct("ts", "seq")).alias("w")
+    )
+    won = proposed.join(broadcast_if_small(winner, params), "action_id").where(F.col("w.decision") == "approved")
+    rows = won.select(
+        "action_id", "request_id", "client_id", "subject", F.col("summary").alias("body"), F.lit("intervention").alias("kind"),
+        F.coalesce("w.chosen", "priority").alias("priority"), F.lit("agent").alias("source"), F.col("w.validator").alias("created_by"),
+        F.col("w.ts").alias("created_at"), F.col("w.reason").alias("__reason"),
+    )
+    return mask_pii(rows, "__reason", "reason", "__types").drop("__reason", "__types")
+
+
+def merge_tickets(rows: DataFrame, folder: str, key: str = "action_id", buckets: int = 64) -> DataFrame:
+    """Add the tickets that are not there yet to the table in `folder`, numbered on in order of creation; returns the table.
+
+    The table is partitioned by a hash of the key, and only partitions with new tickets are written, whole: repeating a
+    merge, or one that was cut short, adds nothing twice. One merge at a time.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    wanted = rows.withColumn("bucket", bucket)
+    held = None
+    try:
+        held = spark.read.parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh = wanted if held is None else wanted.join(held.select(key, "bucket"), [key, "bucket"], "left_anti")
+    last = 0 if held is None else held.agg(F.coalesce(F.max("ticket_no"), F.lit(0))).first()[0]
+    numbered = number_rows(fresh.dropDuplicates([key]), F.col("created_at"), F.col(key), out="ticket_no", start=last)
+    numbered = numbered.withColumn("ticket_id", ticket_label(F.col("ticket_no"))).checkpoint()
+    merged = numbered
+    if held is not None:
+        changed = numbered.select("bucket").distinct()
+        merged = numbered.unionByName(held.join(F.broadcast(changed), "bucket", "left_semi")).checkpoint()  # at most `buckets` rows
+    if held is None or not numbered.isEmpty():
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    return spark.read.schema(merged.schema).parquet(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from guichet.functions import calendar as cal
 from guichet.operators import admission, dossier, operations, tickets
 from guichet.operators.ordering import nearest_rank, number_rows
 from guichet.plans.catalog import query
+from guichet.session import checkpoint_root
 from guichet.sources.tables import spread, table
 
 _TS = "%Y-%m-%d %H:%M:%S.%f"
@@ -174,6 +177,26 @@ def action_states(spark: SparkSession, sf: str) -> DataFrame:
     return tickets.decided_actions(actions, decisions(spark, sf)).select("action_id", "status", "decided_by", "ticket_priority")
 
 
+@query(
+    "approved_tickets",
+    f"""WITH {_DECISIONS} SELECT c_custkey AS action_id, printf('T-%06d', row_number() OVER (ORDER BY ts, c_custkey)) AS ticket_id, 'C-' || c_custkey AS client_id,
+    'Intervention ' || c_name AS subject, 'intervention' AS kind, coalesce(priority, 'P2') AS priority, validator AS created_by,
+    'appeler le [TEL]' AS reason FROM customer JOIN ordered ON rn = 1 AND action_id = c_custkey WHERE decision = 'approved'""",
+)
+def approved_tickets(spark: SparkSession, sf: str) -> DataFrame:
+    """Tickets of the approved actions, merged twice: once for the decisions of the first half of the time, once for all."""
+    name = F.concat(F.lit("Intervention "), F.col("c_name"))
+    payload = F.struct(name.alias("subject"), F.lit("Voir le dossier").alias("summary"), F.lit("P2").alias("priority"), F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("client_id"))
+    actions = table(spark, sf, "customer").select(F.col("c_custkey").alias("action_id"), F.col("c_custkey").alias("request_id"), payload.alias("payload"))
+    said = decisions(spark, sf).withColumn("reason", F.lit("appeler le 06 11 22 33 44"))
+    bounds = said.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    early = said.where(F.col("ts") < F.lit(bounds["a"] + (bounds["b"] - bounds["a"]) / 2))
+    folder = f"{checkpoint_root(spark)}/tickets-{uuid.uuid4().hex}"
+    tickets.merge_tickets(tickets.approved_tickets(actions, early), folder)
+    merged = tickets.merge_tickets(tickets.approved_tickets(actions, said), folder)
+    return merged.select("action_id", "ticket_id", "client_id", "subject", "kind", "priority", "created_by", "reason")
+
+
 _NUMBERED = "numbered AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)"
 
 

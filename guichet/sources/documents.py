@@ -17,19 +17,30 @@ _FENCE = r"(?U)^\s*---\s*$"
 
 def scan_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(files to read, skipped files) of a folder, not recursive; hidden files and the manifest are neither."""
-    files = (
-        spark.read.format("binaryFile").load(folder)
-        .withColumn("doc", F.element_at(F.split("path", "/"), -1))
-        .where(~F.col("doc").startswith(".") & ~F.col("doc").startswith("_") & (F.col("doc") != MANIFEST))
+    files = spark.read.format("binaryFile").load(folder).withColumn("doc", F.element_at(F.split("path", "/"), -1))
+    return sort_files(files)
+
+
+def sort_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files to read, skipped files with the reason) of files (doc, length, content).
+
+    Text files are checked one by one: one that is not UTF-8, or holds nothing but blanks, is skipped, and the others are read.
+    """
+    seen = files.where(~F.col("doc").startswith(".") & ~F.col("doc").startswith("_") & (F.col("doc") != MANIFEST))
+    is_text, text = F.col("doc").rlike(TEXT_FILES), F.col("content").cast("string")
+    reason = (
+        F.when(~F.col("doc").rlike(SUPPORTED), "unsupported file type")
+        .when(is_text & ~F.is_valid_utf8(text), "not UTF-8 text")
+        .when(is_text & ~text.rlike(r"(?U)[^\s\x{FEFF}]"), "no text")
     )
-    kept = files.where(F.col("doc").rlike(SUPPORTED)).select("doc", "length", "content")
-    skipped = files.where(~F.col("doc").rlike(SUPPORTED)).select("doc", F.lit("unsupported file type").alias("reason"))
-    return kept, skipped
+    judged = seen.withColumn("reason", reason)
+    return judged.where(F.col("reason").isNull()).select("doc", "length", "content"), judged.where(F.col("reason").isNotNull()).select("doc", "reason")
 
 
 def text_files(files: DataFrame) -> DataFrame:
-    """Markdown and plain-text files as (doc, content)."""
-    return files.where(F.col("doc").rlike(TEXT_FILES)).select("doc", F.decode("content", "UTF-8").alias("content"))
+    """Markdown and plain-text files as (doc, content); a file that is not UTF-8 is left to `sort_files`."""
+    text = F.col("content").cast("string")
+    return files.where(F.col("doc").rlike(TEXT_FILES) & F.is_valid_utf8(text)).select("doc", text.alias("content"))
 
 
 def split_front_matter(files: DataFrame) -> DataFrame:

@@ -103,6 +103,23 @@ def test_section_and_numbers_over_pages(spark):
     assert {r["section"] for r in got if r["number"] > 1 or r["page"] == 3} == {"S"}
 
 
+def test_approving_twice_makes_one_ticket_and_rewrites_changed_partitions_only(spark, tmp_path):
+    rows = [(f"A-{i}", i, ("s", "b", "P2", f"C-{i}")) for i in range(40)]
+    actions = spark.createDataFrame(rows, "action_id string, request_id int, payload struct<subject:string,summary:string,priority:string,client_id:string>")
+    says = lambda *d: spark.createDataFrame([(a, w, "v", p, r, T0 + DAY * k, k) for k, (a, w, p, r) in enumerate(d)], "action_id string, decision string, validator string, priority string, reason string, ts timestamp, seq int")
+    first = [("A-3", "approved", None, "appeler le 0611223344"), ("A-1", "rejected", None, None), ("A-1", "approved", "P1", None), ("A-9", "approved", "P1", None), ("unknown", "approved", None, None)]
+    folder = str(tmp_path / "tickets")
+    merge = lambda d: {r["action_id"]: (r["ticket_id"], r["priority"], r["reason"]) for r in tickets.merge_tickets(tickets.approved_tickets(actions, says(*d)), folder).collect()}
+    want = {"A-3": ("T-000001", "P2", "appeler le [TEL]"), "A-9": ("T-000002", "P1", None)}
+    assert merge(first) == want
+    files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "tickets").rglob("*.parquet")}
+    assert merge(first + [("A-9", "approved", "P3", None), ("A-3", "rejected", None, None)]) == want
+    assert {str(f): f.stat().st_mtime_ns for f in (tmp_path / "tickets").rglob("*.parquet")} == files  # nothing new, nothing written
+    assert merge(first + [("A-7", "approved", None, None)]) == want | {"A-7": ("T-000003", "P2", None)}
+    kept = [f for f in (tmp_path / "tickets").rglob("*.parquet") if str(f) in files]
+    assert kept and all(f.stat().st_mtime_ns == files[str(f)] for f in kept)
+
+
 # --- anchored windows ---------------------------------------------------------------------------
 
 
