@@ -116,7 +116,7 @@ def _opened(index: Index, asked: DataFrame, pairs: DataFrame | None, scoped: boo
 
 
 def bm25_index(index: Index, queries: DataFrame, n: int = DEFAULTS.candidate_k, scoped: bool = True, params: Params = DEFAULTS) -> DataFrame:
-    """Best `n` documents of every query: (query_id, chunk_id, pos, score, rank), as `lexical.bm25_topk` finds them.
+    """Best `n` documents of every query: (query_id, chunk_id, pos, number, score, rank), as `lexical.bm25_topk` finds them.
 
     A first pass opens the `first_blocks` blocks of each question with the highest bounds; the n-th best score there is
     a floor, and of the others only blocks that can reach it are opened. Where the manifest speaks against that
@@ -136,4 +136,4 @@ def bm25_index(index: Index, queries: DataFrame, n: int = DEFAULTS.candidate_k,
         scored = _opened(index, asked, None, scoped, small, params)
     hits = top_n(scored, n).drop("pos")
     few = fits(queries.select("query_id"), params.broadcast_rows // max(1, n))
-    return index.forward.select("number", "chunk_id", "pos").join(F.broadcast(hits) if few else hits, "number").select("query_id", "chunk_id", "pos", "score", "rank")
+    return index.forward.select("number", "chunk_id", "pos").join(F.broadcast(hits) if few else hits, "number").select("query_id", "chunk_id", "pos", "number", "score", "rank")

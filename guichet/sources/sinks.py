@@ -14,16 +14,19 @@ REQUEST_LOG = (
 )
 
 
-def write_index(chunks: DataFrame, folder: str, settings: dict[str, str]) -> DataFrame:
-    """Rebuild `chunks` and its one-row `manifest`; returns the manifest read back."""
-    spark = chunks.sparkSession
+def write_chunks(chunks: DataFrame, folder: str) -> DataFrame:
+    """Rebuild `chunks`; returns them read back."""
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    written = spark.read.parquet(f"{folder}/chunks")
-    manifest = written.agg(F.countDistinct("doc").alias("docs"), F.count("*").alias("chunks"))
+    return chunks.sparkSession.read.parquet(f"{folder}/chunks")
+
+
+def write_manifest(chunks: DataFrame, folder: str, settings: dict[str, str]) -> DataFrame:
+    """Publish a rebuilt index: one row with its counts, settings and time, written after everything else."""
+    manifest = chunks.agg(F.countDistinct("doc").alias("docs"), F.count("*").alias("chunks")).withColumn("created", F.current_timestamp())
     for name, value in settings.items():
         manifest = manifest.withColumn(name, F.lit(value))
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return spark.read.parquet(f"{folder}/manifest")
+    return chunks.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 def write_vectors(vectors: DataFrame, folder: str, dim: int) -> None:

@@ -284,7 +284,9 @@ def folder(tmp_path_factory):
 
 def test_ingestion_of_a_folder(spark, folder, tmp_path):
     manifest, warnings = handling.ingest_folder(spark, str(folder), str(tmp_path / "index"), {"retrieval_mode": "bm25"})
-    assert (manifest.first()["docs"], manifest.first()["retrieval_mode"]) == (3, "bm25")
+    assert (manifest.first()["docs"], manifest.first()["retrieval_mode"]) == (3, "bm25") and manifest.first()["created"] is not None
+    changed = handling.open_stored(spark, str(tmp_path / "index"), {"retrieval_mode": "hybrid", "backend": "hash"})
+    assert changed.mode == "bm25" and changed.vectors is None and "other settings" in changed.warning
     assert sorted((r["doc"], r["reason"]) for r in warnings.collect()) == [("absent.pdf", "manifest entry without file"), ("plan.docx", "unsupported file type")]
     chunks = {r["doc"]: (r["title"], r["doc_type"], r["client_id"]) for r in spark.read.parquet(str(tmp_path / "index" / "chunks")).collect()}
     assert chunks == {"guide.md": ("Guide des délais", "procedure", None), "contrat.TXT": ("Contrat Bron", "document", "C-12"), "libre.md": ("libre", "document", None)}
@@ -304,8 +306,8 @@ def test_reference_files(spark, tmp_path):
     assert sorted(tuple(r) for r in ref.read_thresholds(spark, str(bounds)).collect()) == [("a", "min", 0.5), ("b", "max", 0.0)]
 
 
-@pytest.mark.parametrize("vectors", [False, True])
-def test_every_request_gets_one_response(spark, folder, tmp_path, vectors):
+@pytest.mark.parametrize(("vectors", "stored"), [(False, False), (True, False), (False, True), (True, True)])
+def test_every_request_gets_one_response(spark, folder, tmp_path, vectors, stored):
     path = tmp_path / "clients.json"
     path.write_text(json.dumps(CLIENTS), encoding="utf-8")
     clients, sla = ref.read_clients(spark, str(path))
@@ -316,6 +318,11 @@ def test_every_request_gets_one_response(spark, folder, tmp_path, vectors):
         (4, "Quel est le tarif de nuit ?", "C-34"), (5, "La pompe est à l'arrêt, appelez le 06 11 22 33 44.", "c-12"), (6, "Mon avocat vous écrira.", "C-12"), (7, "x", None),
     ]
     sent = spark.createDataFrame([(i, now, q, c, None) for i, q, c in asked], "request_id int, ts timestamp, q string, client_id string, montant double")
+    if stored:
+        settings = {"retrieval_mode": "hybrid" if vectors else "bm25", "backend": "hash"}
+        handling.ingest_folder(spark, str(folder), str(tmp_path / "index"), settings)
+        chunks = handling.open_stored(spark, str(tmp_path / "index"), settings)
+        assert (chunks.mode, chunks.warning) == (settings["retrieval_mode"], None)
     done = handling.handle_requests(sent, clients, sla, chunks, vectors)
     got = {r["request_id"]: r for r in done.responses.collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6]
@@ -328,8 +335,18 @@ def test_every_request_gets_one_response(spark, folder, tmp_path, vectors):
     action = done.actions.first()
     assert action["payload"]["subject"] == "Demande d'intervention P1 — C-12" and "[TEL]" in action["payload"]["summary"]
     assert "q" not in done.responses.columns and [r["request_id"] for r in done.quarantine.collect()] == [7]
-    sinks.append_log(handling.log_rows(done.responses), str(tmp_path / "log"))
-    assert sinks.read_log(spark, str(tmp_path / "log")).count() == 6
+    cited = {}
+    for r in done.citations.collect():
+        cited.setdefault(r["request_id"], []).append((r["ref"], r["doc"], r["excerpt"]))
+    assert set(cited) == {2, 3} | ({5} if "Documentation consultée" in got[5]["answer"] else set()) and all(0 < len(e) <= 300 for found in cited.values() for _, _, e in found)
+    assert {doc for _, doc, _ in cited[3]} == {"contrat.TXT"} and [ref for ref, _, _ in sorted(cited.get(5, []))] == list(range(1, len(cited.get(5, [])) + 1))
+    calls = spark.createDataFrame([(2, 1, 100, 10, 0.001, "m"), (2, 2, 50, 5, 0.002, "")], "request_id int, seq int, prompt_tokens int, completion_tokens int, cost_eur double, model string")
+    logged = handling.log_rows(done.responses, calls, F.lit(now + dt.timedelta(seconds=2)))
+    sinks.append_log(logged, str(tmp_path / "log"))
+    rows = {r["request_id"]: r for r in sinks.read_log(spark, str(tmp_path / "log")).collect()}
+    assert len(rows) == 6 and {r["latency_ms"] for r in rows.values()} == {2000}
+    assert (rows["2"]["llm_calls"], rows["2"]["prompt_tokens"], rows["2"]["cost_eur"], rows["2"]["model"]) == (2, 150, 0.003, "m") and (rows["1"]["llm_calls"], rows["1"]["cost_eur"], rows["1"]["model"]) == (0, 0.0, None)
+    assert handling.log_rows(done.responses).where("llm_calls <> 0 or latency_ms < 0").isEmpty()
     with pytest.raises(ValueError, match="columns not in the request log"):
         sinks.append_log(done.responses.withColumn("q", F.lit("raw")), str(tmp_path / "log"))
 
