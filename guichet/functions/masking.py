@@ -59,12 +59,12 @@ def _number_tag(digits: Column) -> Column:
 def _checked(text: Column, begins: str, candidate: str, gap: str, valid: Callable[[Column], Column], tag: Callable[[Column], Column]) -> Column:
     """Struct (text, types) of a text with its valid numbers replaced.
 
-    `begins` is what a number starts with, at the start of a word. The fold carries the position of the piece at hand
-    and the position up to which the text is already replaced.
+    `begins` is what a number starts with, at the start of a word. The fold carries what is kept, the position of
+    the piece at hand and the position up to which the text is already replaced; the kept pieces are joined once.
     """
     pieces = F.split(text, rf"(?U)(?<!\w)(?={begins})")
     start = F.struct(
-        F.lit("").alias("out"), F.array().cast("array<string>").alias("types"), F.lit(0).alias("at"), F.lit(0).alias("until"),
+        F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("types"), F.lit(0).alias("at"), F.lit(0).alias("until"),
     )
 
     def longest(at: Column) -> Column:
@@ -77,17 +77,17 @@ def _checked(text: Column, begins: str, candidate: str, gap: str, valid: Callabl
     def step(state: Column, piece: Column) -> Column:
         found = F.when((state["at"] >= state["until"]) & piece.rlike(f"^{begins}"), longest(state["at"]))
         cut = F.greatest(F.lit(0), state["until"] - state["at"])  # characters of this piece that went into the last tag
-        kept = F.concat(state["out"], F.substring(piece, cut + 1, F.length(piece)))
+        kept = F.concat(state["out"], F.array(F.substring(piece, cut + 1, F.length(piece))))
         return F.transform(F.array(found), lambda hit: F.when(
             hit.isNotNull(),
             F.struct(
-                F.concat(state["out"], F.lit("["), tag(hit["compact"]), F.lit("]"), F.substring(piece, hit["size"] + 1, F.length(piece))).alias("out"),
+                F.concat(state["out"], F.array(F.concat(F.lit("["), tag(hit["compact"]), F.lit("]"), F.substring(piece, hit["size"] + 1, F.length(piece))))).alias("out"),
                 F.concat(state["types"], F.array(tag(hit["compact"]))).alias("types"),
                 (state["at"] + F.length(piece)).alias("at"), (state["at"] + hit["size"]).alias("until"),
             ),
         ).otherwise(F.struct(kept.alias("out"), state["types"].alias("types"), (state["at"] + F.length(piece)).alias("at"), state["until"].alias("until"))))[0]
 
-    return F.aggregate(pieces, start, step, lambda state: F.struct(state["out"].alias("text"), state["types"].alias("types")))
+    return F.aggregate(pieces, start, step, lambda state: F.struct(F.array_join(state["out"], "").alias("text"), state["types"].alias("types")))
 
 
 def mask_email(text: Column) -> Column:

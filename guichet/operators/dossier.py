@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guichet.functions import calendar as cal
 from guichet.operators.sizing import broadcast_if_small
-from guichet.operators.triage import client_key, guess_priority
+from guichet.operators.triage import client_key, guess_priority, own_key
 from guichet.params import DEFAULTS, Params
 
 # Wording of the drafts.
@@ -25,7 +25,7 @@ def with_contract(dossiers: DataFrame, clients: DataFrame, sla: DataFrame, param
         client_key(F.col("formule")).alias("__plan"), client_key(F.col("priority")).alias("__priority"), F.col("hours").alias("sla_hours")
     )
     return (
-        dossiers.withColumn("__client", client_key(F.col("scoped_client")))
+        dossiers.withColumn("__client", own_key(client_key(F.col("scoped_client")), F.col("request_id")))
         .join(broadcast_if_small(contract, params), "__client", "left")
         .withColumn("__plan", client_key(F.col("formule")))
         .withColumn("__priority", client_key(F.col("priority")))

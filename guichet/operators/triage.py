@@ -25,18 +25,23 @@ def client_key(client_id: Column) -> Column:
     return F.lower(tx.trim_all(client_id))
 
 
+def own_key(key: Column, row: Column) -> Column:
+    """A join key that matches nothing and spreads over the partitions where the key is null."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(row).cast("string")))
+
+
 def with_client(requests: DataFrame, clients: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Resolve the client (field first, then text) and whether the reference data know it.
 
-    The dimension is broadcast only when its size is proven small. Text that names no client would
-    send all its rows to one join key, so those rows never take part in the join.
+    The dimension is broadcast only when its size is proven small. Requests that name no client would all meet on
+    one null key beyond it, so each gets a key of its own, which no client has.
     """
     resolved = requests.withColumn("resolved_client", ex.resolved_client(F.col("client_id"), F.col("q"))).withColumn(
         "client_origin", ex.client_origin(F.col("client_id"))
     )
     keys = clients.select(client_key(F.col("client_id")).alias("__key"), F.lit(True).alias("__known")).distinct()
     return (
-        resolved.withColumn("__key", client_key(F.col("resolved_client")))
+        resolved.withColumn("__key", own_key(client_key(F.col("resolved_client")), F.col("q")))
         .join(broadcast_if_small(keys, params), "__key", "left")
         .withColumn("client_known", F.coalesce("__known", F.lit(False)))
         .drop("__key", "__known")
