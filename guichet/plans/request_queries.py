@@ -94,13 +94,13 @@ def neutral_texts(spark: SparkSession, sf: str) -> DataFrame:
     "logged_requests",
     """WITH calls AS (SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS p, sum(l_suppkey)::BIGINT AS c, round(sum(l_linenumber / 1000), 6) AS cost, arg_max(l_returnflag, l_linenumber::BIGINT * 100000000000 + l_partkey * 10000 + l_quantity::BIGINT) AS model FROM lineitem GROUP BY 1)
     SELECT o_orderkey::VARCHAR AS request_id, 'rag' AS route, coalesce(n, 0)::INTEGER AS llm_calls, coalesce(p, 0)::INTEGER AS prompt_tokens, coalesce(c, 0)::INTEGER AS completion_tokens,
-    coalesce(cost, 0) AS cost_eur, model, 90000 AS latency_ms, o_orderdate::DATE::VARCHAR AS day FROM orders LEFT JOIN calls ON l_orderkey = o_orderkey""",
+    coalesce(cost, 0) AS cost_eur, model, 90000 AS latency_ms, date_trunc('month', o_orderdate)::DATE::VARCHAR AS day FROM orders LEFT JOIN calls ON l_orderkey = o_orderkey""",
 )
 def logged_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as responses and their lines as model calls, appended to a request log and read back."""
     none = F.lit(None).cast("string")
     responses = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("rag").alias("route"), none.alias("rule"), F.lit("llm").alias("mode"),
+        F.col("o_orderkey").alias("request_id"), F.date_trunc("month", "o_orderdate").cast("timestamp").alias("ts"), F.lit("rag").alias("route"), none.alias("rule"), F.lit("llm").alias("mode"),
         F.lit("texte").alias("q_masked"), none.alias("client_id"), F.lit(0.5).alias("confidence"), F.lit("bm25").alias("retrieval_mode"), F.array().cast("array<string>").alias("pii_types"),
         F.lit(True).alias("needs_validation"), none.alias("error"),
     )

@@ -45,7 +45,9 @@ def append_log(responses: DataFrame, folder: str) -> None:
     columns = [
         (F.col(f.name) if f.name in responses.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
     ]
-    responses.select(*columns).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(folder)
+    rows = responses.select(*columns).withColumn("day", F.to_date("ts"))
+    # a day's rows meet in few files; a day that holds most of them is split
+    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(folder)
 
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
