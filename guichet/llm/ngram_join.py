@@ -11,7 +11,8 @@
     form a cluster with a head, kept in blocks of bounded size. First each class is searched by its head; what is linked
     so far is one component.
 5.  Within a cluster, every block is then searched for the classes of every block, but for those of their own component;
-    between clusters, pairs of a list that lie in different components and share m lists are. No link between components
+    between clusters, pairs of a list that lie in different components and share m lists are; short lists are
+    paired, long ones searched block by block by the lists their classes share. No link between components
     is lost, and a group of n near copies that are all linked costs about n searches.
 6.  A search is one query class against an inverted index of candidates: DivideSkip sets the longest lists aside, merges
     the short ones (with a heap, or by counting where they are many), and probes the long ones by bisection for what
@@ -40,6 +41,8 @@ from guichet.llm.components import components
 CELLS = 1 << 21
 #: Shingles and classes of a block; a search holds two blocks.
 BLOCK, BLOCK_CLASSES = 1 << 17, 1 << 8
+#: Classes of a list up to which its pairs are joined, and of a block of a longer one.
+SHORT, LIST_BLOCK = 16, 1 << 9
 #: Most rows of (id, class, place) that are broadcast to fetch texts; more are joined by a shuffle.
 FETCHED = 2_000_000
 #: Entries of short lists from which on they are merged by counting.
@@ -281,6 +284,60 @@ def _search_blocks(percent: int) -> Callable:
     return run
 
 
+def _shared_most(percent: int) -> Callable:
+    """Pairs of one long list, a block of it against a block, that share enough lists: each at the least of the long lists they share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, second = table["token"][0].as_py(), table["second"].to_numpy()
+        same = table["one"][0].as_py() == table["two"][0].as_py()
+        keys, n, component, cluster = (table[c].to_numpy() for c in ("key", "n", "component", "cluster"))
+        every, longs = ([x.values.to_numpy() for x in table[c].combine_chunks()] for c in ("every", "longs"))
+        held = np.arange(len(keys)) if same else np.flatnonzero(second)
+        owner = np.repeat(np.arange(len(held)), [len(every[i]) for i in held])
+        lists = np.concatenate([every[i] for i in held]) if len(held) else np.zeros(0, np.int64)
+        order = np.argsort(lists, kind="stable")
+        lists, owner = lists[order], owner[order]
+        out: list[tuple[int, int]] = []
+        for q in range(len(keys)) if same else np.flatnonzero(~second).tolist():
+            first, last = np.searchsorted(lists, every[q], "left"), np.searchsorted(lists, every[q], "right")
+            met = np.bincount(owner[K.ranges(first, last - first)], minlength=len(held))
+            least, most = np.minimum(n[q], n[held]), np.maximum(n[q], n[held])
+            fits = (met > least // EXTRA) & (100 * least >= percent * most) & (component[held] != component[q]) & (cluster[held] != cluster[q])
+            if same:
+                fits[: q + 1] = False
+            for i in held[fits].tolist():
+                if np.intersect1d(longs[q], longs[i])[0] == token:
+                    out.append((min(int(keys[q]), int(keys[i])), max(int(keys[q]), int(keys[i]))))
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _across_clusters(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of classes of different clusters and components that share enough of the `lists(token, key)`.
+
+    Short lists are paired by a join, at most `SHORT` rows for each. Of a long list the classes go to blocks with the lists they
+    are in, and the blocks are searched, so only pairs that do share enough leave it. A pair with a long list in common is
+    judged there, by all its lists; any other has short lists only, and the join counts them all.
+    """
+    there = lists.join(placed, "key")
+    mixed = there.groupBy("token").agg(*[f(c).alias(f"{n}_{c}") for c in ("component", "cluster") for n, f in (("low", F.min), ("high", F.max))], F.count("*").alias("size"))
+    mixed = mixed.where("low_component <> high_component and low_cluster <> high_cluster")
+    there = staged(there.join(mixed.select("token", "size"), "token"), "listed")
+    short = there.where(F.col("size") <= SHORT)
+    left = short.selectExpr("token", "key as x", "n as n_x", "component as c_x", "cluster as g_x")
+    right = short.selectExpr("token", "key as y", "n as n_y", "component as c_y", "cluster as g_y")
+    pairs = left.join(right, "token").where("c_x <> c_y and g_x <> g_y and x < y").where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first(F.least("n_x", "n_y")).alias("n")).where(f"shared > floor(n / {EXTRA})").select("x", "y")
+
+    far = there.where(F.col("size") > SHORT).select("token", "key", "size")
+    longs = there.groupBy("key").agg(F.sort_array(F.collect_list("token")).alias("every"), F.sort_array(F.collect_list(F.when(F.col("size") > SHORT, F.col("token")))).alias("longs")).where(F.size("longs") > 0)
+    blocks = F.ceil(F.col("size") / LIST_BLOCK)
+    rows = far.join(longs.join(placed, "key"), "key").withColumn("part", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("token", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), (F.col("part") > F.col("other")).alias("second"), "key", "n", "component", "cluster", "every", "longs")
+    return pairs.unionByName(rows.groupBy("token", "one", "two").applyInArrow(_shared_most(percent), "x long, y long"))
+
+
 def _among_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (x, y); `sets` holds (key, cluster, part, grams). A set travels once for two blocks."""
     where = sets.select("key", F.xxhash64("cluster", "part").alias("block")).distinct()
@@ -325,18 +382,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = docs.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, buckets, levels), "bucket int, token binary, key binary, n binary")
     lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n long"), "lists")
     shared = lists.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
-    lists = lists.join(shared.select("key", (F.col("shared") / F.col("n")).alias("rank")), "key").select("token", "key", "n", "rank")
-    hubs = lists.groupBy("token").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    lists = staged(lists.join(hubs, "token").selectExpr("token", "key", "n", "hub.key as hub"), "lists")
+    shared = staged(shared, "shared")
+    ranked = lists.select("token", "key").join(shared.select("key", (F.col("shared") / F.col("n")).alias("rank")), "key")
+    hubs = ranked.groupBy("token").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    lists = staged(ranked.select("token", "key").join(hubs.selectExpr("token", "hub.key as hub"), "token"), "lists")
 
-    placed = lists.groupBy("key", "n", "hub").agg(F.count("*").alias("times")).groupBy("key", "n").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    placed = staged(placed, "placed")
+    placed = lists.groupBy("key", "hub").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    placed = staged(placed.join(shared.select("key", "n"), "key"), "placed")
     placed = placed.join(placed.select(F.col("key").alias("hub"), F.col("hub").alias("cluster")), "hub", "left").select("key", "n", F.coalesce("cluster", "hub").alias("cluster"))
     room = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_CLASSES)).alias("blocks"))
     heads = room.select(F.col("cluster").alias("key"), F.col("blocks").alias("head_of"))
     placed = placed.join(room, "cluster").join(heads, "key", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    placed = staged(placed.join(classes, "key").select("doc_id", "key", "cluster", "part", "blocks", "head_of"), "placed")
-    fetched = placed.drop("blocks")
+    placed = staged(placed.join(classes, "key").select("doc_id", "key", "n", "cluster", "part", "blocks", "head_of"), "placed")
+    fetched = placed.drop("blocks", "n")
     fetched = F.broadcast(fetched) if placed.count() <= FETCHED else fetched
     names = ["key", "cluster", "part", "head_of"]
     sets = docs.join(fetched, "doc_id").select(*names, "text").mapInArrow(_packed_sets(size, names), "key long, cluster long, part long, head_of long, grams binary")
@@ -348,13 +406,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     placed = staged(placed, "placed")
 
-    there = lists.select("token", "key", "n").join(placed.select("key", "cluster", "component"), "key")
-    mixed = there.groupBy("token").agg(*[f(c).alias(f"{n}_{c}") for c in ("component", "cluster") for n, f in (("low", F.min), ("high", F.max))])
-    there = staged(there.join(mixed.where("low_component <> high_component and low_cluster <> high_cluster").select("token"), "token"), "listed")
-    left = there.selectExpr("token", "key as x", "n as n_x", "component as c_x", "cluster as g_x")
-    right = there.selectExpr("token", "key as y", "n as n_y", "component as c_y", "cluster as g_y")
-    across = left.join(right, "token").where("c_x <> c_y and g_x <> g_y and x < y").where(within)
-    across = across.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first(F.least("n_x", "n_y")).alias("n")).where(f"shared > floor(n / {EXTRA})")
+    across = _across_clusters(lists.select("token", "key"), placed.select("key", "n", "cluster", "component"), percent)
     links = staged(links.unionByName(_within_clusters(sets, placed, percent)).unionByName(_among_pairs(across, sets, percent)), "found")
 
     joined = components(links.select("a", "b"))

@@ -61,6 +61,24 @@ def test_jaccard_of_two_classes_whose_head_lies_elsewhere(spark):
     assert plain(found, "doc_id", "n_shingles", "component_id") == want
 
 
+@pytest.mark.parametrize(("short", "block"), [(16, 512), (2, 8), (1, 3)])
+def test_jaccard_of_many_unlinked_documents_with_one_passage(spark, monkeypatch, short, block):
+    """A passage in documents that share nothing else, some of them in near copies made far from each other."""
+    monkeypatch.setattr("guichet.llm.ngram_join.SHORT", short)
+    monkeypatch.setattr("guichet.llm.ngram_join.LIST_BLOCK", block)
+    rng = random.Random(12)
+    passages = [words(rng, 30, 10**9) for _ in range(3)]
+    rows = []
+    for i in range(300):
+        own = words(rng, rng.randrange(8, 60), 10**9)
+        rows.append((3 * i, f"{own} {passages[i % 3]} {passages[(i * 7) % 3]}"))
+        if i % 10 == 0:
+            rows.append((3 * i + 1, f"{own} {passages[i % 3]} {passages[(i * 7) % 3]} {words(rng, rng.randrange(1, 30), 10**9)}"))
+    want = brute.jaccard(rows)
+    assert len({c for _, _, c in want}) < len(rows)
+    assert plain(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard_classes(docs.limit(0)).count() == 0
 
