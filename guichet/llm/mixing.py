@@ -76,8 +76,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     budget = budget or sources.agg(F.sum("total")).first()[0]
     x = exponent(sources.select(F.col("total").alias("tokens")), float(budget), entropy, repeats)
     z = sources.agg(F.sum(F.pow(F.col("total") / F.lit(float(budget)), F.lit(x)))).first()[0]
-    share = F.round(F.pow(F.col("total") / F.lit(float(budget)), F.lit(x)) / F.lit(z), 6)
-    plan = sources.withColumn("own", F.floor(share * budget)).withColumn("full", F.floor(F.col("own") / F.col("total")))
+    # to a thousandth of a token: the last bits of a power may differ between machines, a budget must not
+    own = F.round(F.pow(F.col("total") / F.lit(float(budget)), F.lit(x)) / F.lit(z) * F.lit(float(budget)), 3)
+    plan = sources.withColumn("own", F.floor(own)).withColumn("full", F.floor(F.col("own") / F.col("total")))
     plan = staged(plan.withColumn("rest", F.col("own") - F.col("full") * F.col("total")), "plan")
 
     block = F.pmod(F.conv(F.substring(_keyed(seed, "doc_id"), 1, 8), 16, 10).cast("long"), F.col("blocks"))

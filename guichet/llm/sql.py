@@ -88,7 +88,7 @@ x as (select greatest(f.lo, case when t.lo > 0 then t.hi else 0.0 end) as x from
 z as (select sum(pow(total / budget, x)) as z from s, a, x),
 plan as (
   select source, total, blocks, own, (own // total) as full, own - (own // total) * total as rest
-  from (select source, total, blocks, floor(round(pow(total / budget, x) / z, 6) * budget)::bigint as own from s, a, x, z)),
+  from (select source, total, blocks, floor(round(pow(total / budget, x) / z * budget, 3))::bigint as own from s, a, x, z)),
 b as (
   select doc_id, n.source, tokens, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint % blocks as block
   from n join plan on n.source is not distinct from plan.source),
