@@ -35,18 +35,32 @@ REJECT = 0.001
 _BLANK = 32
 
 
-def _letters() -> np.ndarray:
-    """Lower-case letter of each code point of the basic plane, or a blank."""
-    table = np.full(0x10000, _BLANK, np.uint32)
-    for point in range(0x10000):
+#: Code points from here on are no letters.
+_LAST = 0x33000
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letter or combining mark of each code point, or a blank; and whether it is a letter."""
+    table, letter = np.full(_LAST + 1, _BLANK, np.uint32), np.zeros(_LAST + 1, bool)
+    for point in range(_LAST):
         char = chr(point)
-        if unicodedata.category(char)[0] in "LM":
+        kind = unicodedata.category(char)[0]
+        if kind in "LM":
             low = char.lower()
             table[point] = ord(low) if len(low) == 1 else point
-    return table
+            letter[point] = kind == "L"
+    return table, letter
+
 
+_TABLE, _LETTER = _letters()
 
-_TABLE = _letters()
+
+def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter; combining marks alone are none."""
+    bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    upto = np.concatenate([[0], np.cumsum(_LETTER[np.minimum(chars, _LAST)])])
+    return upto[bounds[1:]] > upto[bounds[:-1]]
 
 
 def _code(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +69,7 @@ def _code(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     upto = np.concatenate([[0], np.cumsum(lead)])
     bounds = upto[offsets]
-    code = np.where(chars < 0x10000, _TABLE[np.minimum(chars, 0xFFFF)], chars)
+    code = _TABLE[np.minimum(chars, _LAST)]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     first = np.zeros(len(code) + 1, bool)
     first[bounds[:-1]] = True
@@ -141,8 +155,8 @@ class Model:
 
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, rejection."""
-        bits, letters = self.entropy(data, offsets)
-        has = letters > 0
+        bits, _ = self.entropy(data, offsets)
+        has = _has_letter(data, offsets)
         if not self.langs:
             return ["und"] * len(has), np.zeros(len(has)), np.zeros(len(has), bool)
         best = bits.argmin(axis=1)
