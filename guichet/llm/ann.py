@@ -201,7 +201,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _visits(tree: Tree, candidates: DataFrame, sample: DataFrame, k: int) -> int:
-    """Least number of leaves, in doublings, that reaches the target recall for the sampled queries."""
+    """Least number of leaves, by fourths, that reaches the target recall for the sampled queries."""
     if tree.leaves < 2:
         return 1
     # a stated, bounded set of queries against all rows, in blocks
@@ -226,6 +226,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     candidates = staged(_distinct(usable, k).mapInArrow(_placed(tree), "embedding array<float>, ids array<long>, leaf long"), "leaves")
     calibrating = usable.orderBy(F.xxhash64(F.lit("ask"), "vec_id"), "vec_id").limit(CALIBRATION)
     visits = _visits(tree, candidates, calibrating, k)
-    asked = usable.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding")
+    # of several vectors under one id the least one asks
+    asked = usable.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     routed = staged(asked.mapInArrow(_routed(tree, visits), "query_id long, embedding array<float>, leaf long, turn long"), "routed")
     return _ranked(_compared(routed, candidates, k), k).drop("turn")
