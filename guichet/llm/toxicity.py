@@ -202,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
-    # at most SAMPLE short rows are broadcast; a text that was copied teaches once
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])
+    # at most SAMPLE short rows are broadcast; a text that was copied teaches once, as toxic if any copy is marked so
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min_by("half", "doc_id").alias("half"))
     totals = {r["half"]: (r["bad"], r["good"]) for r in sample.groupBy("half").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
     halves = [_lexicon(sample.where(F.col("half") == h), *totals.get(h, (0, 0))) for h in (0, 1)]
     rows = sample.select("toxic", "half", "text").mapInArrow(_featured(halves), "toxic int, half int, x array<double>").toArrow()
