@@ -20,6 +20,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of the table bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     """Number of buckets of an exchange: the cluster's own shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guichet.llm.common import staged
+from guichet.llm.common import spare, staged
 
 PER_MILLE, LEAST = 50, 3
 
@@ -39,12 +39,16 @@ def boilerplate(pages: DataFrame, per_mille: int = PER_MILLE, least: int = LEAST
 
 
 def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", per_mille: int = PER_MILLE, least: int = LEAST) -> DataFrame:
-    """All columns of `docs`, the text without boilerplate lines, and the counts `_lines` and `_dropped`."""
+    """All columns of `docs`, the text without boilerplate lines, and the counts `_lines` and `_dropped`.
+
+    Columns of `docs` with the names of the counts are replaced; any other name may occur.
+    """
     marks = staged(boilerplate(docs.select(F.col(site).alias("site"), F.col(text).alias("text")), per_mille, least), "boilerplate")
-    marks = marks.select(F.col("site").alias("_site"), F.col("marks").alias("_marks"))
-    joined = docs.join(marks, docs[site].eqNullSafe(marks["_site"]), "left")
+    of, held, left = (spare(docs, name) for name in ("_site", "_marks", "_kept"))
+    marks = marks.select(F.col("site").alias(of), F.col("marks").alias(held))
+    joined = docs.join(marks, docs[site].eqNullSafe(marks[of]), "left")
     lines = F.split(text, "\n")
-    kept = F.when(F.col("_marks").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_marks", _mark(x))))
+    kept = F.when(F.col(held).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(held, _mark(x))))
     count = lambda x: F.coalesce(F.when(F.col(text).isNotNull(), F.size(x)), F.lit(0)).cast("long")
-    out = joined.withColumn("_kept", kept).withColumn("_lines", count(lines)).withColumn("_dropped", F.col("_lines") - count(F.col("_kept")))
-    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_site", "_marks", "_kept")
+    out = joined.withColumn(left, kept).withColumn("_lines", count(lines)).withColumn("_dropped", F.col("_lines") - count(F.col(left)))
+    return out.withColumn(text, F.array_join(left, "\n")).drop(of, held, left)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guichet.llm.common import staged
+from guichet.llm.common import spare, staged
 
 #: Titles by gender and script, and parts of replacement names.
 TITLES = {
@@ -153,19 +153,24 @@ def _formed(kind: Column, mention: Column, surrogate: Column) -> Column:
 
 
 def replace(docs: DataFrame, key: str = "corpus", text: str = "text") -> DataFrame:
-    """All columns of `docs` with the entities of `text` replaced, and `_entities` (their number) and `_kinds`."""
+    """All columns of `docs` with the entities of `text` replaced, and `_entities` (their number) and `_kinds`.
+
+    Columns of `docs` with these two names are replaced; any other name may occur.
+    """
+    docs = docs.drop("_entities", "_kinds")
+    held, row, given = (spare(docs, name) for name in ("_found", "_row", "values"))
     maybe = F.coalesce(F.col(text).rlike(_MAYBE), F.lit(False))
     found = F.when(maybe, F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0)))
-    marked = docs.withColumn("_found", found)
-    none = marked.where(F.coalesce(F.size("_found"), F.lit(0)) <= 0).drop("_found")
+    marked = docs.withColumn(held, found)
+    none = marked.where(F.coalesce(F.size(held), F.lit(0)) <= 0).drop(held)
     none = none.withColumn("_entities", F.lit(0).cast("long")).withColumn("_kinds", F.lit("").cast("string"))
-    some = staged(marked.where(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "private")
-    mentions = some.select("_row", F.posexplode("_found").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
+    some = staged(marked.where(F.size(held) > 0).withColumn(row, F.monotonically_increasing_id()), "private")
+    mentions = some.select(F.col(row).alias("_row"), F.posexplode(held).alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
     mentions = mentions.withColumn("canonical", _canonical(F.col("kind"), F.col("mention")))
     table = assign(mentions.select("kind", "canonical").distinct(), key)
     formed = mentions.join(table, ["kind", "canonical"]).select("_row", "at", "kind", _formed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("value"))
-    formed = formed.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("values"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("_kinds"))
+    formed = formed.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias(given), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("_kinds"))
     between = F.split(F.col(text), _ANY, -1)
-    rebuilt = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col("values.value"), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    changed = some.join(formed, "_row").withColumn(text, rebuilt).withColumn("_entities", F.size("values").cast("long"))
+    rebuilt = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col(f"{given}.value"), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    changed = some.join(formed.withColumnRenamed("_row", row), row).withColumn(text, rebuilt).withColumn("_entities", F.size(given).cast("long"))
     return none.unionByName(changed.select(none.columns))
