@@ -1,13 +1,13 @@
 """Corpus pipeline: toxicity, line dedup, near copies, decontamination, mixing to target weights.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of `documents`, but for the last, which returns what
-the mix reads: (doc_id, source, tokens, epoch, place). Ids are keys; equal rows are copies. Rows with a null id are
-scored, deduplicated and mixed like others, but take no part in near copies and decontamination, and stay there.
+the mix reads: (doc_id, source, tokens, epoch, place). A document is what its id and text say (`row_key`), so ids may
+repeat and be null: each text under an id is judged by itself, and of rows equal in both one stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guichet.llm import lines, mixing, toxicity
@@ -31,18 +31,37 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def row_key() -> Column:
+    """Key of a document: 64 bits of its id and text."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs(..., row)` whose key is not in `gone(row)`; the texts are exchanged only if the keys are too many to broadcast."""
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    classes = jaccard_classes(docs)
-    gone = staged(classes.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest id; null ids come last."""
+    keyed = docs.withColumn("row", row_key())
+    classes = jaccard_classes(keyed, "row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    several = classes.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    members = staged(classes.join(several, "component").join(keyed.select("row", "doc_id").distinct(), "row"), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = members.groupBy("component").agg(F.min_by("row", order).alias("row"))
+    gone = staged(members.select("row").join(kept.select("row"), "row", "left_anti").distinct(), "copies")
+    alone = without(keyed, gone).withColumn("row", row_key())
+    repeated = staged(keyed.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated")
+    once = alone.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+    return without(alone, repeated).unionByName(once.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which windows of the benchmark cover less than a twentieth."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = staged(found.where(is_contaminated()).select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("row", row_key())
+    found = contamination(keyed.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = staged(found.where(is_contaminated()).select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return without(keyed, gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

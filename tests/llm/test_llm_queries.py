@@ -119,3 +119,47 @@ def test_pipeline_stages(spark):
     assert ids(read) <= ids(given)
     assert read.groupBy("doc_id", "epoch").count().where("count > 1").isEmpty()
     assert read.agg(F.max("epoch")).first()[0] <= 4
+
+
+def test_pipeline_judges_repeated_and_null_ids_by_their_texts(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, item = words(60), words(60), words(60), words(20)
+    rows = [(5, a), (5, a), (2, a + " more"), (None, a), (7, b), (7, c), (None, b), (None, None), (None, None), (9, None), (None, ""), (8, f"{item} {words(30)}"), (8, words(40)), (None, f"{words(9)} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], ", ".join(f"{n} {k}" for n, k in zip(corpus_pipeline.COLUMNS, ("long", "string", "string", "string", "long")))).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, MEDIUM)
+    show = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert show(kept) == sorted([(2, a + " more"), (7, b), (7, c), (None, None), (9, None), (None, ""), *rows[11:]], key=str)
+    spark.createDataFrame([("x", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = corpus_pipeline.drop_contaminated(spark, kept, str(tmp_path))
+    assert show(clean) == sorted([(2, a + " more"), (7, b), (7, c), (None, None), (9, None), (None, ""), rows[12]], key=str)
+    assert kept.columns == clean.columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), MEDIUM).count() == 0
+
+
+def test_a_small_source_does_not_cost_a_large_one_a_document(spark):
+    """One token against 60 documents of 20,000 tokens: weights are not rounded away."""
+    from guichet.llm import mixing
+
+    docs = spark.createDataFrame([(i, "big", "a " * 20_000) for i in range(60)] + [(99, "small", "one two three")], "doc_id long, source string, text string")
+    read = {(r["doc_id"], r["source"]) for r in mixing.mix(docs, entropy=0.0).collect()}
+    assert read == {(i, "big") for i in range(60)} | {(99, "small")}
+
+
+def test_letters_and_ties(spark):
+    from guichet.llm import ann, langid, lines, surrogates
+
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("le chat est sur le tapis", "fr")] * 20)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "\U0001f600\U0001f601\U0001f602"), (2, "\u0301\u0300"), (3, "12 34"), (4, "the cat"), (5, "\U00010330\U00010331")], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, langid.fit(train)).collect()}
+    assert [found[i] == "und" for i in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id long, embedding array<float>")
+    for order in (vectors, vectors.orderBy(F.col("embedding")), vectors.orderBy(F.col("embedding").desc())):
+        assert [r["vec_id"] for r in ann.nearest(order, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [2, 1]
+    clash = spark.createDataFrame([(1, "s", "a\nb", "m", "x", 3, 4), (2, "s", "mail to Mr Smith", "m", "x", 3, 4)], "doc_id long, source string, text string, _marks string, _site string, _row int, _found int")
+    kept = lines.drop_boilerplate(clash)
+    assert kept.columns == [*clash.columns, "_lines", "_dropped"] and {r["_marks"] + r["_site"] for r in kept.collect()} == {"mx"}
+    replaced = surrogates.replace(clash.drop("_marks", "_site"))
+    assert {(r["_row"], r["_found"]) for r in replaced.collect()} == {(3, 4)}
