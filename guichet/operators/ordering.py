@@ -70,18 +70,34 @@ def first_seen_numbers(found: DataFrame, owner: str, item: str, *order: str) ->
     return first.select(owner, item, F.dense_rank().over(W.partitionBy(owner).orderBy("first")).alias("number"))
 
 
+#: Slices that a pass of `nearest_rank` cuts a range of values into, and its passes.
+_SLICES, _PASSES = 1024, 2
+
+
 def nearest_rank(df: DataFrame, value: str, percents: dict[str, int], *by: str) -> DataFrame:
     """Nearest-rank percentiles per group, as columns named by `percents`.
 
-    Values are counted first (combined on the map side); only distinct values are ordered.
+    Values are counted first (combined on the map side). Then the range of each group is cut into slices, of which counts say
+    in which one a rank lies; that slice is cut again, and only the values of what is left are put in order. So no task orders
+    the values of a whole group, whatever their number.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(whole))
-
-    def pick(percent: int) -> Column:
-        rank = F.greatest(F.lit(1), F.ceil(F.col("total") * percent / F.lit(100)))
-        return F.min(F.when(F.col("upto") >= rank, F.col(value)))
-
-    return ranked.groupBy(*by).agg(*[pick(p).alias(name) for name, p in percents.items()])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v"), F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    counts = counts.select(F.struct(F.lit(0), *by).alias("__group"), "__v", "__value", "__n")
+    whole = counts.groupBy("__group").agg(F.sum("__n").alias("__total"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    names = list(percents)
+    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("__name"), F.greatest(F.lit(1), F.ceil(F.col("__total") * percents[n] / F.lit(100))).alias("__rank")) for n in names]))
+    sought = whole.withColumn("__r", ranks).select("__group", "__low", "__high", F.lit(0).cast("long").alias("__before"), "__r.*")
+    for _ in range(_PASSES):
+        width = (F.col("__high") - F.col("__low")) / _SLICES
+        inside = counts.join(sought, "__group").where((F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high")))
+        slice_ = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__low")) / width), F.lit(_SLICES - 1))).otherwise(0)
+        cut = inside.groupBy("__group", "__name", "__rank", "__before", slice_.alias("__slice")).agg(F.sum("__n").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        upto = F.col("__before") + F.sum("__n").over(W.partitionBy("__group", "__name").orderBy("__slice"))  # at most `_SLICES` rows
+        reached = cut.withColumn("__upto", upto).where(F.col("__upto") >= F.col("__rank"))
+        sought = reached.groupBy("__group", "__name", "__rank").agg(F.min_by(F.struct("__low", "__high", (F.col("__upto") - F.col("__n")).alias("__before")), "__slice").alias("s"))
+        sought = sought.select("__group", "__name", "__rank", "s.*")
+    left = counts.join(sought, "__group").where((F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high")))
+    upto = F.col("__before") + F.sum("__n").over(W.partitionBy("__group", "__name").orderBy("__value"))
+    found = left.withColumn("__upto", upto).where(F.col("__upto") >= F.col("__rank"))
+    found = found.groupBy("__group").agg(*[F.min(F.when(F.col("__name") == n, F.col("__value"))).alias(n) for n in names])
+    return found.select(*[F.col("__group")[c].alias(c) for c in by], *names)

@@ -94,3 +94,23 @@ def test_numbers_with_a_check_digit(spark, text, masked, kinds):
 def test_account_numbers(spark, text, masked):
     got = spark.createDataFrame([(text,)], "t string").select(masking.checked_ibans(F.col("t")).alias("n")).first()["n"]
     assert (got["text"] if got else text) == masked
+
+
+def test_nearest_ranks_of_groups_with_ties_and_far_values(spark):
+    import math
+    import random
+
+    from guichet.operators.ordering import nearest_rank
+
+    rng = random.Random(5)
+    rows = [("a", rng.randrange(40)) for _ in range(500)] + [(None, int(10 ** rng.uniform(0, 15))) for _ in range(3000)] + [("one", 7), ("same", 3), ("same", 3), ("none", None), ("far", -(10**15)), ("far", 1), ("far", 2)]
+    percents = {"p1": 1, "p50": 50, "p95": 95, "p100": 100}
+    got = {r["k"]: tuple(r[p] for p in percents) for r in nearest_rank(spark.createDataFrame(rows, "k string, v long"), "v", percents, "k").collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert got == {k: tuple(sorted(v)[max(1, math.ceil(len(v) * p / 100)) - 1] for p in percents.values()) for k, v in groups.items()}
+    whole = nearest_rank(spark.createDataFrame(rows, "k string, v long"), "v", {"p50": 50}).collect()
+    every = sorted(v for v in (v for _, v in rows) if v is not None)
+    assert [r["p50"] for r in whole] == [every[math.ceil(len(every) / 2) - 1]]
