@@ -82,7 +82,8 @@ def nearest_rank(df: DataFrame, value: str, percents: dict[str, int], *by: str)
     the values of a whole group, whatever their number.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v"), F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
-    counts = counts.select(F.struct(F.lit(0), *by).alias("__group"), "__v", "__value", "__n")
+    checkpoint_root(df.sparkSession)
+    counts = counts.select(F.struct(F.lit(0), *by).alias("__group"), "__v", "__value", "__n").checkpoint()  # read by every pass
     whole = counts.groupBy("__group").agg(F.sum("__n").alias("__total"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
     names = list(percents)
     ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("__name"), F.greatest(F.lit(1), F.ceil(F.col("__total") * percents[n] / F.lit(100))).alias("__rank")) for n in names]))
