@@ -30,7 +30,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
@@ -320,10 +320,12 @@ def _across_clusters(lists: DataFrame, placed: DataFrame, percent: int) -> DataF
     are in, and the blocks are searched, so only pairs that do share enough leave it. A pair with a long list in common is
     judged there, by all its lists; any other has short lists only, and the join counts them all.
     """
-    there = lists.join(placed, "key")
-    mixed = there.groupBy("token").agg(*[f(c).alias(f"{n}_{c}") for c in ("component", "cluster") for n, f in (("low", F.min), ("high", F.max))], F.count("*").alias("size"))
-    mixed = mixed.where("low_component <> high_component and low_cluster <> high_cluster")
-    there = staged(there.join(mixed.select("token", "size"), "token"), "listed")
+    listed = Window.partitionBy("token")
+    there = lists.join(placed.select("key", "cluster", "component"), "key")
+    for name in ("component", "cluster"):
+        there = there.withColumn(f"mixed_{name}", F.min(name).over(listed) != F.max(name).over(listed))
+    there = there.withColumn("size", F.count("*").over(listed)).where("mixed_component and mixed_cluster").select("token", "key", "size")
+    there = staged(there.join(placed, "key"), "listed")
     short = there.where(F.col("size") <= SHORT)
     left = short.selectExpr("token", "key as x", "n as n_x", "component as c_x", "cluster as g_x")
     right = short.selectExpr("token", "key as y", "n as n_y", "component as c_y", "cluster as g_y")
@@ -384,10 +386,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = lists.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
     shared = staged(shared, "shared")
     ranked = lists.select("token", "key").join(shared.select("key", (F.col("shared") / F.col("n")).alias("rank")), "key")
-    hubs = ranked.groupBy("token").agg(F.max(F.struct("rank", "key")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    lists = staged(ranked.select("token", "key").join(hubs.selectExpr("token", "hub.key as hub"), "token"), "lists")
+    # one exchange by list: a window streams, and spills, where an aggregate and a join back would exchange twice
+    listed = Window.partitionBy("token")
+    ranked = ranked.withColumn("hub", F.max(F.struct("rank", "key")).over(listed)).withColumn("size", F.count("*").over(listed))
+    lists = staged(ranked.where("size > 1").selectExpr("token", "key", "hub.key as hub"), "lists")
 
-    placed = lists.groupBy("key", "hub").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    # one exchange by class for both counts
+    placed = lists.select("key", "hub").repartition(buckets, "key").groupBy("key", "hub").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
     placed = staged(placed.join(shared.select("key", "n"), "key"), "placed")
     placed = placed.join(placed.select(F.col("key").alias("hub"), F.col("hub").alias("cluster")), "hub", "left").select("key", "n", F.coalesce("cluster", "hub").alias("cluster"))
     room = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_CLASSES)).alias("blocks"))
