@@ -5,7 +5,7 @@
 
 Both sides are packed into matrix blocks of at most so many rows, without an exchange. Every corpus block meets every query
 block; a pair is one matrix product, and only its best rows for each query leave it. Query blocks are broadcast after a
-check of their number; beyond it Spark deals pairs of partitions out to the tasks. Vectors of different sizes never meet.
+check of their size; beyond it Spark deals pairs of partitions out to the tasks. Vectors of different sizes never meet.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, n: int = DEFAULTS.candid
     corpus = vector_blocks(vectors, "chunk_id", "pos", params.corpus_block, normalize)
     asked = vector_blocks(queries.withColumn("pos", F.lit(0).cast("long")), "query_id", "pos", params.query_block, normalize)
     asked = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("owners").alias("q_owners"), F.col("matrix").alias("q_matrix"))
-    few = fits(queries.select("query_id"), params.broadcast_rows)
+    few = fits(queries.select("query_id", "embedding"), params.broadcast_rows, params.broadcast_bytes)
     pairs = corpus.crossJoin(F.broadcast(asked) if few else asked).where("dim = q_dim")
     ids = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType)])
     return top_n(pairs.mapInArrow(_best(n), ids.add("pos", "long").add("score", "double")), n)

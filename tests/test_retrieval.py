@@ -124,3 +124,32 @@ def test_owned_chunks_of_a_request(spark):
     chunks = spark.createDataFrame([("p", None), ("a", "A"), ("b", "B")], "chunk_id string, client_id string")
     asked = spark.createDataFrame([(1, "A"), (2, None)], "query_id int, client_id string")
     assert [(r["query_id"], r["chunk_id"]) for r in retrieval.visible(chunks, asked).collect()] == [(1, "a")]
+
+
+@pytest.mark.parametrize("rows", [1, 10**6])
+def test_vector_blocks_of_any_size_find_the_same(spark, rows):
+    """Several blocks on either side, broadcast or dealt out: owners, ties, copies, other sizes, null and zero vectors."""
+    import random
+    from dataclasses import replace
+
+    from guichet.operators import dense
+    from guichet.params import DEFAULTS
+
+    rng = random.Random(6)
+    vector = lambda n=4: [float(rng.randrange(-2, 3)) for _ in range(n)]
+    held = [(f"c{i}", i, rng.choice([None, None, "a"]), vector()) for i in range(300)] + [("short", 900, None, vector(3)), ("null", 901, None, None), ("hole", 902, None, [1.0, None, 1.0, 1.0]), ("zero", 903, None, [0.0] * 4), ("empty", 904, None, [])]
+    asked = [(i, rng.choice([None, "a", "b"]), vector()) for i in range(40)] + [(50, None, vector(3)), (51, None, None), (52, None, vector(9))]
+    vectors = spark.createDataFrame(held, "chunk_id string, pos long, client_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, client_id string, embedding array<float>").repartition(2)
+    params = replace(DEFAULTS, corpus_block=7, query_block=5, broadcast_rows=rows)
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in dense.cosine_topk(vectors, queries, 6, params, normalize=True).collect())
+
+    def unit(v):
+        norm = sum(x * x for x in v) ** 0.5
+        return [x / norm for x in v] if norm else v
+
+    want = []
+    for q, client, a in asked:
+        near = [(-round(sum(x * y for x, y in zip(unit(a), unit(b))), 9), pos, c) for c, pos, owner, b in held if a and b and None not in b and len(a) == len(b) and (owner is None or owner == client)]
+        want += [(q, n, c, -s) for n, (s, _, c) in enumerate(sorted(x for x in near if x[0] < 0)[:6], 1)]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 2e-9 for x, y in zip(got, want))
