@@ -397,7 +397,7 @@ def _short_containment(docs: DataFrame, passages: DataFrame, block: int = 256) -
     blocks = F.ceil(F.count("*") / block).alias("blocks")
     numbered = passages.crossJoin(F.broadcast(passages.agg(blocks)))  # one row
     arrays = numbered.groupBy(F.pmod(F.xxhash64("query_id"), F.greatest("blocks", F.lit(1))).alias("block")).agg(F.collect_list(F.struct("query_id", "passage")).alias("asked"))
-    held = docs.crossJoin(F.broadcast(arrays)).select("doc", F.explode(F.filter("asked", lambda a: F.contains(F.col("text"), a["passage"]))).alias("hit"))
+    held = docs.crossJoin(broadcast_if_small(arrays)).select("doc", F.explode(F.filter("asked", lambda a: F.contains(F.col("text"), a["passage"]))).alias("hit"))
     return held.select(F.col("hit.query_id").alias("query_id"), "doc")
 
 
