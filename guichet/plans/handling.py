@@ -193,7 +193,8 @@ def ingest_folder(spark: SparkSession, folder: str, index: str, settings: dict[s
     files = sd.text_files(kept)
     has_manifest = spark.read.format("binaryFile").load(folder).where(F.col("path").endswith("/" + sd.MANIFEST)).limit(1).count() > 0
     manifest = sd.read_manifest(spark, f"{folder}/{sd.MANIFEST}") if has_manifest else None
-    chunks = sinks.write_chunks(chunking.chunk_documents(sd.load_texts(files, manifest), params), index)
+    loaded = sd.load_texts(files, manifest)
+    chunks = sinks.write_chunks(chunking.chunk_documents(loaded, params), index)
     postings.build(ordered_chunks(chunks), f"{index}/lexical", params=params)
     if settings.get("retrieval_mode") == "hybrid":
         indexed = search_text(F.col("title"), F.col("section"), F.col("text"))
@@ -202,7 +203,7 @@ def ingest_folder(spark: SparkSession, folder: str, index: str, settings: dict[s
     written = sinks.write_manifest(chunks, index, settings)
     warnings = skipped.select("doc", "reason").unionByName(
         kept.where(~F.col("doc").rlike(sd.TEXT_FILES)).select("doc", F.lit("needs extracted text").alias("reason"))
-    )
+    ).unionByName(loaded.where(F.size("pages") == 0).select("doc", F.lit("no text").alias("reason")))
     if manifest is not None:
         warnings = warnings.unionByName(sd.manifest_orphans(manifest, kept).select("doc", F.lit("manifest entry without file").alias("reason")))
     return written, warnings

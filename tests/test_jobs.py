@@ -278,6 +278,9 @@ def folder(tmp_path_factory):
     (root / "contrat.TXT").write_text("# Contrat Bron\nLe tarif de nuit est doublé pour Bron.", encoding="utf-8")
     (root / "libre.md").write_text("---\nLe tarif de base est de 89 €.", encoding="utf-8")
     (root / "plan.docx").write_text("x", encoding="utf-8")
+    (root / "vide.md").write_text("---\ntitre: Vide\n---\n \n", encoding="utf-8")
+    (root / "blanc.txt").write_bytes(b" \n")
+    (root / "latin.md").write_bytes("d\xe9lai".encode("latin-1"))
     (root / "manifest.json").write_text(json.dumps({"contrat.TXT": {"client_id": "c-12", "titre": ""}, "absent.pdf": {"titre": "A"}}), encoding="utf-8")
     return root
 
@@ -287,7 +290,9 @@ def test_ingestion_of_a_folder(spark, folder, tmp_path):
     assert (manifest.first()["docs"], manifest.first()["retrieval_mode"]) == (3, "bm25") and manifest.first()["created"] is not None
     changed = handling.open_stored(spark, str(tmp_path / "index"), {"retrieval_mode": "hybrid", "backend": "hash"})
     assert changed.mode == "bm25" and changed.vectors is None and "other settings" in changed.warning
-    assert sorted((r["doc"], r["reason"]) for r in warnings.collect()) == [("absent.pdf", "manifest entry without file"), ("plan.docx", "unsupported file type")]
+    assert sorted((r["doc"], r["reason"]) for r in warnings.collect()) == [
+        ("absent.pdf", "manifest entry without file"), ("blanc.txt", "no text"), ("latin.md", "not UTF-8 text"), ("plan.docx", "unsupported file type"), ("vide.md", "no text")
+    ]
     chunks = {r["doc"]: (r["title"], r["doc_type"], r["client_id"]) for r in spark.read.parquet(str(tmp_path / "index" / "chunks")).collect()}
     assert chunks == {"guide.md": ("Guide des délais", "procedure", None), "contrat.TXT": ("Contrat Bron", "document", "C-12"), "libre.md": ("libre", "document", None)}
 
