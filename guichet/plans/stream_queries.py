@@ -16,9 +16,9 @@ from guichet.streaming import jobs
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table's files as a stream: the table is one file or a folder of files of any name."""
+    # a pattern with one match: a stream of a plain path must be a folder
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.[p]arquet")
 
 
 def run(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:

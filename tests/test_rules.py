@@ -114,3 +114,12 @@ def test_nearest_ranks_of_groups_with_ties_and_far_values(spark):
     whole = nearest_rank(spark.createDataFrame(rows, "k string, v long"), "v", {"p50": 50}).collect()
     every = sorted(v for v in (v for _, v in rows) if v is not None)
     assert [r["p50"] for r in whole] == [every[math.ceil(len(every) / 2) - 1]]
+
+
+def test_a_stream_reads_a_table_of_one_file_or_a_folder_of_files(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    part = next((tmp_path / "folder.parquet").glob("part-*.parquet"))
+    (tmp_path / "file.parquet").write_bytes(part.read_bytes())
+    one = {r["id"] for r in spark.read.parquet(str(part)).collect()}
+    for name, want in (("folder", set(range(6))), ("file", one)):
+        assert {r["id"] for r in stream_queries.run(spark, stream_queries.stream_table(spark, str(tmp_path), name)).collect()} == want
