@@ -237,3 +237,24 @@ def test_unit_and_cosine(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, b array<float>")
     row = df.select(unit(F.col("a")).alias("u"), cosine(unit(F.col("a")), unit(F.col("a"))).alias("c"), unit(F.col("b")).alias("z")).first()
     assert row["u"] == pytest.approx([0.6, 0.8]) and row["c"] == pytest.approx(1.0) and row["z"] == [0.0, 0.0]
+
+
+CLOSE_CARDS = "Esanwh 2353820953013749 4550997810720808 thheed, 4111111111111111, 73282932000074."
+
+
+def test_plain_numbers_read_a_separator_once_and_requests_read_both(spark):
+    assert column(spark, [CLOSE_CARDS, None, "a4111111111111111"], mk.plain_numbers, "string") == [["4111111111111111", "73282932000074"], None, []]
+    masked = column(spark, [CLOSE_CARDS, None, "5"], lambda v: mk.mask_listed(v, mk.plain_numbers(v)))
+    assert masked == ["Esanwh 2353820953013749 4550997810720808 thheed, [CARTE], [SIRET].", None, "5"]
+    df = spark.createDataFrame([(CLOSE_CARDS,)], "q string")
+    assert mk.mask_pii(df, "q").first()["masked"] == "Esanwh 2353820953013749 [CARTE] thheed, [CARTE], [SIRET]."
+
+
+def test_card_queries_follow_their_sql_where_numbers_are_close(spark, tmp_path):
+    from guichet.plans import text_queries as tq
+
+    close = "Esanwh 2353820953013749 4550997810720808 thheed."
+    spark.createDataFrame([(1, close), (2, "4111111111111111"), (3, "a@b.fr, 0611223344"), (4, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    masked = {r["doc_id"]: r["masked"] for r in tq.pii_card_mask(spark, str(tmp_path)).collect()}
+    assert masked == {1: close, 2: "[CARTE]", 3: "a@b.fr, 0611223344", 4: None}
+    assert {tuple(r) for r in tq.pii_types(spark, str(tmp_path)).collect()} == {("CARTE", 1), ("EMAIL", 1)}
