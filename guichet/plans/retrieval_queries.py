@@ -115,7 +115,7 @@ def index_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 def index_postings(spark: SparkSession, sf: str) -> DataFrame:
     """The stored blocks and term table, summed by term."""
     index = stored_index(spark, sf)
-    first, longest = F.array_min(F.transform("entries", lambda e: e["number"])), F.array_max(F.transform("entries", lambda e: e["len"]))
+    first, longest = F.array_min("entries.number"), F.array_max("entries.len")
     lists = index.blocks.groupBy("term").agg(F.min(first).alias("first_doc"), F.max(longest).alias("longest"))
     return index.terms.select("term", "df", "cf").join(lists, "term")
 

@@ -1,6 +1,7 @@
 """The stored block index against the search that reads the corpus, and against plain counts."""
 
 import random
+import re
 from collections import Counter
 from dataclasses import replace
 
@@ -95,3 +96,29 @@ def test_index_of_nothing_and_without_manifest(spark, corpus, asked, tmp_path):
     assert postings.bm25_index(empty, asked, 4, params=NARROW).count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         postings.open_index(spark, str(tmp_path / "none"))
+
+
+def test_blocks_are_whole_in_every_slice_and_batch(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "_SLICE", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = postings.build(corpus, str(tmp_path / "i"), params=NARROW)
+        got = {(r["term"], r["block"]): (r["n"], r["cf"], [tuple(e) for e in r["entries"]]) for r in index.blocks.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert index.blocks.count() == len(got)
+    want = {}
+    for r in corpus.collect():
+        for term, tf in Counter(r["tokens"] or []).items():
+            want.setdefault((term, r["pos"] // 8), []).append((r["pos"], tf, len(r["tokens"]), r["client_id"]))
+    assert got == {k: (len(v), sum(e[1] for e in v), sorted(v)) for k, v in want.items()}
+
+
+def test_search_tasks_follow_the_pairs_of_documents_and_questions(corpus, asked, index, monkeypatch):
+    monkeypatch.setattr(postings, "_PAIRS", 1000)
+    tasks = -(-index.manifest["n"] * asked.count() // 1000)
+    for params in (NARROW, replace(NARROW, bounded_from=1000)):
+        found = postings.bm25_index(index, asked, 4, params=params)
+        moved = re.findall(r"RepartitionByExpression \[block#\d+L?\], (\d+)", found._jdf.queryExecution().optimizedPlan().toString())
+        assert set(moved) == {str(tasks)}
+        assert hits(found) == hits(lexical.bm25_topk(corpus, asked, 4))
