@@ -111,3 +111,21 @@ def test_figures_of_open_windows_change_with_every_batch(spark, tmp_path):
     assert found == [(4, 20, 40, 2.0, 0.5, 0.75, 0.5, 0, 1), (2, 7, 9, 1.0, 0.5, 1.0, 0.5, 0, 0)]
     first = spark.read.parquet(str(tmp_path / "t" / "figures")).where("batch = 0").first()
     assert (first["requests"], first["latency_ms_p50"]) == (2, 10)
+
+
+def test_keys_share_a_state_and_are_dropped_each_in_its_time(spark, tmp_path, monkeypatch):
+    """Many keys in few groups, a null one among them: the same tickets as in batch, one call to the state for a group, and only open tickets held."""
+    monkeypatch.setattr(jobs, "_GROUPS", 2)
+    schema = "request_id bigint, ts timestamp_ntz, dedupe_key string"
+    data = [(i, T0 + dt.timedelta(hours=5 * i), None if i % 29 == 0 else f"k{i % 29}") for i in range(200)]
+    streamed = drain(jobs.dedupe_stream(feed(spark, tmp_path, data, schema, 4)), tmp_path)
+    wanted, now = set(), {}
+    for number, ts, key in data:
+        since, owner = now.get(key, (None, None))
+        now[key] = (since, owner) if since is not None and ts - since <= dt.timedelta(days=7) else (ts, number)
+        wanted.add((number, key, now[key][1], False))
+    assert {tuple(r) for r in streamed.collect()} == wanted
+    until = data[-1][1] - dt.timedelta(hours=1)
+    assert states(spark, tmp_path) == sum(since + dt.timedelta(days=7) >= until for since, _ in now.values())
+    groups = spark.read.format("statestore").option("stateVarName", "anchor").load(str(tmp_path / "checkpoint")).select("key").distinct()
+    assert groups.count() <= 2
