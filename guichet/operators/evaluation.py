@@ -33,11 +33,9 @@ def reciprocal_rank(expected: Column, found: Column) -> Column:
 
 def first_hit_ranks(expected: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, hit, reciprocal_rank) for expected pairs (query_id, doc) against ranked hits (query_id, doc, rank)."""
-    best = hits.join(expected, ["query_id", "doc"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))
-    return (
-        expected.select("query_id").distinct().join(best, "query_id", "left")
-        .select("query_id", F.col("first").isNotNull().alias("hit"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
-    )
+    # `expected` is read once, and is reduced to one row for each question before anything else
+    ranked = expected.join(hits.select("query_id", "doc", "rank"), ["query_id", "doc"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    return ranked.select("query_id", F.col("first").isNotNull().alias("hit"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
 def checks(cases: DataFrame, results: DataFrame) -> DataFrame:

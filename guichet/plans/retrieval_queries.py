@@ -13,7 +13,7 @@ from guichet.functions.vectors import hash_vectors
 from guichet.operators import dense, lexical, passages, postings, retrieval
 from guichet.operators.evaluation import first_hit_ranks
 from guichet.operators.ordering import first_seen_numbers
-from guichet.operators.sizing import broadcast_if_small
+from guichet.operators.sizing import broadcast_if_small, fits
 from guichet.params import DEFAULTS as P
 from guichet.plans import sql as S
 from guichet.plans.catalog import ORACLES, query
@@ -368,12 +368,17 @@ def source_numbers(spark: SparkSession, sf: str) -> DataFrame:
 _GOLDEN = "golden AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def containment(spark: SparkSession, sf: str) -> DataFrame:
+#: Passages whose longest words are held against every document in one row.
+_CARRIED = 5000
+
+
+def containment(spark: SparkSession, sf: str, carried: int = _CARRIED) -> DataFrame:
     """(query_id, doc): documents that hold a benchmark passage word for word.
 
-    A passage can only be in a document that holds its inner words, so candidates come from an
-    equi-join on the longest of them, and the exact test runs on those only. Passages of one or two
-    words have no inner word; they are tested in the rows of the documents, some hundred at a time.
+    A passage can only be in a document that holds its inner words, so only a document that holds the
+    longest of them is tested, where it is read: no text is exchanged. Passages with more different such
+    words than a row may carry are joined by word instead. Passages of one or two words have no inner
+    word; they are tested in the rows of the documents, some hundred at a time.
     """
     passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).where(F.col("passage").isNotNull())
     short = F.size(F.split("passage", r"\W+")) <= 2
@@ -384,14 +389,24 @@ def containment(spark: SparkSession, sf: str) -> DataFrame:
         lambda w: F.struct(F.length(w).alias("n"), w.alias("word")),
     ))["word"]
     keyed = asked.withColumn("word", longest)
-    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
-    holding = docs.select("doc", F.explode_outer(F.array_distinct(F.split("text", r"\W+"))).alias("word")).join(
-        broadcast_if_small(keyed), "word"
-    )
-    found = holding.join(docs, "doc").where(F.contains("text", F.col("passage"))).select("query_id", "doc")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    found = _tested_in_place(docs, keyed) if fits(keyed, carried) else _tested_by_word(docs, keyed)
     return found.unionByName(_short_containment(docs, passages.where(short)))
 
 
+def _tested_in_place(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Few words sought: one row of them meets every document, which goes on once for each that it holds."""
+    sought = keyed.agg(F.collect_set("word").alias("sought"))
+    held = docs.crossJoin(F.broadcast(sought)).select("doc", "text", F.explode_outer(F.array_intersect(F.split("text", r"\W+"), "sought")).alias("word"))
+    return held.join(F.broadcast(keyed), "word").where(F.contains("text", F.col("passage"))).select("query_id", "doc")
+
+
+def _tested_by_word(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Any number of words sought: documents and passages meet by word, then by document."""
+    holding = docs.select("doc", F.explode_outer(F.array_distinct(F.split("text", r"\W+"))).alias("word")).join(broadcast_if_small(keyed), "word")
+    return holding.join(docs, "doc").where(F.contains("text", F.col("passage"))).select("query_id", "doc")
+
+
 def _short_containment(docs: DataFrame, passages: DataFrame, block: int = 256) -> DataFrame:
     """Containment of passages without a word to join on: arrays of at most about `block` passages meet every document."""
     blocks = F.ceil(F.count("*") / block).alias("blocks")

@@ -123,3 +123,20 @@ def test_a_stream_reads_a_table_of_one_file_or_a_folder_of_files(spark, tmp_path
     one = {r["id"] for r in spark.read.parquet(str(part)).collect()}
     for name, want in (("folder", set(range(6))), ("file", one)):
         assert {r["id"] for r in stream_queries.run(spark, stream_queries.stream_table(spark, str(tmp_path), name)).collect()} == want
+
+
+def test_passages_are_tested_where_the_texts_are_read(spark, tmp_path):
+    """Both ways find the same, and with few passages no text is exchanged."""
+    docs = [(i, f"intro {i} " + " ".join(f"word{(i * k) % 23}x" for k in range(1, 9)) + "\n(end)") for i in range(60)] + [(60, None), (61, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(100 + i, docs[i][1][4:-3]) for i in range(0, 60, 7)] + [(200, "word1x word2x word3x"), (201, "ro 5 word5x wo"), (202, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wanted = {(number, doc) for number, passage in asked for doc, text in docs if passage is not None and text is not None and passage in text}
+    placed = retrieval_queries.containment(spark, str(tmp_path))
+    joined = retrieval_queries.containment(spark, str(tmp_path), carried=0)
+    assert {tuple(r) for r in placed.collect()} == wanted == {tuple(r) for r in joined.collect()} and len(wanted) >= 10
+    assert placed.count() == len(wanted)
+    assert "RoundRobinPartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+    ranked = spark.createDataFrame([(100, 0, 2), (100, 1, 1), (107, 9, 1)], "query_id long, doc long, rank int")
+    scored = {r["query_id"]: (r["hit"], r["reciprocal_rank"]) for r in evaluation.first_hit_ranks(placed, ranked).collect()}
+    assert scored[100] == (True, 0.5) and scored[107] == (False, 0.0) and set(scored) == {q for q, _ in wanted}
