@@ -379,26 +379,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = profile.where("cell is not null").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()  # at most CELLS / 4 rows
     levels[often["cell"].to_numpy()] = np.log2(often["seen"].to_numpy().astype(float)).astype(np.uint8)
     known = profile.where("cell is null").select("doc_id", "n", "key")
-    classes = known.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    classes = known.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
     dealt = docs.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, buckets, levels), "bucket int, token binary, key binary, n binary")
     lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n long"), "lists")
-    shared = lists.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
-    shared = staged(shared, "shared")
-    ranked = lists.select("token", "key").join(shared.select("key", (F.col("shared") / F.col("n")).alias("rank")), "key")
-    # one exchange by list: a window streams, and spills, where an aggregate and a join back would exchange twice
-    listed = Window.partitionBy("token")
-    ranked = ranked.withColumn("hub", F.max(F.struct("rank", "key")).over(listed)).withColumn("size", F.count("*").over(listed))
+    # one exchange by class, then one by list: windows stream, and spill, where aggregates and joins back would exchange twice
+    own, listed = Window.partitionBy("key"), Window.partitionBy("token")
+    ranked = lists.select("token", "key", F.col("n").cast("int").alias("n"), F.count("*").over(own).cast("int").alias("shared")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
+    ranked = ranked.repartition(buckets, "token")  # by plain columns; what is compared is made behind it
+    ranked = ranked.withColumn("hub", F.max(F.struct(F.col("shared") / F.col("n"), "key")).over(listed)).withColumn("size", F.count("*").over(listed))
     lists = staged(ranked.where("size > 1").selectExpr("token", "key", "hub.key as hub"), "lists")
 
     # one exchange by class for both counts
     placed = lists.select("key", "hub").repartition(buckets, "key").groupBy("key", "hub").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    placed = staged(placed.join(shared.select("key", "n"), "key"), "placed")
-    placed = placed.join(placed.select(F.col("key").alias("hub"), F.col("hub").alias("cluster")), "hub", "left").select("key", "n", F.coalesce("cluster", "hub").alias("cluster"))
+    placed = staged(placed.join(classes, "key"), "placed")
+    placed = placed.join(placed.select(F.col("key").alias("hub"), F.col("hub").alias("cluster")), "hub", "left").select("doc_id", "key", "n", F.coalesce("cluster", "hub").alias("cluster"))
     room = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_CLASSES)).alias("blocks"))
     heads = room.select(F.col("cluster").alias("key"), F.col("blocks").alias("head_of"))
     placed = placed.join(room, "cluster").join(heads, "key", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    placed = staged(placed.join(classes, "key").select("doc_id", "key", "n", "cluster", "part", "blocks", "head_of"), "placed")
+    placed = staged(placed.select("doc_id", "key", "n", "cluster", "part", "blocks", "head_of"), "placed")
     fetched = placed.drop("blocks", "n")
     fetched = F.broadcast(fetched) if placed.count() <= FETCHED else fetched
     names = ["key", "cluster", "part", "head_of"]
@@ -415,7 +414,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(links.unionByName(_within_clusters(sets, placed, percent)).unionByName(_among_pairs(across, sets, percent)), "found")
 
     joined = components(links.select("a", "b"))
-    named = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = classes.drop("n").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = staged(named.join(smallest, "component").select("key", "component_id"), "named")
     out = known.join(named, "key", "left")
