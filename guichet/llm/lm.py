@@ -6,7 +6,11 @@ and contexts are counted over all texts, and no table of them reaches the driver
 
 Pairs of each text are dealt out by the hash of the pair, so a frequent context is spread over all buckets like its
 dishes. A bucket counts its pairs and asks the buckets of the words (dealt by the hash of the word) for what it needs
-of them as dish and as context; answers come back in the order of the question, as ranges of hashes.
+of them as dish and as context; answers come back in the order of the question, as ranges of hashes. A task holds one
+bucket; what travels or is stored names words, texts and contexts by their place in a list of hashes sent once, and is
+compressed. Exchanges give their disk back when their step is stored, and a table is removed when the next replaces it.
+What holds a row for each pair of a text is dealt and scored in passes, each over all texts and a share of the buckets, so
+that its exchange takes the disk of a share.
 
 Seating is sampled by Gibbs: in each sweep the number of tables of each pair is drawn from its conditional distribution
 (generalised Stirling numbers, the parent's probabilities and the other tables of the restaurant as of the last sweep);
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
-from guichet.llm.common import column, parts
+from guichet.llm.common import column, freed, parts, staged
 from guichet.session import checkpoint_root
 
 SWEEPS, BURN_IN = 6, 3
 #: Counts up to this are seated exactly; larger ones in steps of a quarter of the customers seated.
 EXACT = 24
+#: Passes over the texts; each deals out the pairs of a share of the buckets.
+PASSES = 2
 #: What the base of the parent leaves to words never seen.
 NEW = 0.9
 #: Of every restaurant.
 STRENGTH = 5.0
 #: The end of a text as a word, and as the context of the first word.
 _END = np.uint64(0)
-#: Pairs drawn at once.
-_DRAWN = 1 << 15
+#: Pairs drawn at once, and words of texts that are dealt out at once (more only in a single slice).
+_DRAWN, _DEALT = 1 << 15, 1 << 20
 #: What a packed row holds.
 _PAIRS, _SEATED, _ASKED, _SUMS, _WORDS, _ANSWERS, _TOTALS = range(7)
 _SCHEMA = pa.schema([("what", pa.int32()), ("bucket", pa.int32()), ("origin", pa.int32()), ("blobs", pa.list_(pa.binary()))])
@@ -58,8 +65,29 @@ def _rows(rows: list[tuple[int, int, int, list[bytes]]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], _SCHEMA.field(i).type) for i in range(4)], schema=_SCHEMA)
 
 
+def _blob(values: np.ndarray) -> bytes:
+    """A column: ordered hashes as differences, then the bytes of each significance together, compressed."""
+    ordered = values.dtype == np.uint64 and bool((values[1:] >= values[:-1]).all())
+    values = np.diff(values, prepend=np.uint64(0)) if ordered else values
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return bytes([ordered]) + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _bytes(blob: bytes) -> int:
+    """Size of a column before it was packed."""
+    return int.from_bytes(blob[1:9], "little")
+
+
+def _values(blob: bytes, kind: type) -> np.ndarray:
+    if not _bytes(blob):
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(blob[9:], _bytes(blob), codec="zstd"), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if blob[0] else values
+
+
 def _row(what: int, bucket: int, origin: int, *columns: np.ndarray) -> tuple[int, int, int, list[bytes]]:
-    return what, bucket, origin, [c.tobytes() for c in columns]
+    return what, bucket, origin, [_blob(c) for c in columns]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple[int, list[bytes]]]]]]:
@@ -73,19 +101,36 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int,
 
 
 def _unpacked(rows: list[tuple[int, list[bytes]]], *kinds: type) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(r[1][k] for r in rows), kind) for k, kind in enumerate(kinds)]
+    return [np.concatenate([_values(r[1][k], kind) for r in rows]) if rows else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
 def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(at, values, minlength=size).astype(np.int64)
 
 
-def _pairs(buckets: int) -> Callable:
-    """The pairs of each text, dealt out by pair: (context, word, text, occurrences, trains)."""
+def _pairs(buckets: int, turn: int) -> Callable:
+    """The pairs of each text that fall into the buckets of this turn, dealt out by pair: (words; place of context and word among them; texts, their pairs, trains; occurrences)."""
+
+    def dealt(docs: np.ndarray, trains: np.ndarray, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        context, word, row, pair = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((pair, row))
+        pair, row = pair[order], row[order]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
+        first = np.flatnonzero(fresh)
+        times = np.diff(np.append(first, len(row))).astype(np.int32)
+        rows = []
+        for bucket, (_, before, after, own, n) in K.dealt(pair[first], buckets, context[order[first]], word[order[first]], row[first].astype(np.int32), times, pack=np.asarray):
+            ids, at = np.unique(np.concatenate([before, after]), return_inverse=True)
+            edges = K.runs(own)
+            texts = own[edges[:-1]]
+            rows.append(_row(_PAIRS, bucket, 0, ids, at[: len(own)].astype(np.int32), at[len(own) :].astype(np.int32), docs[texts], np.diff(edges).astype(np.int32), trains[texts].astype(np.uint8), n))
+        return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, trains = column(batch, "doc").to_numpy(), column(batch, "trains").to_numpy(zero_copy_only=False)
+            held: list[tuple[np.ndarray, ...]] = []
             for a, _, data, offsets in K.slices(column(batch, "text")):
                 word, row = _tokens(data, offsets)
                 rows = np.arange(len(offsets) - 1)
@@ -93,14 +138,13 @@ def _pairs(buckets: int) -> Callable:
                 word, row = np.insert(word, stop, _END), np.insert(row, stop, rows)
                 context = np.concatenate([[_END], word[:-1]])  # what precedes a text is an end
                 pair = K.mix(context * K._STEP + word)
-                order = np.lexsort((pair, row))
-                pair, row, context, word = pair[order], row[order], context[order], word[order]
-                fresh = np.ones(len(row), bool)
-                fresh[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
-                first = np.flatnonzero(fresh)
-                times, own = np.diff(np.append(first, len(row))).astype(np.int32), a + row[first]
-                packed = K.dealt(pair[first], buckets, context[first], word[first], docs[own], times, trains[own].astype(np.uint8))
-                yield _rows([(_PAIRS, bucket, 0, blobs[1:]) for bucket, blobs in packed])
+                own = K.bucket_of(pair, buckets) % PASSES == turn
+                held.append((context[own], word[own], a + row[own], pair[own]))
+                if sum(len(h[1]) for h in held) >= _DEALT:
+                    yield dealt(docs, trains, held)
+                    held = []
+            if held:
+                yield dealt(docs, trains, held)
 
     return run
 
@@ -110,26 +154,36 @@ def _counted(buckets: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _buckets(batches):
-            context, word, doc, times, trains = _unpacked(rows[_PAIRS], np.uint64, np.uint64, np.int64, np.int32, np.uint8)
-            order = np.lexsort((word, context))
-            context, word, doc, times = context[order], word[order], doc[order], times[order]
-            fresh = np.ones(len(word), bool)
-            fresh[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-            first = np.flatnonzero(fresh)
-            n = np.add.reduceat(times.astype(np.int64) * trains[order], first)
-            context, word = context[first], word[first]
-            ids, at = np.unique(np.concatenate([context, word]), return_inverse=True)
-            c, w = at[: len(n)], at[len(n) :]
-            held = np.diff(np.append(first, len(doc)))
-            yield _rows([_row(_PAIRS, bucket, 0, c.astype(np.int32), w.astype(np.int32), n, held.astype(np.int32), (word == _END), doc, times)])
+            met = rows.pop(_PAIRS)
+            ids = np.unique(np.concatenate([_values(r[1][0], np.uint64) for r in met]))
+            codes = []
+            for _, blobs in met:
+                place = np.searchsorted(ids, _values(blobs[0], np.uint64))
+                codes.append(place[_values(blobs[1], np.int32)] * len(ids) + place[_values(blobs[2], np.int32)])
+            code = np.concatenate(codes)
+            del codes
+            texts, held, trains, times = _unpacked([(r[0], r[1][3:]) for r in met], np.uint64, np.int32, np.uint8, np.int32)
+            del met
+            texts, doc = np.unique(texts, return_inverse=True)
+            doc, weight = np.repeat(doc.astype(np.int32), held), times * np.repeat(trains, held)
+            order = np.argsort(code, kind="stable")
+            code, doc, times, weight = code[order], doc[order], times[order], weight[order]
+            del order
+            first = K.runs(code)
+            held = np.diff(first).astype(np.int32)
+            n = np.add.reduceat(weight.astype(np.int64), first[:-1])
+            c, w = (x.astype(np.int32) for x in np.divmod(code[first[:-1]], len(ids)))
+            del code, weight, first
+            yield _rows([_row(_PAIRS, bucket, 0, np.bincount(c, minlength=len(ids)).astype(np.int32), w, n, held, ids[w] == _END, doc, times, texts)])
+            del doc, times, texts, held
             once = (n == 1).astype(float)
             stats = [_summed(w, n, len(ids)), _summed(w, once, len(ids)), _summed(c, n, len(ids)), _summed(c, once, len(ids))]
-            yield _rows([(_ASKED, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, *stats)])
+            yield _rows([(_ASKED, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, *stats, pack=_blob)])
             many = n > 1
-            ids, at = np.unique(np.concatenate([context[many], word[many]]), return_inverse=True)
-            c, w = at[: many.sum()].astype(np.int32), at[many.sum() :].astype(np.int32)
-            tables = np.ones(len(c), np.int64)
-            yield from _told(bucket, buckets, ids, c, w, n[many], tables, np.zeros(len(c), np.int64))
+            present = np.unique(np.concatenate([c[many], w[many]]))
+            tables = np.ones(many.sum(), np.int64)
+            c, w = (np.searchsorted(present, x[many]).astype(np.int32) for x in (c, w))
+            yield from _told(bucket, buckets, ids[present], c, w, n[many], tables, np.zeros(len(c), np.int64))
             yield _rows([_row(_TOTALS, bucket, 0, np.array([(n == 1).sum(), (n == 2).sum()], float))])
 
     return run
@@ -138,7 +192,7 @@ def _counted(buckets: int) -> Callable:
 def _told(bucket: int, buckets: int, ids: np.ndarray, c: np.ndarray, w: np.ndarray, n: np.ndarray, tables: np.ndarray, kept: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The seating of a bucket, and its tables for each word as dish and as context."""
     yield _rows([_row(_SEATED, bucket, 0, ids, c, w, n, tables, kept)])
-    yield _rows([(_SUMS, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, _summed(w, tables, len(ids)), _summed(c, tables, len(ids)))])
+    yield _rows([(_SUMS, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, _summed(w, tables, len(ids)), _summed(c, tables, len(ids)), pack=_blob)])
 
 
 def stirling(discount: float, size: int) -> np.ndarray:
@@ -213,7 +267,7 @@ def _parent(sweep: int, discount: float, known: float, tables_before: float) ->
                 past = []
             else:
                 ids, count, single, before, alone, seated = _unpacked(rows[_WORDS], np.uint64, *[np.int64] * 5)
-                past = [np.frombuffer(b, np.float32) for b in rows[_WORDS][0][1][6:]]
+                past = [_values(b, np.float32) for b in rows[_WORDS][0][1][6:]]
             asked, tables_w, tables_c = _unpacked(rows.get(_SUMS, []), np.uint64, np.int64, np.int64) if _SUMS in rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             at = np.searchsorted(ids, asked)
             customers, opened = single + _summed(at, tables_w, len(ids)), alone + _summed(at, tables_c, len(ids))
@@ -225,7 +279,7 @@ def _parent(sweep: int, discount: float, known: float, tables_before: float) ->
                 served = customers - discount * seated
                 past += [served.astype(np.float32), opened.astype(np.float32)] if sweep >= BURN_IN else []
             yield _rows([_row(_WORDS, bucket, 0, ids, count, single, before, alone, seated, *past)])
-            ends = np.cumsum([0] + [len(r[1][0]) // 8 for r in rows.get(_SUMS, [])])
+            ends = np.cumsum([0] + [_bytes(r[1][0]) // 8 for r in rows.get(_SUMS, [])])
             yield _rows([_row(_ANSWERS, r[0], bucket, served[at[a:b]], opened[at[a:b]]) for r, a, b in zip(rows.get(_SUMS, []), ends[:-1], ends[1:])])
             yield _rows([_row(_TOTALS, bucket, 0, np.array([count.sum(), (count > 0).sum(), customers.sum(), seated.sum(), (customers == 1).sum(), (customers == 2).sum()], float))])
 
@@ -236,10 +290,10 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For all that was asked: counts as dish and as context, and what the kept sweeps served and opened."""
     for bucket, rows in _buckets(batches):
         own = rows[_WORDS][0][1]
-        ids, count, before = (np.frombuffer(own[k], kind) for k, kind in ((0, np.uint64), (1, np.int64), (3, np.int64)))
-        values = [count, before, *[np.frombuffer(b, np.float32) for b in own[6:]]]
+        ids, count, before = (_values(own[k], kind) for k, kind in ((0, np.uint64), (1, np.int64), (3, np.int64)))
+        values = [count, before, *[_values(b, np.float32) for b in own[6:]]]
         for origin, blobs in rows.get(_ASKED, []):
-            at = np.searchsorted(ids, np.frombuffer(blobs[0], np.uint64))
+            at = np.searchsorted(ids, _values(blobs[0], np.uint64))
             yield _rows([_row(_ANSWERS, origin, bucket, *[v[at] for v in values])])
 
 
@@ -248,23 +302,22 @@ def _scored(buckets: int, discount: float, sweeps: list[tuple[float, float, floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _buckets(batches):
-            c, w, n, held, end, doc, times = _unpacked(rows[_PAIRS], np.int32, np.int32, np.int64, np.int32, bool, np.int64, np.int32)
-            count, before, *past = _unpacked(rows[_ANSWERS], np.int64, np.int64, *[np.float32] * (2 * len(sweeps)))
+            c, w, n, held, end, doc, times, texts = _unpacked(rows.pop(_PAIRS), np.int32, np.int32, np.int64, np.int32, bool, np.int32, np.int32, np.uint64)
+            c = np.repeat(np.arange(len(c)), c)
+            count, before, *past = _unpacked(rows.pop(_ANSWERS), np.int64, np.int64, *[np.float32] * (2 * len(sweeps)))
             kept = np.zeros(len(n))
             kept[n == 1] = len(sweeps)
-            kept[n > 1] = _unpacked(rows[_SEATED], *[np.uint8] * 5, np.int64)[5]
+            kept[n > 1] = _unpacked([(r[0], r[1][5:]) for r in rows[_SEATED]], np.int64)[0]
             p = len(sweeps) * n - discount * kept
             for k, (add, new, out_of) in enumerate(sweeps):
                 single = np.where(count > 0, past[2 * k] + add, new) / out_of
                 p += (STRENGTH + discount * past[2 * k + 1][c]) * single[w]
             logs = np.log10(p / len(sweeps) / (STRENGTH + before[c]))
             base = np.log10(count + 1.0) - np.log10(tokens + distinct + 1.0)
-            pair = np.repeat(np.arange(len(n)), held)
-            order = np.argsort(doc, kind="stable")
-            first = K.runs(doc[order])[:-1]
-            values = [times * end[pair], times, times * (count[w] > 0)[pair], times * base[w][pair], times * logs[pair]]
-            sums = [np.add.reduceat(v[order].astype(float), first) for v in values]
-            yield _rows([_row_of(to, blobs) for to, blobs in K.dealt(K.mix(doc[order][first].view(np.uint64)), buckets, doc[order][first], *[v.astype(k) for v, k in zip(sums, (np.int32, np.int32, np.int32, float, float))])])
+            pair = np.repeat(np.arange(len(n), dtype=np.int32), held)
+            sums = [np.bincount(doc, times * v[pair], minlength=len(texts)) for v in (end, np.ones(len(n)), count[w] > 0, base[w], logs)]
+            columns = [v.astype(k) for v, k in zip(sums, (np.int32, np.int32, np.int32, float, float))]
+            yield _rows([_row_of(to, blobs) for to, blobs in K.dealt(K.mix(texts), buckets, texts.view(np.int64), *columns, pack=_blob)])
 
     return run
 
@@ -286,36 +339,57 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Exchange:
-    """Packed rows, met by bucket and stored in the shared folder apart by what they hold."""
+    """Packed rows, met by bucket and stored in the shared folder apart by what they hold, until others replace them."""
 
     def __init__(self, docs: DataFrame):
-        self.spark, self.buckets, self.stored = docs.sparkSession, parts(docs.sparkSession), {}
+        self.spark, self.buckets, self.stored, self.folders = docs.sparkSession, parts(docs.sparkSession), {}, {}
 
     def met(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.buckets, "bucket")
+        """A partition for each bucket."""
+        return rows.repartitionById(self.buckets, "bucket")
 
-    def put(self, rows: DataFrame, *whats: int) -> None:
+    def put(self, rows: DataFrame, *whats: int, further: bool = False) -> None:
+        """Store rows in place of those that are stored, or as `further` ones."""
         path = f"{checkpoint_root(self.spark)}/language-{uuid.uuid4().hex}"
-        rows.write.partitionBy("what").parquet(path)
+        with freed(self.spark):
+            rows.write.partitionBy("what").parquet(path)
         table = self.spark.read.schema(_ROW).parquet(path).select("what", "bucket", "origin", "blobs")
-        self.stored |= {what: table.where(F.col("what") == what) for what in whats}
+        for what in whats:
+            if not further:
+                self.drop(what)
+            self.stored.setdefault(what, []).append(table.where(F.col("what") == what))
+            self.folders.setdefault(what, []).append(f"{path}/what={what}")
+
+    def drop(self, what: int) -> None:
+        """Remove the tables of rows that nothing reads any more."""
+        for folder in self.folders.pop(what, []):
+            self.remove(folder)
+        self.stored.pop(what, None)
+
+    def remove(self, folder: str) -> None:
+        """Delete a table by the file system of the shared folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def rows(self, *whats: int) -> DataFrame:
+        tables = [table for what in whats for table in self.stored[what]]
+        return reduce(DataFrame.unionByName, tables)
 
     def of(self, *whats: int) -> DataFrame:
-        out = self.stored[whats[0]]
-        for what in whats[1:]:
-            out = out.unionByName(self.stored[what])
-        return self.met(out)
+        return self.met(self.rows(*whats))
 
     def totals(self, size: int) -> np.ndarray:
         """Sum over the buckets, one row of a few numbers for each."""
-        return sum((np.frombuffer(r["blobs"][0]) for r in self.stored[_TOTALS].toLocalIterator()), np.zeros(size))
+        return sum((_values(r["blobs"][0], float) for r in self.rows(_TOTALS).toLocalIterator()), np.zeros(size))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, trains, n_tokens, n_known, train_tokens, base_score, score, perplexity) for `docs(doc_id, text, trains)`."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "trains").withColumn("doc", F.xxhash64("doc_id", "text"))
     x = _Exchange(docs)
-    x.put(x.met(docs.select("doc", "trains", "text").mapInArrow(_pairs(x.buckets), _ROW)).mapInArrow(_counted(x.buckets), _ROW), _PAIRS, _ASKED, _SEATED, _SUMS, _TOTALS)
+    for turn in range(PASSES):
+        dealt = x.met(docs.select("doc", "trains", "text").mapInArrow(_pairs(x.buckets, turn), _ROW))
+        x.put(dealt.mapInArrow(_counted(x.buckets), _ROW), _PAIRS, _ASKED, _SEATED, _SUMS, _TOTALS, further=turn > 0)
     discount = _discount(*x.totals(2))
     x.put(x.of(_ASKED, _SUMS).mapInArrow(_parent(-1, 0.0, 0.0, 0.0), _ROW), _WORDS, _ANSWERS, _TOTALS)
     tokens, distinct, _, tables, once, twice = x.totals(6).tolist()
@@ -329,9 +403,15 @@ def score(docs: DataFrame) -> DataFrame:
         add = spare * (1 - NEW) / max(distinct, 1.0)
         if sweep >= BURN_IN:
             sweeps.append((add, spare * NEW, out_of))
-    answers = x.of(_WORDS, _ASKED).mapInArrow(_answered, _ROW)
-    known = x.met(x.stored[_PAIRS].unionByName(x.stored[_SEATED]).unionByName(answers)).mapInArrow(_scored(x.buckets, discount, sweeps, tokens, distinct), _ROW)
-    sums = x.met(known).mapInArrow(_added, "doc long, tokens double, known double, base double, score double")
+    x.put(x.of(_WORDS, _ASKED).mapInArrow(_answered, _ROW), _ANSWERS)
+    for what in (_WORDS, _ASKED, _SUMS):
+        x.drop(what)
+    for turn in range(PASSES):
+        rows = x.stored[_PAIRS][turn].unionByName(x.rows(_SEATED, _ANSWERS).where(F.col("bucket") % PASSES == turn))
+        x.put(x.met(rows).mapInArrow(_scored(x.buckets, discount, sweeps, tokens, distinct), _ROW), _TOTALS, further=turn > 0)
+    sums = staged(x.of(_TOTALS).mapInArrow(_added, "doc long, tokens double, known double, base double, score double"), "language-sums")
+    for what in list(x.folders):
+        x.drop(what)
     out = docs.select("doc", "doc_id", "trains").join(sums, "doc")
     out = out.select("doc_id", "trains", F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
