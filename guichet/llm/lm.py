@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
-from guichet.llm.common import column, freed, parts, staged
+from guichet.llm.common import column, freed, parts, remove, staged
 from guichet.session import checkpoint_root
 
 SWEEPS, BURN_IN = 6, 3
@@ -363,14 +363,9 @@ class _Exchange:
     def drop(self, what: int) -> None:
         """Remove the tables of rows that nothing reads any more."""
         for folder in self.folders.pop(what, []):
-            self.remove(folder)
+            remove(self.spark, folder)
         self.stored.pop(what, None)
 
-    def remove(self, folder: str) -> None:
-        """Delete a table by the file system of the shared folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def rows(self, *whats: int) -> DataFrame:
         tables = [table for what in whats for table in self.stored[what]]
         return reduce(DataFrame.unionByName, tables)

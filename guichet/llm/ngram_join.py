@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
-from guichet.llm.common import column, parts, staged
+from guichet.llm.common import column, parts, remove, staged
 from guichet.llm.components import components
 
 #: Cells of the frequency table; the only thing that is broadcast, one byte a cell.
@@ -389,7 +389,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one exchange by list: a window streams, and spills, where an aggregate and a join back would exchange twice
     listed = Window.partitionBy("token")
     ranked = ranked.withColumn("hub", F.max(F.struct("rank", "key")).over(listed)).withColumn("size", F.count("*").over(listed))
-    lists = staged(ranked.where("size > 1").selectExpr("token", "key", "hub.key as hub"), "lists")
+    unranked, lists = lists, staged(ranked.where("size > 1").selectExpr("token", "key", "hub.key as hub"), "lists")
+    for folder in {file.rsplit("/", 1)[0] for file in unranked.inputFiles()}:
+        remove(spark, folder)
 
     # one exchange by class for both counts
     placed = lists.select("key", "hub").repartition(buckets, "key").groupBy("key", "hub").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))

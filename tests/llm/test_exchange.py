@@ -1,15 +1,36 @@
 """What exchanges of the training-data operators leave on disk, and how they pack and place rows."""
 
 import os
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
 from guichet.llm import lm
+from guichet.llm.common import staged
+from guichet.llm.ngram_join import jaccard_classes
 from guichet.session import checkpoint_root
 
 
+def _exchanged(spark):
+    """Files of exchanges that the disk still holds."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name for name in files.split("\n") if "shuffle_" in name}
+
+
+def test_a_stored_table_gives_the_disk_of_its_exchanges_back(spark):
+    before = _exchanged(spark)
+    rows = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    stored = staged(rows, "freed")
+    until = time.time() + 10
+    while _exchanged(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _exchanged(spark) - before
+    assert stored.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def _folders(spark):
     root = checkpoint_root(spark).removeprefix("file:")
     return {f"{name}/{what}" for name in os.listdir(root) if name.startswith("language-") for what in os.listdir(f"{root}/{name}") if what.startswith("what=")}
@@ -22,6 +43,14 @@ def test_language_model_keeps_no_table_that_nothing_reads(spark):
     assert _folders(spark) <= before
 
 
+def test_ngram_join_keeps_its_lists_once(spark):
+    df = spark.createDataFrame([(i, f"un deux trois quatre cinq six {i % 5} sept") for i in range(40)], "doc_id long, text string")
+    root = checkpoint_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    assert jaccard_classes(df).select("component_id").distinct().count() == 5
+    assert len([name for name in set(os.listdir(root)) - before if name.startswith("lists-") and os.listdir(f"{root}/{name}")]) == 1
+
+
 def test_language_model_tasks_hold_one_bucket(spark):
     exchange = lm._Exchange(spark.range(1))
     exchange.buckets = 24
