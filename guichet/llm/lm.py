@@ -6,8 +6,9 @@ and contexts are counted over all texts, and no table of them reaches the driver
 
 Pairs of each text are dealt out by the hash of the pair, so a frequent context is spread over all buckets like its
 dishes. A bucket counts its pairs and asks the buckets of the words (dealt by the hash of the word) for what it needs
-of them as dish and as context; answers come back in the order of the question, as ranges of hashes. A task holds one
-bucket; what travels or is stored names words, texts and contexts by their place in a list of hashes sent once, and is
+of them as dish and as context; answers come back in the order of the question, as ranges of hashes. Every bucket of
+pairs asks every bucket of words in each sweep, so there are few of these (`_word_buckets`), and they read one question
+at a time. A task holds one bucket; what travels or is stored names words, texts and contexts by their place in a list of hashes sent once, and is
 compressed. Exchanges give their disk back when their step is stored, and a table is removed when the next replaces it.
 What holds a row for each pair of a text is dealt and scored in passes, each over all texts and a share of the buckets, so
 that its exchange takes the disk of a share.
@@ -24,6 +25,7 @@ the caller. Repeated rows count as often as they occur. Without training rows ev
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -50,12 +52,19 @@ STRENGTH = 5.0
 _END = np.uint64(0)
 #: Pairs drawn at once, and words of texts that are dealt out at once (more only in a single slice).
 _DRAWN, _DEALT = 1 << 15, 1 << 20
+#: Answers that leave a bucket of words at once.
+_REPLIES = 256
 #: What a packed row holds.
 _PAIRS, _SEATED, _ASKED, _SUMS, _WORDS, _ANSWERS, _TOTALS = range(7)
 _SCHEMA = pa.schema([("what", pa.int32()), ("bucket", pa.int32()), ("origin", pa.int32()), ("blobs", pa.list_(pa.binary()))])
 _ROW = "what int, bucket int, origin int, blobs array<binary>"
 
 
+def _word_buckets(buckets: int) -> int:
+    """Buckets of words for so many of pairs: as they grow by the root, rows between both stay far from the square."""
+    return min(buckets, 2 * math.ceil(math.sqrt(buckets)))
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, row = K.words(data, offsets, K.SPACED)
     return K.word_hashes(data, starts, ends), row
@@ -149,7 +158,7 @@ def _pairs(buckets: int, turn: int) -> Callable:
     return run
 
 
-def _counted(buckets: int) -> Callable:
+def _counted(words: int) -> Callable:
     """Counts of the pairs of a bucket, the texts that hold them, and what is asked of the buckets of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +187,21 @@ def _counted(buckets: int) -> Callable:
             del doc, times, texts, held
             once = (n == 1).astype(float)
             stats = [_summed(w, n, len(ids)), _summed(w, once, len(ids)), _summed(c, n, len(ids)), _summed(c, once, len(ids))]
-            yield _rows([(_ASKED, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, *stats, pack=_blob)])
+            yield _rows([(_ASKED, to, bucket, blobs) for to, blobs in K.dealt(ids, words, *stats, pack=_blob)])
             many = n > 1
             present = np.unique(np.concatenate([c[many], w[many]]))
             tables = np.ones(many.sum(), np.int64)
             c, w = (np.searchsorted(present, x[many]).astype(np.int32) for x in (c, w))
-            yield from _told(bucket, buckets, ids[present], c, w, n[many], tables, np.zeros(len(c), np.int64))
+            yield from _told(bucket, words, ids[present], c, w, n[many], tables, np.zeros(len(c), np.int64))
             yield _rows([_row(_TOTALS, bucket, 0, np.array([(n == 1).sum(), (n == 2).sum()], float))])
 
     return run
 
 
-def _told(bucket: int, buckets: int, ids: np.ndarray, c: np.ndarray, w: np.ndarray, n: np.ndarray, tables: np.ndarray, kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _told(bucket: int, words: int, ids: np.ndarray, c: np.ndarray, w: np.ndarray, n: np.ndarray, tables: np.ndarray, kept: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The seating of a bucket, and its tables for each word as dish and as context."""
     yield _rows([_row(_SEATED, bucket, 0, ids, c, w, n, tables, kept)])
-    yield _rows([(_SUMS, to, bucket, blobs) for to, blobs in K.dealt(ids, buckets, _summed(w, tables, len(ids)), _summed(c, tables, len(ids)), pack=_blob)])
+    yield _rows([(_SUMS, to, bucket, blobs) for to, blobs in K.dealt(ids, words, _summed(w, tables, len(ids)), _summed(c, tables, len(ids)), pack=_blob)])
 
 
 def stirling(discount: float, size: int) -> np.ndarray:
@@ -239,7 +248,7 @@ def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.2, 0.9)) if once else 0.5
 
 
-def _reseated(buckets: int, discount: float, add: float, out_of: float, sweep: int) -> Callable:
+def _reseated(words: int, discount: float, add: float, out_of: float, sweep: int) -> Callable:
     """One sweep over the pairs of a bucket; the parent's probability is (answer + add) / out_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +256,22 @@ def _reseated(buckets: int, discount: float, add: float, out_of: float, sweep: i
             ids, c, w, n, tables, kept = _unpacked(rows[_SEATED], np.uint64, np.int32, np.int32, np.int64, np.int64, np.int64)
             served, opened = _unpacked(rows.get(_ANSWERS, []), float, np.int64) if len(ids) else (np.zeros(0), np.zeros(0, np.int64))
             tables = seat(n, (served[w] + add) / out_of, tables, STRENGTH, discount, np.random.default_rng([sweep, bucket]), opened[c])
-            yield from _told(bucket, buckets, ids, c, w, n, tables, kept + (tables if sweep >= BURN_IN else 0))
+            yield from _told(bucket, words, ids, c, w, n, tables, kept + (tables if sweep >= BURN_IN else 0))
 
     return run
 
 
+def _told_of(ids: np.ndarray, rows: list[tuple[int, list[bytes]]], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of the words of each row, and the sums of the columns for each word; a row names a word once."""
+    places, sums = [], np.zeros((columns, len(ids)), np.int64)
+    for _, blobs in rows:
+        at = np.searchsorted(ids, _values(blobs[0], np.uint64)).astype(np.int32)
+        places.append(at)
+        for k in range(columns):
+            sums[k, at] += _values(blobs[k + 1], np.int64)
+    return places, sums
+
+
 def _parent(sweep: int, discount: float, known: float, tables_before: float) -> Callable:
     """The parent is seated over the words of a bucket; answers what was asked: dishes served less the discount, and tables as a context.
 
@@ -261,16 +281,14 @@ def _parent(sweep: int, discount: float, known: float, tables_before: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _buckets(batches):
             if sweep < 0:
-                ids, *stats = _unpacked(rows[_ASKED], np.uint64, *[np.int64] * 4)
-                ids, at = np.unique(ids, return_inverse=True)
-                count, single, before, alone = (_summed(at, v, len(ids)) for v in stats)
-                past = []
+                ids, past = np.unique(np.concatenate([_values(r[1][0], np.uint64) for r in rows[_ASKED]])), []
+                _, (count, single, before, alone) = _told_of(ids, rows[_ASKED], 4)
             else:
                 ids, count, single, before, alone, seated = _unpacked(rows[_WORDS], np.uint64, *[np.int64] * 5)
                 past = [_values(b, np.float32) for b in rows[_WORDS][0][1][6:]]
-            asked, tables_w, tables_c = _unpacked(rows.get(_SUMS, []), np.uint64, np.int64, np.int64) if _SUMS in rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            at = np.searchsorted(ids, asked)
-            customers, opened = single + _summed(at, tables_w, len(ids)), alone + _summed(at, tables_c, len(ids))
+            asked = rows.get(_SUMS, [])
+            places, (tables_w, tables_c) = _told_of(ids, asked, 2)
+            customers, opened = single + tables_w, alone + tables_c
             if sweep < 0:
                 seated, served = np.minimum(customers, 1), count.astype(float)
             else:
@@ -279,8 +297,8 @@ def _parent(sweep: int, discount: float, known: float, tables_before: float) ->
                 served = customers - discount * seated
                 past += [served.astype(np.float32), opened.astype(np.float32)] if sweep >= BURN_IN else []
             yield _rows([_row(_WORDS, bucket, 0, ids, count, single, before, alone, seated, *past)])
-            ends = np.cumsum([0] + [_bytes(r[1][0]) // 8 for r in rows.get(_SUMS, [])])
-            yield _rows([_row(_ANSWERS, r[0], bucket, served[at[a:b]], opened[at[a:b]]) for r, a, b in zip(rows.get(_SUMS, []), ends[:-1], ends[1:])])
+            for i in range(0, len(asked), _REPLIES):
+                yield _rows([_row(_ANSWERS, r[0], bucket, served[at], opened[at]) for r, at in zip(asked[i : i + _REPLIES], places[i : i + _REPLIES])])
             yield _rows([_row(_TOTALS, bucket, 0, np.array([count.sum(), (count > 0).sum(), customers.sum(), seated.sum(), (customers == 1).sum(), (customers == 2).sum()], float))])
 
     return run
@@ -343,10 +361,11 @@ class _Exchange:
 
     def __init__(self, docs: DataFrame):
         self.spark, self.buckets, self.stored, self.folders = docs.sparkSession, parts(docs.sparkSession), {}, {}
+        self.words = _word_buckets(self.buckets)
 
-    def met(self, rows: DataFrame) -> DataFrame:
+    def met(self, rows: DataFrame, buckets: int | None = None) -> DataFrame:
         """A partition for each bucket."""
-        return rows.repartitionById(self.buckets, "bucket")
+        return rows.repartitionById(buckets or self.buckets, "bucket")
 
     def put(self, rows: DataFrame, *whats: int, further: bool = False) -> None:
         """Store rows in place of those that are stored, or as `further` ones."""
@@ -371,7 +390,8 @@ class _Exchange:
         return reduce(DataFrame.unionByName, tables)
 
     def of(self, *whats: int) -> DataFrame:
-        return self.met(self.rows(*whats))
+        """Rows for the buckets of words, if they hold any of these, or else for those of pairs or texts."""
+        return self.met(self.rows(*whats), self.words if {_WORDS, _ASKED, _SUMS} & {*whats} else None)
 
     def totals(self, size: int) -> np.ndarray:
         """Sum over the buckets, one row of a few numbers for each."""
@@ -384,14 +404,14 @@ def score(docs: DataFrame) -> DataFrame:
     x = _Exchange(docs)
     for turn in range(PASSES):
         dealt = x.met(docs.select("doc", "trains", "text").mapInArrow(_pairs(x.buckets, turn), _ROW))
-        x.put(dealt.mapInArrow(_counted(x.buckets), _ROW), _PAIRS, _ASKED, _SEATED, _SUMS, _TOTALS, further=turn > 0)
+        x.put(dealt.mapInArrow(_counted(x.words), _ROW), _PAIRS, _ASKED, _SEATED, _SUMS, _TOTALS, further=turn > 0)
     discount = _discount(*x.totals(2))
     x.put(x.of(_ASKED, _SUMS).mapInArrow(_parent(-1, 0.0, 0.0, 0.0), _ROW), _WORDS, _ANSWERS, _TOTALS)
     tokens, distinct, _, tables, once, twice = x.totals(6).tolist()
     top, add, out_of = _discount(once, twice), 1.0, tokens + distinct + 1.0
     sweeps = []
     for sweep in range(SWEEPS):
-        x.put(x.of(_SEATED, _ANSWERS).mapInArrow(_reseated(x.buckets, discount, add, out_of, sweep), _ROW), _SEATED, _SUMS)
+        x.put(x.of(_SEATED, _ANSWERS).mapInArrow(_reseated(x.words, discount, add, out_of, sweep), _ROW), _SEATED, _SUMS)
         x.put(x.of(_WORDS, _SUMS).mapInArrow(_parent(sweep, top, max(distinct, 1.0), tables), _ROW), _WORDS, _ANSWERS, _TOTALS)
         _, _, customers, tables, _, _ = x.totals(6).tolist()
         spare, out_of = STRENGTH + top * tables, STRENGTH + customers

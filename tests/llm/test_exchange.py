@@ -65,3 +65,23 @@ def test_packed_columns_come_back():
         assert (lm._values(lm._blob(values), values.dtype.type) == values).all()
     assert len(lm._blob(np.sort(hashes))) < hashes.nbytes
     assert (np.diff(K.bucket_of(np.sort(hashes), 7).astype(int)) >= 0).all() and set(K.bucket_of(hashes, 7)) == set(range(7))
+
+
+def test_language_model_asks_fewer_buckets_of_words_than_it_has_of_pairs(spark, monkeypatch):
+    """Every bucket of pairs asks every bucket of words in every sweep: the rows must not grow with the square of the buckets."""
+    sent, put = [], lm._Exchange.put
+
+    def counted(exchange, rows, *whats, further=False):
+        put(exchange, rows, *whats, further=further)
+        sent.extend(exchange.stored[what][-1].count() for what in whats if what in (lm._ASKED, lm._SUMS, lm._ANSWERS))
+
+    monkeypatch.setattr(lm._Exchange, "put", counted)
+    df = spark.createDataFrame([(i, " ".join(f"mot{(i * j) % 211}" for j in range(1, 60)), i % 7 != 2) for i in range(200)], "doc_id long, text string, trains boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = lm.score(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 200 and all(r["n_tokens"] == 60 for r in found)
+    assert 0 < max(sent) <= 16 * 8
