@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
-from guichet.llm.common import column, staged
+from guichet.llm.common import column, handed_back, staged
 
 WINDOW = 13
 #: Characters of benchmark text searched in one pass over the index.
@@ -81,17 +81,17 @@ def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
     """Positional index of `docs(doc_id, text)`; with `terms` (sorted word hashes) only of those."""
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_indexer(terms), _INDEX), "positions")
+    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(handed_back(_indexer(terms)), _INDEX), "positions")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Block, ids, first places, number of words, terms, heads, places."""
     for batch in batches:
-        for r in batch.to_pylist():
-            yield (
-                r["block"], r["ids"], np.array(r["first"] + [r["words"]], np.int64), r["words"],
-                np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["heads"], np.int64), np.frombuffer(r["places"], np.int32),
-            )
+        for i in range(batch.num_rows):  # the lists of a row stay where they are, and its ids are objects for that row alone
+            r = {name: batch.column(name)[i] for name in batch.schema.names}
+            words = r["words"].as_py()
+            terms, heads, places = (np.frombuffer(r[n].as_buffer(), kind) for n, kind in (("terms", np.uint64), ("heads", np.int64), ("places", np.int32)))
+            yield r["block"].as_py(), r["ids"].as_py(), np.append(r["first"].values.to_numpy(), words), words, terms, heads, places
 
 
 def _phrases(terms: np.ndarray, heads: np.ndarray, places: np.ndarray, words: int, first: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     passes = list(_passes(items.select(F.col("item_id").cast("string").alias("item_id"), "text")))
     terms = np.unique(np.concatenate([_text_words(p["text"].combine_chunks())[0] for p in passes])) if len(passes) == 1 else None
     index = build_index(docs, terms)
-    found = [index.mapInArrow(_hits(*_windows(p, window)), "block string, row int, spans array<struct<start: long, stop: long>>, items array<string>") for p in passes]
+    found = [index.mapInArrow(handed_back(_hits(*_windows(p, window))), "block string, row int, spans array<struct<start: long, stop: long>>, items array<string>") for p in passes]
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guichet.llm import kernels as K
-from guichet.llm.common import column, parts, remove, staged
+from guichet.llm.common import column, handed_back, parts, remove, staged
 from guichet.llm.components import components
 
 #: Cells of the frequency table; the only thing that is broadcast, one byte a cell.
@@ -374,15 +374,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     buckets = parts(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = staged(docs.mapInArrow(_profile(size), _PROFILE), "profile")
+    profile = staged(docs.mapInArrow(handed_back(_profile(size)), _PROFILE), "profile")
     levels = np.zeros(CELLS, np.uint8)
     often = profile.where("cell is not null").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()  # at most CELLS / 4 rows
     levels[often["cell"].to_numpy()] = np.log2(often["seen"].to_numpy().astype(float)).astype(np.uint8)
     known = profile.where("cell is null").select("doc_id", "n", "key")
     classes = known.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
-    dealt = docs.where("doc_id is not null").select("text").mapInArrow(_postings(size, percent, buckets, levels), "bucket int, token binary, key binary, n binary")
-    lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n long"), "lists")
+    dealt = docs.where("doc_id is not null").select("text").mapInArrow(handed_back(_postings(size, percent, buckets, levels)), "bucket int, token binary, key binary, n binary")
+    lists = staged(dealt.repartition(buckets, "bucket").mapInArrow(handed_back(_lists), "token long, key long, n long"), "lists")
     shared = lists.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared > floor(ceil(n * {percent} / 100) / {EXTRA})")
     shared = staged(shared, "shared")
     ranked = lists.select("token", "key").join(shared.select("key", (F.col("shared") / F.col("n")).alias("rank")), "key")
@@ -404,7 +404,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fetched = placed.drop("blocks", "n")
     fetched = F.broadcast(fetched) if placed.count() <= FETCHED else fetched
     names = ["key", "cluster", "part", "head_of"]
-    sets = docs.join(fetched, "doc_id").select(*names, "text").mapInArrow(_packed_sets(size, names), "key long, cluster long, part long, head_of long, grams binary")
+    sets = docs.join(fetched, "doc_id").select(*names, "text").mapInArrow(handed_back(_packed_sets(size, names)), "key long, cluster long, part long, head_of long, grams binary")
     sets = staged(sets, "sets")
 
     within = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"

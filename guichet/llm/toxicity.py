@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from guichet.llm import boosting
 from guichet.llm import kernels as K
-from guichet.llm.common import column
+from guichet.llm.common import column, handed_back
 
 #: Labelled rows the model learns from.
 SAMPLE = 24_000
@@ -163,7 +163,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lexicon(sample: DataFrame, bad: int, good: int) -> Lexicon:
     """Units that stand out by their log odds and by its size in standard errors; at most LEXICON of them."""
-    counts = sample.select("text", "toxic").mapInArrow(_counted, "unit long, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = sample.select("text", "toxic").mapInArrow(handed_back(_counted), "unit long, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     counts = counts.where(F.col("bad") >= max(4, bad // 50)).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
     top = counts.where("odds > 1 and z > 2.8").orderBy(F.desc("z"), "unit").limit(LEXICON).toArrow()
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min_by("half", "doc_id").alias("half"))
     totals = {r["half"]: (r["bad"], r["good"]) for r in sample.groupBy("half").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
     halves = [_lexicon(sample.where(F.col("half") == h), *totals.get(h, (0, 0))) for h in (0, 1)]
-    rows = sample.select("toxic", "half", "text").mapInArrow(_featured(halves), "toxic int, half int, x array<double>").toArrow()
+    rows = sample.select("toxic", "half", "text").mapInArrow(handed_back(_featured(halves)), "toxic int, half int, x array<double>").toArrow()
     y, half = rows["toxic"].to_numpy().astype(float), rows["half"].to_numpy()
     x = np.array(rows["x"].to_pylist(), float).reshape(len(y), WIDTH)
     margin = np.zeros(len(y))
@@ -231,4 +231,4 @@ def score(docs: DataFrame, model: Model, *kept: str) -> DataFrame:
     """The columns `kept` of every row, with its `toxicity` (0 to 1); needs the column `text`."""
     shown = docs.select(*dict.fromkeys([*kept, "text"]))
     out = "".join(f"`{n}` {shown.schema[n].dataType.simpleString()}, " for n in kept) + "toxicity double"
-    return shown.mapInArrow(_scored(model, list(kept)), out)
+    return shown.mapInArrow(handed_back(_scored(model, list(kept))), out)

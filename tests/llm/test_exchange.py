@@ -2,13 +2,15 @@
 
 import os
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from guichet.llm import decontaminate, lm
 from guichet.llm import kernels as K
-from guichet.llm import lm
-from guichet.llm.common import staged
+from guichet.llm.common import handed_back, staged
 from guichet.llm.ngram_join import jaccard_classes
 from guichet.session import checkpoint_root
 
@@ -85,3 +87,34 @@ def test_language_model_asks_fewer_buckets_of_words_than_it_has_of_pairs(spark,
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(found) == 200 and all(r["n_tokens"] == 60 for r in found)
     assert 0 < max(sent) <= 16 * 8
+
+
+def test_hashing_words_takes_little_beside_the_text():
+    """The pipeline's tasks share an executor's memory: work arrays must not be thirty times the text."""
+    data = np.frombuffer(b"mots de taille Egale " * 100_000, np.uint8)
+    starts, ends, _ = K.words(data, np.array([0, len(data)]), K.SPACED)
+    tracemalloc.start()
+    try:
+        found = K.word_hashes(data, starts, ends)
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(data)
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 400_000 and (found.reshape(-1, 4) == K.word_hashes(data, starts[:4], ends[:4])).all()
+
+
+def test_rows_of_the_positional_index_are_opened_one_at_a_time():
+    texts = ["", "un deux", None, "trois " * 50_000]
+    batch = pa.record_batch({"doc_id": pa.array([1, 2, None, 4], pa.int64()), "text": pa.array(texts)})
+    index = pa.Table.from_batches([b for _ in range(20) for b in decontaminate._indexer(None)([batch])] + list(decontaminate._indexer(None)([batch.slice(0, 1)]))).combine_chunks().to_batches()
+    tracemalloc.start()
+    try:
+        for _, ids, first, words, terms, heads, places in decontaminate._opened(index):
+            assert len(first) == len(ids) + 1 and first[-1] == words == len(places) == heads[-1] and len(terms) == len(heads) - 1
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+    assert ids == [1] and words == 0
+
+
+def test_a_task_that_is_done_hands_its_rows_on():
+    assert list(handed_back(lambda rows: (r + 1 for r in rows))([1, 2])) == [2, 3]
