@@ -80,17 +80,21 @@ def _blank_to_null(value: Column) -> Column:
     return F.nullif(tx.trim_all(value), F.lit(""))
 
 
-def load_texts(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """Documents (doc, title, doc_type, client_id, pages) of text files, with the manifest's values on top."""
+def describe_texts(files: DataFrame) -> DataFrame:
+    """Files with the `titre`, `type` and `client_id` they name, and their `body` as written; other columns stay."""
     parsed = split_front_matter(files)
     heading = F.nullif(F.regexp_extract("body", r"(?m)^#[ \t\x{A0}]+(.+?)[ \t]*$", 1), F.lit(""))
-    described = parsed.select(
-        "doc",
-        F.coalesce(F.nullif(F.col("meta")["titre"], F.lit("")), heading).alias("titre"),
-        F.col("meta")["type"].alias("type"),
-        F.col("meta")["client_id"].alias("client_id"),
-        tx.trim_all(F.col("body")).alias("__body"),
+    return (
+        parsed.withColumn("titre", F.coalesce(F.nullif(F.col("meta")["titre"], F.lit("")), heading))
+        .withColumn("type", F.col("meta")["type"])
+        .withColumn("client_id", F.col("meta")["client_id"])
+        .drop("meta")
     )
+
+
+def load_texts(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Documents (doc, title, doc_type, client_id, pages) of text files, with the manifest's values on top."""
+    described = describe_texts(files).select("doc", "titre", "type", "client_id", tx.trim_all(F.col("body")).alias("__body"))
     page = F.struct(F.lit(1).alias("number"), F.col("__body").alias("text"))
     paged = described.withColumn("pages", F.filter(F.array(page), lambda p: p["text"] != "")).drop("__body")
     return resolve_metadata(paged, manifest)
