@@ -10,7 +10,8 @@ from tests.check_queries import TABLES, compare
 from tests.test_queries import SF
 
 TEXTS = [
-    "", " ", "\n \n", None, ".", "###", "Avis reçu.", "# Titre\nTexte", "  \n début et fin \n\t", "\xa0fin\xa0", "a\r\nb\r\n", "a\x0cb", "a b", "---\nx: y\n---\nz",
+    "", " ", "\n \n", None, ".", "###", "Avis reçu.", "# Titre\nTexte", "  \n début et fin \n\t", "\xa0fin\xa0", "a\r\nb\r\n", "a\x0cb", "a\u2028b", "---\nx: y\n---\nz",
+    "e\u0301te\u0301 nai\u0308f", "Œuvre à l’ÉTÉ, STRASSE ß", "½ ² ™ №5", "ő", "\u0130stanbul", "日本",
 ]
 
 
@@ -35,7 +36,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["front_matter", "manifest_orphans"])
+@pytest.mark.parametrize("name", ["front_matter", "manifest_orphans", "word_sequences"])
 def test_query_matches_its_sql_on_odd_texts(spark, odd, name):
     verdict = compare(spark, odd, name)
     assert verdict.startswith("ok"), verdict
